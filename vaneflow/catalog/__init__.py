@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import BUILDERS
 
-MODULES = ("joins", "windows")
+MODULES = ("joins", "windows", "aggregates")
 
 
 def load() -> dict:

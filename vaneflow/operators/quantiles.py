@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from .ordered import CELL, value_cell
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], method: str = "linear"
+) -> DataFrame:
     """Continuous quantiles (linear interpolation, as SQL PERCENTILE_CONT) per key.
 
+    With `method="higher"` the upper neighbour is taken instead of interpolating.
+
     Counts per distinct value and per value band are taken first; the band counts locate the bands
     that hold the wanted ranks, and only those bands are scanned value by value."""
     keys = list(keys)
@@ -26,9 +30,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     ).withColumn("_lo", F.col("_hi") - F.col("_cn"))
 
     wanted = F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
+    rank = (F.col("_total") - 1) * F.col("_q.p")
+    if method == "higher":
+        rank = F.ceil(rank).cast("double")
     ranks = (
         bands.withColumn("_q", F.explode(wanted))
-        .withColumn("_h", (F.col("_total") - 1) * F.col("_q.p"))
+        .withColumn("_h", rank)
         .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))))
         .filter((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi")))
         .select(*keys, CELL, "_lo", F.col("_q.q").alias("_q"), "_h", "_r")
