@@ -330,13 +330,13 @@ def _(t):
 WITH l AS (SELECT l_partkey, l_discount * 100 + l_linenumber AS price, sum(l_quantity) AS size FROM lineitem GROUP BY 1,2),
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY l_partkey ORDER BY price DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
 w AS (SELECT c.*, n.target, greatest(0, least(size, n.target - before)) AS take FROM c CROSS JOIN (VALUES (20.0),(100.0),(500.0)) n(target))
-SELECT l_partkey, CAST(target AS DOUBLE) AS target, sum(take) AS filled, round(sum(take * 0.05 * price / 20 * (1 - price / 20)), 4) AS fee,
+SELECT l_partkey, CAST(target AS DOUBLE) AS target, sum(take) AS filled, round(sum(take * 0.05 * price / 20 * (1 - price / 20)), 6) AS fee,
  round(sum(take * price) / sum(take), 6) AS avg_price FROM w GROUP BY 1,2""")
 def _(t):
     levels = t.lineitem.groupBy("l_partkey", (F.col("l_discount") * 100 + F.col("l_linenumber")).alias("price")).agg(
         F.sum("l_quantity").alias("size"))
     out = rungs.book_walk(levels, ["l_partkey"], "price", "size", [20, 100, 500], fee_price=F.col("price") / 20)
-    return out.select("l_partkey", "target", "filled", F.round("fee", 4).alias("fee"), r6("avg_price", "avg_price"))
+    return out.select("l_partkey", "target", "filled", F.round("fee", 6).alias("fee"), r6("avg_price", "avg_price"))
 
 
 TRADES = """WITH tr AS (SELECT l_orderkey, l_shipdate, l_returnflag AS fold, l_linestatus AS city, l_discount + 0.2 AS price,
