@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import BUILDERS
 
-MODULES = ("joins", "windows", "aggregates", "scalars")
+MODULES = ("sources", "scalars", "joins", "aggregates", "windows", "audits")
 
 
 def load() -> dict:

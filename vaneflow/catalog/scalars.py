@@ -208,13 +208,13 @@ SQL_FILLS = """WITH f AS (SELECT l_orderkey, l_linenumber, l_linenumber % 7 AS k
 
 
 @query("derive_fill", SQL_FILLS + """
-SELECT outcome, CASE WHEN k IN (1, 2) THEN 'buy' ELSE 'sell' END AS side, l_partkey, count(*) AS n, round(sum(shares), 2) AS shares, round(sum(price * shares), 4) AS usd,
- round(avg(price), 6) AS mean_price FROM f GROUP BY 1,2,3""")
+SELECT outcome, CASE WHEN k IN (1, 2) THEN 'buy' ELSE 'sell' END AS side, l_partkey, count(*) AS n, round(sum(shares), 2) AS shares, round(sum(price * shares), 6) AS usd,
+ round(sum(price), 12) AS price_sum FROM f GROUP BY 1,2,3""")
 def _(t):
     typed = raw_fills(t).withColumns(pricing.fill_fields("ma", "ta", "mq", "tq", "yes", "no")).filter("price IS NOT NULL")
     return typed.groupBy("outcome", "side", "l_partkey").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("shares"), 2).alias("shares"), F.round(F.sum("usd"), 4).alias("usd"),
-        r6(F.avg("price"), "mean_price"))
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("shares"), 2).alias("shares"), r6(F.sum("usd"), "usd"),
+        F.round(F.sum("price"), 12).alias("price_sum"))
 
 
 @query("mid_spread", """

@@ -1,0 +1,106 @@
+"""Data-quality audits: lists of rules evaluated in one pass, spines, parity and schema checks."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+@dataclass(frozen=True)
+class Rule:
+    """`bad` marks offending rows; up to `allowed` of all rows may be bad; `severity` names the failing status."""
+
+    check: str
+    level: int
+    bad: Column
+    allowed: float = 0.0
+    severity: str = "fail"
+
+
+def audit(df: DataFrame, rules: Sequence[Rule], by: Sequence[str] = ()) -> DataFrame:
+    """All rules in one aggregation: rows (check, level, status, n_bad, n_total) per group."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"), *[F.count_if(r.bad).alias(f"_b{i}") for i, r in enumerate(rules)])
+    rows = F.array(*[
+        F.struct(
+            F.lit(r.check).alias("check"), F.lit(r.level).alias("level"),
+            F.when(F.col(f"_b{i}") <= F.col("n_total") * r.allowed, "ok").otherwise(r.severity).alias("status"),
+            F.col(f"_b{i}").alias("n_bad"),
+        )
+        for i, r in enumerate(rules)
+    ])
+    return counts.select(*by, "n_total", F.inline(rows))
+
+
+def bounds_rules(bounds: dict[str, tuple[float, float]], level: int = 3) -> list[Rule]:
+    """Per column: outside its physical range, NaN, and null."""
+    rules = []
+    for name, (lo, hi) in bounds.items():
+        c = F.col(name)
+        rules += [
+            Rule(f"{name} in range", level, ~c.between(lo, hi) & ~F.isnan(c)), Rule(f"{name} not nan", level, F.isnan(c)),
+            Rule(f"{name} not null", level, c.isNull()),
+        ]
+    return rules
+
+
+def missing(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return expected.join(present.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def time_spine(df: DataFrame, keys: Sequence[str], ts: str, step: str, until: Column | None = None, out: str = "slot") -> DataFrame:
+    """Every slot a key should have, from its first to its last (or up to `until`)."""
+    ends = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    last = F.col("_hi") if until is None else F.least(F.col("_hi"), until)
+    return ends.withColumn("_hi", last).filter("_lo <= _hi").select(
+        *keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias(out))
+
+
+def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def null_parity(raw: DataFrame, processed: DataFrame, raw_null: dict[str, Column], columns: Sequence[str]) -> DataFrame:
+    """Null counts of each column before and after processing."""
+    def tall(df, name, tests):
+        sums = df.agg(*[F.count_if(tests[c]).alias(c) for c in columns])
+        return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias(name)) for c in columns])))
+
+    before = tall(raw, "raw_nulls", raw_null)
+    after = tall(processed, "processed_nulls", {c: F.col(c).isNull() for c in columns})
+    return before.join(after, "column_name").withColumn("ok", F.col("raw_nulls") == F.col("processed_nulls"))
+
+
+def count_reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables with `n` per key, compared; keys present on one side only count as zero on the other."""
+    joined = left.withColumnRenamed("n", "recorded").join(right.withColumnRenamed("n", "actual"), list(keys), "full")
+    return joined.select(*keys, F.coalesce("recorded", F.lit(0)).alias("recorded"), F.coalesce("actual", F.lit(0)).alias("actual")).withColumn(
+        "ok", F.col("recorded") == F.col("actual"))
+
+
+def evenly_spaced(files: DataFrame, name: str, n: int) -> DataFrame:
+    """About n file names spread over the sorted list, always with the first and the last."""
+    ordered = files.select(name).distinct()
+    total = ordered.agg(F.count(F.lit(1))).scalar()
+    step = F.greatest(F.lit(1), F.floor(total / n))
+    from .ordered import running
+
+    # File lists are small next to the data; the position comes from a count along the sorted names.
+    ranked = running(ordered, [], [name], F.lit(0), _i=("count", F.lit(1)))
+    i = F.col("_i") - 1
+    keep = ((i % step == 0) & (F.floor(i / step) < n)) | (i == total - 1)
+    return ranked.filter(keep).select(name)
+
+
+def compare_schema(actual: StructType, expected: StructType) -> list[str]:
+    """Missing columns and differing types, by name."""
+    have = {f.name: f.dataType for f in actual}
+    problems = [f"missing {f.name}" for f in expected if f.name not in have]
+    problems += [
+        f"{f.name}: {have[f.name].simpleString()} instead of {f.dataType.simpleString()}"
+        for f in expected if f.name in have and have[f.name] != f.dataType
+    ]
+    return problems
