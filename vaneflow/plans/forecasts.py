@@ -57,3 +57,31 @@ def gridded_peak(
     )
     known = peak.select(probe_id, F.when(F.col("_hours") >= min_hours, F.col("_peak")).alias(out))
     return probes.join(known, probe_id, "left")
+
+
+def hour_probes(days: DataFrame, station: str, tz: str, hours: range) -> DataFrame:
+    """One row per (station, local_date, local hour) with the elapsed-hours cutoff in UTC."""
+    from ..functions.calendar import local_midnight, plus_hours
+
+    exploded = days.withColumn("hour", F.explode(F.sequence(F.lit(hours.start), F.lit(hours.stop - 1))))
+    return exploded.withColumns({
+        "cutoff": plus_hours(local_midnight("local_date", tz), F.col("hour")),
+        "probe_id": F.concat_ws("|", F.col(station).cast("string"), F.col("local_date").cast("string"), F.col("hour").cast("string")),
+    })
+
+
+def forecast_panel(
+    days: DataFrame, first: DataFrame, second: DataFrame, grid: DataFrame, station: str, tz: str, hours: range,
+    look_back: str = "24 hours", min_hours: int = 6,
+) -> DataFrame:
+    """Three as-of forecasts and their spread for every station, day and hour.
+
+    `first` and `second` are run maxima (station, local_date, runtime, value); `grid` holds
+    (station, init_time, valid_time, value)."""
+    from ..functions.pricing import forecast_spread
+
+    probes = hour_probes(days, station, tz, hours)
+    panel = latest_run_max(probes, first, station, "cutoff", "runtime", "value", "first_pred", look_back)
+    panel = latest_run_max(panel, second, station, "cutoff", "runtime", "value", "second_pred", look_back)
+    panel = gridded_peak(panel, grid, station, "probe_id", "cutoff", "init_time", "valid_time", "value", tz, "grid_pred", min_hours)
+    return panel.withColumn("spread", forecast_spread("first_pred", "second_pred", "grid_pred"))
