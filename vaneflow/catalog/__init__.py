@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import BUILDERS
 
-MODULES = ("sources", "scalars", "joins", "aggregates", "windows", "audits", "strategies")
+MODULES = ("sources", "scalars", "joins", "aggregates", "windows", "audits", "strategies", "streams")
 
 
 def load() -> dict:
