@@ -37,7 +37,7 @@ def _norm(v):
     return ("n", repr(v)) if isinstance(v, (int, float)) else ("s", str(v))
 
 
-def compare(spark_df, con, sql: str) -> list[str]:
+def compare(spark_df, con, sql: str, rows=None) -> list[str]:
     """Differences between the Spark rows and the SQL rows; empty when they agree exactly."""
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
@@ -50,7 +50,7 @@ def compare(spark_df, con, sql: str) -> list[str]:
         if FAMILIES.get(k, k) != FAMILIES.get(kinds[n], kinds[n]):
             problems.append(f"type of {n}: {k} vs {kinds[n]}")
     order = sorted(names)
-    got = sorted(tuple(_norm(r[c]) for c in order) for r in spark_df.collect())
+    got = sorted(tuple(_norm(r[c]) for c in order) for r in (spark_df.collect() if rows is None else rows))
     pos = [names.index(c) for c in order]
     want = sorted(tuple(_norm(r[i]) for i in pos) for r in expected)
     if len(got) != len(want):
@@ -81,18 +81,21 @@ def main() -> int:
     for name in args.names or BUILDERS:
         if args.module and not BUILDERS[name].__module__.endswith(args.module):
             continue
-        start = time.time()
+        start = sql_time = time.time()
         try:
             df = runnable(name)(spark, sf_dir)
             if name in ORACLES:
-                problems = compare(df, con, ORACLES[name])
+                rows = df.collect()
+                sql_time = time.time()
+                problems = compare(df, con, ORACLES[name], rows)
             else:
                 problems = [] if df.count() else ["no rows"]
         except Exception as e:  # noqa: BLE001 - report and go on with the next query
             problems = [f"{type(e).__name__}: {str(e)[:600]}"]
         failed += bool(problems)
         note = "" if name in ORACLES else " (rows only)"
-        print(f"{'FAIL' if problems else 'ok  '} {time.time() - start:6.2f}s {name}{note}", *problems, sep="\n     ", flush=True)
+        spent = f"{sql_time - start:6.2f}s sql {time.time() - sql_time:5.2f}s"
+        print(f"{'FAIL' if problems else 'ok  '} {spent} {name}{note}", *problems, sep="\n     ", flush=True)
     print(f"{failed} failed")
     return failed
 

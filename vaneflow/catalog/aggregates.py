@@ -496,7 +496,7 @@ SELECT count(*) AS n, round(avg(f1), 6) AS mean_12h, round(avg(f2), 6) AS mean_2
 def _(t):
     w = bucket_path(t).filter(F.col("p6").isNotNull() & (F.abs(F.col("score") - F.col("p6")) > 1))
     gap = F.col("score") - F.col("p6")
-    f = w.select(*[((F.col(f"p{h}") - F.col("p6")) / gap).alias(f"f{h}") for h in (12, 24)])
+    f = w.select(*[F.try_divide(F.col(f"p{h}") - F.col("p6"), gap).alias(f"f{h}") for h in (12, 24)])
     means = f.agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(f"f{h}"), f"mean_{h}h") for h in (12, 24)])
     return means.withColumns({
         f"median_{h}h": F.round(exact_quantiles(f, [], f"f{h}", {"m": 0.5}).scalar(), 6) for h in (12, 24)})

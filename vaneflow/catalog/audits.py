@@ -248,7 +248,7 @@ WITH s AS (SELECT l_orderkey, sum(l_extendedprice) / 2 AS v FROM lineitem GROUP
 SELECT o_orderpriority, count(*) AS n, round(quantile_cont(ratio, 0.5), 6) AS median_ratio, quantile_cont(ratio, 0.5) BETWEEN 0.95 AND 1.05 AS ok FROM r GROUP BY 1""")
 def _(t):
     sums = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.sum("l_extendedprice") / 2).alias("v"))
-    r = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice").join(sums, "o_orderkey").select("o_orderpriority", (F.col("v") / F.col("o_totalprice")).alias("ratio"))
+    r = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice").join(sums, "o_orderkey").select("o_orderpriority", F.try_divide("v", "o_totalprice").alias("ratio"))
     q = exact_quantiles(r, ["o_orderpriority"], "ratio", {"m": 0.5})
     return r.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).join(q, "o_orderpriority").select(
         "o_orderpriority", "n", r6("m", "median_ratio"), F.col("m").between(0.95, 1.05).alias("ok"))

@@ -57,8 +57,8 @@ def ladder_shape(ladder: DataFrame, group: Sequence[str], price: str, visible: f
     )
     joined = sums.join(top_two, list(group), "left")
     return joined.select(
-        *group, "n", (F.log2("_s") - F.col("_xl") / F.col("_s")).alias("entropy"),
-        (F.col("_x2") / (F.col("_s") * F.col("_s"))).alias("concentration"), "n_visible",
+        *group, "n", (F.log2("_s") - F.try_divide("_xl", "_s")).alias("entropy"),
+        F.try_divide(F.col("_x2"), F.col("_s") * F.col("_s")).alias("concentration"), "n_visible",
         F.try_divide("_peak", "_second").alias("peak_ratio"),
     )
 

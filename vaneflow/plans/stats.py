@@ -66,5 +66,5 @@ def error_metrics(long: DataFrame, by: Sequence[str], pred: str, actual: str) ->
 def equal_width_bin(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
     """Right-closed bins of equal width over the observed range; the minimum falls in the first."""
     lo, hi = df.agg(F.min(value)).scalar(), df.agg(F.max(value)).scalar()
-    position = F.ceil((F.col(value) - lo) / (hi - lo) * bins)
+    position = F.ceil(F.try_divide(F.col(value) - lo, hi - lo) * bins)
     return df.withColumn(out, F.greatest(F.lit(1), position).cast("long"))
