@@ -91,7 +91,8 @@ def main() -> int:
             else:
                 problems = [] if df.count() else ["no rows"]
         except Exception as e:  # noqa: BLE001 - report and go on with the next query
-            problems = [f"{type(e).__name__}: {str(e)[:600]}"]
+            text = str(e)
+            problems = [f"{type(e).__name__}: {text[:500]}", *[ln[:300] for ln in text.splitlines() if ln.startswith("Caused by")]]
         failed += bool(problems)
         note = "" if name in ORACLES else " (rows only)"
         spent = f"{sql_time - start:6.2f}s sql {time.time() - sql_time:5.2f}s"

@@ -19,6 +19,7 @@ from ..operators.quantiles import exact_quantiles
 from ..plans import backtest, models, stats
 from ..plans.features import daily_observations, feature_matrix
 from ..plans.forecasts import forecast_panel, run_maxima
+from ..session import stage
 from .aggregates import _STATS, SQL_ZONE, ZONES, r6, rounded_stats
 from .joins import LADDER, ladder, us
 from .registry import query
@@ -42,6 +43,11 @@ class Domain:
         local = F.to_date(F.from_utc_timestamp("ts", F.col("tz")))
         self.days = self.e.select("station", "tz", local.alias("local_date")).distinct()
 
+    def staged(self):
+        """Day list, panel and trade table computed once: one row per station day, hour or bucket."""
+        self.days = stage(self.days, "days")
+        return stage(self.table(), "trade_table"), stage(self.panel(), "panel")
+
     def kind(self, name):
         return self.e.filter(F.col("event_type") == name)
 
@@ -147,7 +153,8 @@ _COLS = {"station": "station", "bucket": "bucket", "center": "center", "forecast
 SELECT station, CAST(d AS VARCHAR) AS d, bucket, CAST(hour AS INT) AS hour, round(yes, 6) AS yes_price, won_no, round(won_no - paid - 0.05 * paid * (1 - paid), 8) AS pnl FROM tr""")
 def _(t):
     d = Domain(t)
-    out = backtest.consensus_trades(d.table(), d.panel(), d.prices(), **_COLS, **_RULE)
+    table, panel = d.staged()
+    out = backtest.consensus_trades(table, panel, d.prices(), **_COLS, **_RULE)
     return out.select("station", dcol(), "bucket", "hour", r6("yes_price", "yes_price"), "won_no", F.round("pnl", 8).alias("pnl"))
 
 
@@ -164,12 +171,12 @@ SELECT variant, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, round(av
 def _(t):
     d = Domain(t)
     keys = ["station", "local_date"]
-    table = d.table()
+    table, panel = d.staged()
     full = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("entry_price").alias("k")).filter("n >= 9 AND n = k").select(*keys)
     fav = nearest_bucket(table.join(full, keys, "left_semi"), keys, "bucket", "center", "pred").select(*keys, (F.col("bucket") + 1).alias("bucket"))
     targets = table.join(fav, [*keys, "bucket"]).select(*keys, "bucket", "won")
     variants = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(s).alias("lim"), F.lit(f).alias("flo"), F.lit(c).alias("cap")) for n, s, f, c in _VARIANTS])
-    hits = d.panel().withColumn("_v", F.explode(variants)).select("*", "_v.*").filter("spread <= lim AND hour >= flo")
+    hits = panel.withColumn("_v", F.explode(variants)).select("*", "_v.*").filter("spread <= lim AND hour >= flo")
     trig = hits.groupBy("variant", "cap", *keys).agg(F.min("cutoff").alias("cutoff"))
     priced = asof_join(targets.join(trig, keys), d.prices(), ["station", "bucket"], "cutoff", "ts", {"yes": "p_yes"}, seq=["event_id"],
                        direction="forward", tolerance="48 hours", how="inner").filter("yes <= cap")
@@ -196,7 +203,7 @@ SELECT CAST(floor AS INT) AS floor, CAST(lim AS DOUBLE) AS "limit", CAST(stable_
 def _(t):
     d = Domain(t)
     keys = ["station", "local_date"]
-    table, panel = d.table(), d.panel()
+    table, panel = d.staged()
     full = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("entry_price").alias("k")).filter("n >= 9 AND n = k").select(*keys)
     fav = nearest_bucket(table.join(full, keys, "left_semi"), keys, "bucket", "center", "pred").select(*keys, (F.col("bucket") + 1).alias("bucket"))
     picks = table.join(fav, [*keys, "bucket"]).select(*keys, "bucket", "won")
@@ -316,11 +323,10 @@ def _(t):
         t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     train = F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0
     fits = models.sign_classifiers(d.filter(train), ["n", "words", "kinds"], "label")
-    test = models.assemble(d.filter(~train), ["n", "words", "kinds"])
-    scored = None
+    scored = models.assemble(d.filter(~train), ["n", "words", "kinds"])
     for name, fit in fits.items():
-        part = fit.transform(test).select(F.lit(name).alias("model"), "label", models.class_probability().alias("p"))
-        scored = part if scored is None else scored.unionByName(part)
+        scored = fit.transform(scored).withColumn(name, models.class_probability()).drop("rawPrediction", "probability", "prediction")
+    scored = stats.unpivot_models(scored, ["label"], {n: n for n in fits}, value="p")
     confidence = pricing.bands(F.abs(F.col("p") - 0.5), [0.1, 0.25], ["low", "medium", "high"])
     return scored.groupBy("model", confidence.alias("confidence")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(((F.col("p") > 0.5).cast("double") == F.col("label")).cast("double")).alias("accuracy"))
@@ -588,8 +594,9 @@ fav AS (SELECT r.station, r.d, b.b AS bucket, r.spread FROM ready r CROSS JOIN (
 SELECT fav.station, CAST(fav.d AS VARCHAR) AS d, fav.bucket + 1 AS bucket, round(fav.spread, 6) AS spread, tab.entry_price FROM fav JOIN tab ON tab.station=fav.station AND tab.d=fav.d AND tab.bucket=fav.bucket+1""")
 def _(t):
     d = Domain(t)
-    ready = d.panel().filter("hour = 18 AND spread <= 90 AND local_date >= DATE '2024-01-15'").select("station", "local_date", F.col("first_pred").alias("f1"), "spread")
-    table = d.table().drop("pred")
+    table, panel = d.staged()
+    ready = panel.filter("hour = 18 AND spread <= 90 AND local_date >= DATE '2024-01-15'").select("station", "local_date", F.col("first_pred").alias("f1"), "spread")
+    table = table.drop("pred")
     fav = nearest_bucket(table.join(ready, ["station", "local_date"]), ["station", "local_date"], "bucket", "center", "f1", "spread")
     target = fav.select("station", "local_date", (F.col("bucket") + 1).alias("bucket"), "spread")
     return target.join(table, ["station", "local_date", "bucket"]).select("station", dcol(), "bucket", r6("spread", "spread"), "entry_price")

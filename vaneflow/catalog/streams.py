@@ -49,8 +49,9 @@ def _(t):
     users = t.events.select("user_id").distinct().filter("user_id % 2 = 0")
     tokens = users.select(F.concat(F.lit("tok-"), "user_id").alias("asset_id"), F.concat(F.lit("slug-"), "user_id").alias("slug"))
     routed = book.route_messages(read_book_messages(t.spark, raw, streaming=True), tokens)
-    drain(routed.select("asset_id", "slug", "event_type", "received_at", "hour"), out, t.scratch("ckpt"), ["hour"])
-    return result(t, out, "asset_id STRING, slug STRING, event_type STRING, received_at TIMESTAMP, hour STRING").groupBy("hour", "slug").agg(F.count(F.lit(1)).alias("n"))
+    routed = routed.select("asset_id", "slug", "event_type", "received_at", "hour", F.substring("hour", 1, 10).alias("day"))
+    drain(routed, out, t.scratch("ckpt"), ["day"])
+    return result(t, out, "asset_id STRING, slug STRING, event_type STRING, received_at TIMESTAMP, hour STRING, day STRING").groupBy("hour", "slug").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_tob", """

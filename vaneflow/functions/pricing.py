@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEE_RATE = 0.05
@@ -123,57 +123,50 @@ def takeable(asks, ceiling) -> Column:
     return size_where(asks, lambda p: p <= _c(ceiling))
 
 
-def normal_cdf(x) -> Column:
-    """Standard normal CDF to about 1e-15, inside code generation.
-
-    Rational approximation of the complementary error function in three ranges (W. J. Cody,
-    Math. Comp. 23, 1969)."""
-    z = _c(x).cast("double")
-    a = F.abs(z) / math.sqrt(2.0)
-
-    def ratio(v: Column, top: list[float], bottom: list[float]) -> Column:
-        def horner(cs: list[float]) -> Column:
-            out = F.lit(cs[0])
-            for c in cs[1:]:
-                out = out * v + F.lit(c)
-            return out
-
-        return horner(top) / horner(bottom)
-
-    # Published coefficients, highest power first.
-    small = a * ratio(
-        a * a,
-        [1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3],
-        [1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3],
-    )
-    middle = F.exp(-a * a) * ratio(
-        a,
-        [2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1,
-         2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3,
-         1.23033935479799725e3],
-        [1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
-         3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3],
-    )
-    inv = F.try_divide(F.lit(1.0), a * a)
-    far = F.try_divide(F.exp(-a * a), a) * (
-        F.lit(1 / math.sqrt(math.pi))
-        - inv * ratio(
-            inv,
-            [1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1,
-             1.60837851487422766e-2, 6.58749161529837803e-4],
-            [1.0, 2.56852019228982242, 1.87295284992346047, 5.27905102951428412e-1, 6.05183413124413191e-2,
-             2.33520497626869185e-3],
-        )
-    )
-    tail = F.when(a <= 0.46875, F.lit(1.0) - small).when(a <= 4.0, middle).when(a < 27.0, far).otherwise(F.lit(0.0))
-    return F.when(z.isNull(), None).when(z >= 0, F.lit(1.0) - tail / 2).otherwise(tail / 2)
-
-
-def interval_mass(lo, hi, mean, sd) -> Column:
-    """Normal probability of (lo, hi); infinite edges allowed."""
-    lo, hi, mean, sd = _c(lo), _c(hi), _c(mean), _c(sd)
-
-    def cdf(edge: Column, open_value: float) -> Column:
-        return F.when(F.abs(edge) == F.lit(float("inf")), F.lit(open_value)).otherwise(normal_cdf((edge - mean) / sd))
-
-    return cdf(hi, 1.0) - cdf(lo, 0.0)
+# Published coefficients of the error function's three rational forms, highest power first
+# (W. J. Cody, Math. Comp. 23, 1969).
+ERF_SMALL = (
+    (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+ERF_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2,
+     8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3,
+     3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+ERF_FAR = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1,
+     1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242, 1.87295284992346047, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def _ratio(v: Column, forms) -> Column:
+    def horner(cs) -> Column:
+        out = F.lit(cs[0])
+        for c in cs[1:]:
+            out = out * v + F.lit(c)
+        return out
+
+    return horner(forms[0]) / horner(forms[1])
+
+
+def with_normal_cdf(df: DataFrame, **scores: Column) -> DataFrame:
+    """Add the standard normal CDF of each score (infinities allowed) to about 1e-15.
+
+    Spark has no error function.  The shared parts are columns of their own, so each is computed once
+    and the expressions stay small enough for code generation."""
+    names = list(scores)
+    out = df.withColumns({f"_z_{n}": c.cast("double") for n, c in scores.items()})
+    out = out.withColumns({f"_a_{n}": F.least(F.abs(F.col(f"_z_{n}")) / math.sqrt(2.0), F.lit(26.0)) for n in names})
+    out = out.withColumns({f"_s_{n}": F.col(f"_a_{n}") * F.col(f"_a_{n}") for n in names})
+    out = out.withColumns({f"_e_{n}": F.exp(-F.col(f"_s_{n}")) for n in names} | {f"_i_{n}": F.try_divide(F.lit(1.0), F.col(f"_s_{n}")) for n in names})
+    tails = {}
+    for n in names:
+        a, sq, ex, inv = (F.col(f"_{k}_{n}") for k in "asei")
+        far = F.try_divide(ex, a) * (F.lit(1 / math.sqrt(math.pi)) - inv * _ratio(inv, ERF_FAR))
+        tails[f"_t_{n}"] = F.when(a <= 0.46875, F.lit(1.0) - a * _ratio(sq, ERF_SMALL)).when(a <= 4.0, ex * _ratio(a, ERF_MIDDLE)).otherwise(far)
+    out = out.withColumns(tails)
+    cdf = {n: F.when(F.col(f"_z_{n}") >= 0, F.lit(1.0) - F.col(f"_t_{n}") / 2).otherwise(F.col(f"_t_{n}") / 2) for n in names}
+    return out.withColumns(cdf).drop(*[f"_{k}_{n}" for n in names for k in "zaseit"])

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pricing import interval_mass
+from ..functions.pricing import with_normal_cdf
 from ..operators.asof import asof_join
 from ..operators.ordered import running, value_cell
 
@@ -108,9 +108,10 @@ def bucket_probabilities(
     ladder: DataFrame, group: Sequence[str], lo: str, hi: str, mean: Column, sd: Column, floor: float = 0.001, out: str = "model_p"
 ) -> DataFrame:
     """Normal mass of each bucket, floored, renormalised over the ladder (a handful of rows)."""
-    mass = F.greatest(interval_mass(lo, hi, mean, sd), F.lit(floor))
+    edges = with_normal_cdf(ladder, _below_lo=(F.col(lo) - mean) / sd, _below_hi=(F.col(hi) - mean) / sd)
+    mass = F.greatest(F.col("_below_hi") - F.col("_below_lo"), F.lit(floor))
     total = F.sum("_mass").over(Window.partitionBy(*group))
-    return ladder.withColumn("_mass", mass).withColumn(out, F.col("_mass") / total).drop("_mass")
+    return edges.withColumn("_mass", mass).withColumn(out, F.col("_mass") / total).drop("_mass", "_below_lo", "_below_hi")
 
 
 def empirical_probabilities(

@@ -72,6 +72,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/vaneflow/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several steps need to the shared folder and read it back.
+
+    It is then computed once, later steps read only the columns they use, and a lost executor costs
+    no more than its own tasks."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Tables:
     """The driver tables of one scale factor, each read with its declared schema."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.pricing import best_ask, best_bid, level_count, mid, spread
 from ..operators.ordered import previous, running, time_cell
 from ..operators.series import session_ids
+from ..session import stage
 
 
 def route_messages(messages: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def alert_candidates(
 
     marks = F.filter(F.array(
         quote, F.when(goes_stale, mark(old, 1)), F.when(goes_stale & F.col("_next_ts").isNotNull(), mark(F.unix_micros("_next_ts"), -1))), lambda m: m.isNotNull())
-    steps = chain.select(ladder, F.inline(marks)).withColumn("_at", F.timestamp_micros("u"))
+    steps = stage(chain.select(ladder, F.inline(marks)).withColumn("_at", F.timestamp_micros("u")), "steps")
     summed = running(steps, [ladder], ["u", "rank", "s"], time_cell("_at"), sum_bid=("sum", F.col("d")), seen=("sum", F.col("first")), stale_now=("sum", F.col("stale")))
     ready = (F.col("rank") == 1) & (F.col("seen") >= n_buckets) & (F.col("stale_now") == 0) & (F.col("sum_bid") >= threshold - 1e-9)
     return summed.filter(ready).select(ladder, F.col("_at").alias(ts), F.col("s").alias(seq), "sum_bid")
@@ -68,7 +69,7 @@ def thin(candidates: DataFrame, ladder: str, ts: str, seq: str, min_gap_seconds:
 
     A silence as long as the gap always restarts the rule, so rows are first cut into such runs; each
     run is then streamed in time order, remembering one timestamp."""
-    runs = session_ids(candidates, [ladder], ts, [seq], min_gap_seconds - 1e-6)
+    runs = session_ids(stage(candidates, "candidates"), [ladder], ts, [seq], min_gap_seconds - 1e-6)
     ordered = runs.withColumn("_u", F.unix_micros(ts)).repartition(ladder, "session").sortWithinPartitions(ladder, "session", ts, seq)
     gap = int(min_gap_seconds * 1e6)
 
