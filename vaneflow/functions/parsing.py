@@ -116,7 +116,7 @@ def signed_bucket_edges(title: Column | str) -> Column:
     first = F.regexp_extract(title, r"(-?\d+)", 1).try_cast("int")
     higher, lower = title.ilike("%or higher%"), title.ilike("%or below%")
     lo = F.when(higher | lower, first).otherwise(F.regexp_extract(title, r"(-?\d+)-", 1).try_cast("int"))
-    hi = F.when(higher | lower, first).otherwise(F.regexp_extract(title, r"-(-?\d+)", 1).try_cast("int"))
+    hi = F.when(higher | lower, first).otherwise(F.regexp_extract(title, r"-?\d+-(-?\d+)", 1).try_cast("int"))
     kind = F.when(higher, "or_higher").when(lower, "or_below").otherwise("range")
     return F.struct(kind.alias("kind"), lo.alias("lo_f"), hi.alias("hi_f"))
 

@@ -25,11 +25,12 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 def ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float = 0.0):
     """Least squares with an L2 penalty `alpha` on the sum of squared weights, intercept free.
 
-    Spark averages the loss over rows, so the penalty is divided by their number."""
+    Spark averages the loss over rows and scales the label to unit deviation first, so the penalty is
+    divided by the row count and multiplied by the label's deviation."""
     rows = assemble(train, features)
-    n = rows.count()
+    n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop(target)).first()
     return LinearRegression(
-        featuresCol="features", labelCol=target, predictionCol="pred", regParam=alpha / n, elasticNetParam=0.0, standardization=False,
+        featuresCol="features", labelCol=target, predictionCol="pred", regParam=alpha * sd / n, elasticNetParam=0.0, standardization=False,
         solver="normal",
     ).fit(rows)
 
