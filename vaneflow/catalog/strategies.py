@@ -19,7 +19,7 @@ from ..operators.quantiles import exact_quantiles
 from ..plans import backtest, models, stats
 from ..plans.features import daily_observations, feature_matrix
 from ..plans.forecasts import forecast_panel, run_maxima
-from ..session import stage
+from ..session import stage, stage_all
 from .aggregates import _STATS, SQL_ZONE, ZONES, r6, rounded_stats
 from .joins import LADDER, ladder, us
 from .registry import query
@@ -46,7 +46,8 @@ class Domain:
     def staged(self):
         """Day list, panel and trade table computed once: one row per station day, hour or bucket."""
         self.days = stage(self.days, "days")
-        return stage(self.table(), "trade_table"), stage(self.panel(), "panel")
+        both = stage_all(table=self.table(), panel=self.panel())
+        return both["table"], both["panel"]
 
     def kind(self, name):
         return self.e.filter(F.col("event_type") == name)

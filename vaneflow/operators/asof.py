@@ -68,6 +68,25 @@ def asof_join(
     return out.select(*keep, *[F.col(f"_m.{n}").alias(n) for n in values])
 
 
+def asof_many(
+    probes: DataFrame, sources: dict[str, tuple[DataFrame, str, str, str]], on: Sequence[str], probe_time: str, cell: str = "1 day",
+) -> DataFrame:
+    """Newest row at or before each probe from several tables with the same key, in one scan.
+
+    `sources` maps an output name to (table, time column, value column, look-back)."""
+    stacked = _side(probes, on, probe_time, (), 1, F.struct("*"), "_p")
+    for name, (data, time, value, _) in sources.items():
+        row = F.struct(F.col(value).alias("v"), F.col(time).alias("at"))
+        stacked = stacked.unionByName(_side(data, on, time, (), 0, row, f"_q_{name}"), allowMissingColumns=True)
+    specs = {f"_m_{name}": ("last", F.col(f"_q_{name}")) for name in sources}
+    out = running(stacked, on, ["_t", "_s"], time_cell("_t", cell), **specs).filter(F.col("_p").isNotNull())
+    picks = []
+    for name, (_, _, _, look_back) in sources.items():
+        age = F.unix_micros("_t") - F.unix_micros(f"_m_{name}.at")
+        picks.append(F.when(age <= interval_micros(look_back), F.col(f"_m_{name}.v")).alias(name))
+    return out.select("_p.*", *picks)
+
+
 def asof_nearest(probes, data, on, probe_time, data_time, values, *, seq=(), tolerance=None, cell="1 day"):
     """Row with the least absolute time distance; the earlier one on a tie."""
     back = {f"_b_{n}": c for n, c in values.items()} | {"_b_at": data_time}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import local_date, peak_window
-from ..operators.asof import asof_join
+from ..operators.asof import asof_join, asof_many
 
 
 def run_maxima(
@@ -81,7 +81,7 @@ def forecast_panel(
     from ..functions.pricing import forecast_spread
 
     probes = hour_probes(days, station, tz, hours)
-    panel = latest_run_max(probes, first, station, "cutoff", "runtime", "value", "first_pred", look_back)
-    panel = latest_run_max(panel, second, station, "cutoff", "runtime", "value", "second_pred", look_back)
+    runs = {"first_pred": (first, "runtime", "value", look_back), "second_pred": (second, "runtime", "value", look_back)}
+    panel = asof_many(probes, runs, [station, "local_date"], "cutoff")
     panel = gridded_peak(panel, grid, station, "probe_id", "cutoff", "init_time", "valid_time", "value", tz, "grid_pred", min_hours)
     return panel.withColumn("spread", forecast_spread("first_pred", "second_pred", "grid_pred"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +83,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_all(**frames: DataFrame) -> dict[str, DataFrame]:
+    """Stage independent intermediates at the same time, so small ones do not wait for each other."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        jobs = {name: pool.submit(stage, df, name) for name, df in frames.items()}
+        return {name: job.result() for name, job in jobs.items()}
+
+
 class Tables:
     """The driver tables of one scale factor, each read with its declared schema."""
 
