@@ -9,9 +9,11 @@ from ..functions import pricing
 from ..functions.calendar import local_date, local_time
 from ..operators import ladder as rungs
 from ..operators.asof import asof_join
+from ..operators.ordered import hash_cell, running, value_cell
 from ..operators.quantiles import exact_quantiles
 from ..operators.resample import bar_last
 from ..plans import stats
+from ..session import stage
 from .joins import LADDER, ladder, us
 from .registry import query
 from .windows import ANCHOR_HOURS, BUCKET_PATH, bucket_path, ev
@@ -243,7 +245,8 @@ def _(t):
     fills = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_shipdate", "l_extendedprice", "l_returnflag").join(owners, "o_orderkey")
     usd = F.round(F.sum("l_extendedprice"), 2).alias("usd")
     # Volume first: the distinct counts are then taken for the hundred largest participants only.
-    top = fills.groupBy("c_custkey").agg(usd).orderBy(F.desc("usd"), "c_custkey").limit(100).select("c_custkey")
+    per_order = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("l_extendedprice"))
+    top = per_order.join(owners, "o_orderkey").groupBy("c_custkey").agg(usd).orderBy(F.desc("usd"), "c_custkey").limit(100).select("c_custkey")
     won = F.col("l_returnflag") == "R"
     detail = fills.join(F.broadcast(top), "c_custkey").groupBy("c_custkey").agg(
         F.count(F.lit(1)).alias("fills"), usd, F.count_distinct("l_partkey").alias("markets"), F.count_distinct("l_shipdate").alias("days"),
@@ -430,13 +433,16 @@ SELECT count(*) AS days, round(avg(near), 6) AS mean_near, round(quantile_cont(n
  round(quantile_cont(wide, 0.9), 6) AS p90_wide, round(avg(usd), 2) AS mean_usd FROM p""")
 def _(t):
     li = t.lineitem.select("l_shipdate", "l_returnflag", "l_extendedprice", "l_quantity")
-    best = li.groupBy("l_shipdate", "l_returnflag").agg(F.min("l_extendedprice").alias("best"))
     px, q = F.col("l_extendedprice"), F.col("l_quantity")
-    # Price points first: the join then meets sums per price, not single lines.
+    # Price points first; the best price of a book is a total over it, carried cell by cell so that a
+    # busy day is never held in one task.
     points = li.groupBy("l_shipdate", "l_returnflag", "l_extendedprice").agg(F.sum("l_quantity").alias("l_quantity"), F.count(F.lit(1)).alias("k"))
-    per_day = points.join(best, ["l_shipdate", "l_returnflag"]).groupBy("l_shipdate").agg(
+    keys = ["l_shipdate", "l_returnflag"]
+    priced = running(points, keys, ["l_extendedprice"], value_cell("l_extendedprice", 2), best=("total_min", px))
+    per_day = priced.groupBy("l_shipdate").agg(
         F.sum(F.when(px <= F.col("best") * 1.2, q)).alias("near"), F.sum(F.when(px <= F.col("best") * 5, q)).alias("wide"),
         F.sum(F.when(px <= F.col("best") * 5, px * F.col("k"))).alias("usd"))
+    per_day = stage(per_day, "per_day")
     means = per_day.agg(F.count(F.lit(1)).alias("days"), r6(F.avg("near"), "mean_near"), F.round(F.avg("usd"), 2).alias("mean_usd"))
     near = exact_quantiles(per_day, [], "near", {"p50_near": 0.5})
     wide = exact_quantiles(per_day, [], "wide", {"p10_wide": 0.1, "p90_wide": 0.9})
@@ -453,8 +459,9 @@ SELECT event_type, model, count(*) AS n, round(avg(abs(pred-actual)), 6) AS mae,
  round(max(abs(pred-actual)), 6) AS max_error, round(quantile_cont(abs(pred-actual), 0.5), 6) AS median_error FROM l GROUP BY 1,2""")
 def _(t):
     e = t.events.select("event_id", "event_type", "value")
-    means = e.groupBy("event_type").agg(F.avg("value").alias("m1"))
-    wide = e.join(F.broadcast(means), "event_type").withColumns({"m2": F.col("event_id") % 97, "m3": F.lit(50.0)})
+    # Few groups, many rows: the group totals come back per hash cell, which keeps every task small.
+    summed = running(e, ["event_type"], ["event_id"], hash_cell("event_id", parts=64), s=("total_sum", F.col("value")), k=("total_count", F.lit(1)))
+    wide = summed.withColumns({"m1": F.col("s") / F.col("k"), "m2": F.col("event_id") % 97, "m3": F.lit(50.0)})
     long = stats.unpivot_models(wide, ["event_type", "value"], {"group mean": "m1", "counter": "m2", "constant": "m3"})
     long = long.withColumn("abs_error", F.abs(F.col("pred") - F.col("value")))
     m = stats.error_metrics(long, ["event_type", "model"], "pred", "value")

@@ -14,7 +14,7 @@ from ..operators.joins import diff_tables
 from ..operators.quantiles import exact_quantiles
 from ..sources.sinks import write_partitioned
 from .aggregates import SQL_BOOKS, books, r6
-from .joins import gridded, of_type
+from .joins import of_type
 from .registry import query
 from .scalars import SQL_RAW, raw_fills, raw_reports, raw_text
 from .windows import ev
@@ -239,8 +239,10 @@ SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_u
 def _(t):
     token = F.when(F.col("ma") == "0", F.col("ta")).otherwise(F.col("ma"))
     known = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.concat(F.lit("Y"), "p_partkey").alias("py"), F.concat(F.lit("N"), "p_partkey").alias("pn"))
-    rows = raw_fills(t).select("l_partkey", token.alias("token")).join(known, "l_partkey")
-    return rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("token") != F.col("py")) & (F.col("token") != F.col("pn"))).alias("n_unknown"))
+    counted = raw_fills(t).groupBy("l_partkey", token.alias("token")).agg(F.count(F.lit(1)).alias("k"))
+    foreign = (F.col("token") != F.col("py")) & (F.col("token") != F.col("pn"))
+    return counted.join(known, "l_partkey").groupBy("p_brand").agg(
+        F.sum("k").alias("n"), F.sum(F.when(foreign, F.col("k")).otherwise(0)).alias("n_unknown"))
 
 
 @query("dq_volume_reconcile", """
@@ -257,9 +259,10 @@ def _(t):
 @query("dq_lifetime", """
 SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE l_shipdate < o_orderdate - INTERVAL 7 DAY) AS n_early FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1""")
 def _(t):
-    j = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").join(t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
+    trades = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").agg(F.count(F.lit(1)).alias("k"))
+    j = trades.join(t.orders.select("o_orderkey", "o_orderdate", "o_orderpriority"), "o_orderkey")
     early = F.col("l_shipdate") < F.col("o_orderdate") - F.expr("INTERVAL 7 DAYS")
-    return j.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.count_if(early).alias("n_early"))
+    return j.groupBy("o_orderpriority").agg(F.sum("k").alias("n"), F.sum(F.when(early, F.col("k")).otherwise(0)).alias("n_early"))
 
 
 @query("dq_nonempty", """
@@ -280,4 +283,3 @@ def _(t):
                                            r6(F.avg(n), "mean_n"), F.max(n).alias("max_n"))
 
 
-__all__ = ["gridded"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import calendar, parsing, pricing
 from ..plans.stats import equal_width_bin
 from .aggregates import SQL_ZONE, SQL_ZONED, r6, zoned
-from .joins import us
 from .registry import query
 from .windows import ev
 
@@ -328,4 +327,3 @@ def _(t):
     return out.withColumns({n: F.when(F.col(n) == 0, 0.0).otherwise(F.col(n)) for n, k in out.dtypes if k == "double"})
 
 
-__all__ = ["raw_fills", "raw_reports", "us", "ev"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import plus_hours
-from ..functions.parsing import OBS_NUMERIC
 from ..sources import readers, sinks
 from .joins import of_type, us
 from .registry import query
@@ -252,4 +251,3 @@ def _(t):
     return t.spark.read.schema(sinks.RUNS_SCHEMA).parquet(f"{root}/runs").select("source", "status", "rows_written", "rows_null_key")
 
 
-__all__ = ["OBS_NUMERIC"]

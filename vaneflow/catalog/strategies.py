@@ -14,7 +14,7 @@ from ..functions import pricing
 from ..functions.calendar import local_midnight, plus_hours
 from ..operators.asof import asof_join, window_lookup
 from ..operators.ladder import favorite, ladder_gate, nearest_bucket
-from ..operators.ordered import previous, time_cell
+from ..operators.ordered import hash_cell, running
 from ..operators.quantiles import exact_quantiles
 from ..plans import backtest, models, stats
 from ..plans.features import daily_observations, feature_matrix
@@ -252,17 +252,20 @@ def _(t):
 SELECT p_brand, count(*) AS n, round(avg(l_extendedprice / 10000 - p_size / 10), 6) AS bias, CAST(round_even(avg(l_extendedprice / 10000 - p_size / 10) / 2, 0) AS BIGINT) AS shift
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def _(t):
-    j = t.lineitem.select("l_partkey", "l_extendedprice").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size"), "l_partkey")
-    bias = F.avg(F.col("l_extendedprice") / 10000 - F.col("p_size") / 10)
-    return j.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), r6(bias, "bias"), F.bround(bias / 2, 0).cast("long").alias("shift"))
+    per_part = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("k"), F.sum("l_extendedprice").alias("s"))
+    j = per_part.join(t.part.select("p_partkey", "p_brand", "p_size"), "p_partkey")
+    bias = F.sum(F.col("s") / 10000 - F.col("k") * F.col("p_size") / 10) / F.sum("k")
+    return j.groupBy("p_brand").agg(F.sum("k").alias("n"), r6(bias, "bias"), F.bround(bias / 2, 0).cast("long").alias("shift"))
 
 
 @query("anomaly_vs_group_mean", """
 WITH m AS (SELECT event_type, avg(value) AS m FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1)
 SELECT event_id, round(value - m, 6) AS anomaly FROM events JOIN m USING (event_type)""")
 def _(t):
-    means = t.events.filter("ts < TIMESTAMP '2024-01-20'").groupBy("event_type").agg(F.avg("value").alias("m"))
-    return t.events.select("event_id", "event_type", "value").join(means, "event_type").select("event_id", r6z(F.col("value") - F.col("m"), "anomaly"))
+    past = F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp"), F.col("value"))
+    summed = running(ev(t), ["event_type"], ["event_id"], hash_cell("event_id", parts=64), s=("total_sum", past), k=("total_count", past))
+    mean = F.try_divide("s", "k")
+    return summed.filter(mean.isNotNull()).select("event_id", r6z(F.col("value") - mean, "anomaly"))
 
 
 _LINE = """WITH s AS (SELECT l_returnflag AS g, l_linestatus = 'F' AS train, l_quantity AS x, l_discount * 100 AS z, l_extendedprice / 1000 AS y FROM lineitem)"""
@@ -300,7 +303,7 @@ SELECT g, n, round(any_value(w1), 6) AS w_x, round(any_value(w2), 6) AS w_z, rou
 def _(t):
     rows = regression_rows(t)
     fits = models.ridge_by_group(rows.filter("train"), ["g"], ["x", "z"], "y", 5.0)
-    test = rows.filter("NOT train").join(F.broadcast(fits), "g")
+    test = rows.filter("NOT train").join(fits, "g")
     mae = test.groupBy("g").agg(r6(F.avg(F.abs(F.col("y") - models.linear_prediction(["x", "z"]))), "mae_test"))
     return fits.join(mae, "g").select("g", "n", r6(F.get("weights", F.lit(0)), "w_x"), r6(F.get("weights", F.lit(1)), "w_z"), r6("intercept", "intercept"), r6("sigma", "sigma"), "mae_test")
 
@@ -602,5 +605,3 @@ def _(t):
     target = fav.select("station", "local_date", (F.col("bucket") + 1).alias("bucket"), "spread")
     return target.join(table, ["station", "local_date", "bucket"]).select("station", dcol(), "bucket", r6("spread", "spread"), "entry_price")
 
-
-__all__ = ["previous", "time_cell"]
