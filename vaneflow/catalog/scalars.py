@@ -8,7 +8,6 @@ from ..functions import calendar, parsing, pricing
 from ..plans.stats import equal_width_bin
 from .aggregates import SQL_ZONE, SQL_ZONED, r6, zoned
 from .registry import query
-from .windows import ev
 
 I = "event_id"  # noqa: E741
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import fee_per_share
-from .ordered import CELL, running, split_hot, value_cell
+from .ordered import running, split_hot, value_cell
 
 
 def favorite(ladder: DataFrame, group: Sequence[str], index: str, price: str, *cols: str) -> DataFrame:
@@ -114,7 +114,3 @@ def ladder_gate(table: DataFrame, group: Sequence[str], price: str, forecast: st
     )
     return table.join(good, list(group), "left_semi")
 
-
-__all__ = [
-    "CELL", "book_walk", "favorite", "fresh_sums", "ladder_gate", "ladder_shape", "ladder_sums", "nearest_bucket",
-]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import complement, trade_pnl
 from ..operators.asof import asof_join
-from ..operators.joins import offset_partner
 from ..operators.ladder import ladder_gate, nearest_bucket
 from .stats import stat_columns
 
@@ -120,4 +119,3 @@ def rule_trades(context: DataFrame, ladder: DataFrame, group: str, index: str, f
     return picks.join(ladder.select(group, index, *cols), [group, index])
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["offset_partner"]

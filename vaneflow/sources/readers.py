@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parsing import first_present, lenient_double, station_code, type_observations
+from ..functions.parsing import first_present, lenient_double, type_observations
 from ..functions.pricing import fill_fields
 from ..operators.joins import union_by_name
 
@@ -171,4 +171,3 @@ def nearest_grid_point(
     return union_by_name(done)
 
 
-__all__ = [n for n in dir() if n.startswith(("read_", "type_", "select_", "nearest_"))] + ["station_code"]
