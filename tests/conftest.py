@@ -6,11 +6,19 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from vaneflow.session import build_session  # noqa: E402
+from vaneflow.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session()
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session(**{"spark.checkpoint.dir": f"file://{shared}"})
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def _release_scratch(request):
+    yield
+    if "spark" in request.fixturenames:
+        release(request.getfixturevalue("spark"))

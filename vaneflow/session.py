@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -59,18 +58,42 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     return spark
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for tables that cut lineage: `spark.checkpoint.dir`, or one set here when it is unset."""
+    """Shared folder for tables that cut lineage: `spark.checkpoint.dir`, else a folder in the warehouse.
+
+    The setting is trusted.  Without it, a warehouse on a local path is only used when the master is
+    local too; on a cluster every machine would write to a disk of its own, so that is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return fallback_root(spark.sparkContext.master, warehouse)
+
+
+def fallback_root(master: str, warehouse: str) -> str:
+    """The scratch folder below `warehouse`, refused where machines of a cluster would not share it."""
+    local_master = master == "local" or master.startswith("local[")
+    local_path = warehouse.startswith("file:") or "://" not in warehouse
+    if local_path and not local_master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse.rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/vaneflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; `release` removes it."""
+    path = f"{scratch_root(spark).rstrip('/')}/vaneflow/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch folders handed out so far; call it when results that read them are written."""
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
