@@ -5,7 +5,7 @@ from __future__ import annotations
 #: Places of matches: gaps and matches alternate, so their lengths add up.
 _PLACES = """
 CREATE_NAME AS (
-  SELECT doc_id, row, KIND AS kind, unnest(list_transform(range(1, len(m) + 1), i -> {'s': list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0), 'm': m[i]})) AS span
+  SELECT doc_id, row, KIND AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {'s': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0), 'm': m[i]})) AS span
   FROM (SELECT doc_id, row, regexp_extract_all(text, PATTERN) AS m, regexp_split_to_array(text, PATTERN) AS g FROM d WHERE regexp_matches(text, PATTERN)) WHERE len(m) > 0)"""
 
 
@@ -32,20 +32,20 @@ def _spans(kinds: list[str], parts: dict[str, tuple[str, str]], base: int, count
 
 _DIGITS = "regexp_replace($m, '[^0-9]', '', 'g')"
 _LUHN = (
-    f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), i -> CASE WHEN i % 2 = 0 "
+    f"length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 0 "
     f"THEN 2 * substr(reverse({_DIGITS}), i, 1)::INT - CASE WHEN substr(reverse({_DIGITS}), i, 1)::INT > 4 THEN 9 ELSE 0 END ELSE substr(reverse({_DIGITS}), i, 1)::INT END)) % 10 = 0"
 )
 _IBAN = "replace($m, ' ', '')"
 _MOD97 = (
-    f"list_reduce(list_prepend(0, list_transform(string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), c -> CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), "
-    "(acc, v) -> CASE WHEN v >= 10 THEN (acc * 100 + v) % 97 ELSE (acc * 10 + v) % 97 END) = 1"
+    f"list_reduce(list_prepend(0, list_transform(string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), "
+    "lambda acc, v: CASE WHEN v >= 10 THEN (acc * 100 + v) % 97 ELSE (acc * 10 + v) % 97 END) = 1"
 )
 _PII = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split($m, '.'), p -> try_cast(p AS HUGEINT) IS NULL OR try_cast(p AS HUGEINT) > 255)) = 0"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split($m, '.'), lambda p: try_cast(p AS HUGEINT) IS NULL OR try_cast(p AS HUGEINT) > 255)) = 0"),
     "card": (r"[0-9](?:[ -]?[0-9])+", _LUHN),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
-    "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", _MOD97),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", _MOD97),
 }
 _SECRETS = {
     "assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]+", r"length(regexp_extract($m, '^(?i:password|passwd|secret|token|api_?key)[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
@@ -55,12 +55,13 @@ _SECRETS = {
     "webtoken": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
 }
 
+OP2 = "SELECT doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban FROM (" + _spans(list(_PII), _PII, 4, list(_PII)) + ")"
 OP7 = _spans(list(_SECRETS), _SECRETS, 3, ["assign", "access", "hex"], ", sha256(text) AS blob")
 
 OP8 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS c FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.c) + 1), i -> q.c[i] * r.c[i]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * r.c[i]))::BIGINT AS score
       FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
@@ -95,8 +96,8 @@ o AS (SELECT t.*, e.epoch, e.leaf_budget, e.room, sum(t.tokens) OVER (PARTITION
 SELECT doc_id, domain, lang, source, epoch, tokens, leaf_budget FROM o WHERE upto <= room"""
 
 OP3 = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), x -> x <> '') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d),
 n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
 x AS (SELECT doc_id, unnest(sh) AS g FROM s),
 f AS (SELECT g, count(*) AS df FROM x GROUP BY g HAVING count(*) > 1),
@@ -108,4 +109,4 @@ lk AS MATERIALIZED (SELECT a, b FROM sim WHERE 100 * i >= 85 * (t - i) UNION SEL
 reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM lk UNION SELECT r.a, lk.b FROM r JOIN lk ON r.b = lk.a) SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(m, n.doc_id)) AS kept FROM n LEFT JOIN reach ON n.doc_id = reach.a"""
 
-ORACLES = {"op3_setsketch_dedup": OP3, "op7_secret_ledger": OP7, "op8_exact_top_k": OP8, "op9_source_mix": OP9}
+ORACLES = {"op2_pii_spans": OP2, "op3_setsketch_dedup": OP3, "op7_secret_ledger": OP7, "op8_exact_top_k": OP8, "op9_source_mix": OP9}

@@ -32,7 +32,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_digest(table(spark, sf_dir, "documents"))
+    return pii_digest(table(spark, sf_dir, "documents")).drop("top_score")
 
 
 def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ ASSIGN_VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-WEBTOKEN = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+WEBTOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 
 #: The least length of what is assigned.
 ASSIGNED = 6
