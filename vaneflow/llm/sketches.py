@@ -6,17 +6,19 @@ sets agree in a register about as often as their Jaccard similarity.  Bands of r
 joint likelihood of all registers discards hopeless ones, and the full sets confirm the rest.
 
 Copies of a set form a class and only its least document goes on.  In a band bucket nobody is paired with
-everybody: the least member, the hub, is checked against the others, and those linked to it are settled.
-Only members that still lie in different components are checked against each other."""
+everybody.  Its hub, the member that shares most buckets with others and so lies most central, is checked
+against the rest, and those linked to it are settled.  Members that still lie in different components meet
+by an exact prefix filter: sets of a large loose group differ from each other in rare shingles, so those
+with too many that no other open set has are out, and only sets that share one of their rarest are paired.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -28,8 +30,8 @@ ROWS, BANDS = 4, 28
 BASE, RATE, TOP = 1.02, 20.0, 4_095
 #: Pairs are discarded when the similarity asked for is e^16 times less likely than the likeliest one.
 LEAST_LOG_RATIO = -16.0
-#: Hub rounds before members of different components are checked against each other.
-HUB_ROUNDS = 2
+#: How often sets are held against what they have alone before they are paired.
+BOUND_ROUNDS = 2
 
 
 def registers(elements: np.ndarray, m: int) -> np.ndarray:
@@ -141,6 +143,46 @@ def _confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     return both.filter(shared.cast("long") * denominator >= union.cast("long") * numerator).select("u", "v")
 
 
+def _split(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold different components."""
+    mixed = members.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter(F.col("a") != F.col("b")).select("band")
+    return members.join(mixed, "band", "left_semi")
+
+
+def _bounded(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Members that can be similar to another of their bucket; adds most, the size of the largest such set.
+
+    A set of n shingles, p of which no other open set has, shares n - p at most, so a set of m is similar
+    to it only while (numerator + denominator) (n - p) >= numerator (n + m)."""
+    of = sets.join(members.select("v").distinct(), "v", "left_semi").select("v", F.explode("elements").alias("e"))
+    alone = of.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v")).filter(F.col("c") == 1).groupBy("v").agg(F.count(F.lit(1)).alias("p"))
+    most = F.floor((F.col("n") - F.coalesce("p", F.lit(0))) * (numerator + denominator) / numerator - F.col("n") + 1e-6).cast("long")
+    capped = members.drop("most").join(alone, "v", "left").withColumn("most", most).drop("p")
+    bounds = capped.groupBy("band").agg(F.min("n").alias("least_n"), F.max("most").alias("top"))
+    return capped.join(bounds, "band").filter((F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("top"))).drop("least_n", "top")
+
+
+def _meet_in_prefix(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (u, v) of different components that can be similar, by an exact prefix filter.
+
+    With the shingles of a set in order of frequency, rarest first, similar sets share one of the first
+    ``n - ceil(t n) + 1`` of each.  Shingles that only one component holds there form no pairs, and a pair
+    is formed at the first shingle that both prefixes share."""
+    vertices = members.select("v", "n", "most", "root").distinct()
+    of = sets.join(vertices, "v").select("v", "n", "most", "root", F.explode("elements").alias("e"))
+    frequency = of.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("v").orderBy("df", "e")
+    length = F.col("n") - F.ceil(F.col("n") * numerator / denominator - 1e-9) + 1
+    ranked = of.join(frequency.filter(F.col("df") > 1), "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("at", F.row_number().over(rarest)).filter((F.col("at") <= length) & (F.col("df") > 1))
+    prefix = ranked.groupBy("v", "n", "most", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "e"))), lambda x: x["e"]).alias("prefix"))
+    mixed = stage(_split(prefix.select("*", F.explode("prefix").alias("band"))), "prefixes")
+    a, b = (mixed.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "most", "root", "prefix")]) for side in "ab")
+    apart = (F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    first = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == a["band"]
+    return a.join(b, (a["band"] == b["band"]) & apart & first).select(F.col("v_a").alias("u"), F.col("v_b").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, numerator: int = 80, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, n_shingles, component_id, kept of every document: linked when denominator * shared >= numerator * union.
 
@@ -156,40 +198,29 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, numerator: int = 80, denomin
     classes = stage(one.filter(F.col("n") > 0).groupBy("n", "f1", "f2").agg(F.min("v").alias("rep")), "classes")
     vertices = stage(keyed.join(classes.select("n", "f1", "f2", F.col("rep").alias("v")), ["v", "n", "f1", "f2"]).dropDuplicates(["v"]), "vertices")
 
-    bands = vertices.select("v", F.explode("bands").alias("band"))
-    met = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1).select("band")
-    members = stage(bands.join(met, "band"), "buckets")
-    involved = members.select("v").distinct()
-    texts = docs.select(F.col(key), F.col(text)).join(involved.select(F.col("v").alias(key)), key, "left_semi")
+    bands = vertices.select("v", "n", F.explode("bands").alias("band"))
+    met = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    joined = bands.join(met, "band")
+    central = joined.groupBy("v").agg(F.sum("size").alias("central"))
+    members = stage(joined.drop("size").join(central, "v"), "buckets")
+    involved = central.select(F.col("v").alias(key))
+    texts = docs.select(F.col(key), F.col(text)).join(involved, key, "left_semi")
     sets = stage(_sets(texts, k, key, text).join(vertices.select("v", "f1", "f2"), ["v", "f1", "f2"], "left_semi").dropDuplicates(["v"]), "sets")
 
-    links: list[DataFrame] = []
-    checked: list[DataFrame] = []
-    roots = None
-    open_members = members.withColumn("root", F.col("v"))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hubs = open_members.groupBy("band").agg(F.min(F.struct("v", "root")).alias("hub"))
-            met = open_members.join(hubs, "band").filter(F.col("root") != F.col("hub.root")).select(F.col("hub.v").alias("u"), "v")
-        else:
-            a, b = (open_members.select("band", F.col("v").alias(c), F.col("root").alias(f"root_{c}")) for c in ("u", "v"))
-            met = a.join(b, "band").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))).select("u", "v")
-        pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        for old in checked:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        likely = stage(_likely(pairs, vertices, numerator, denominator), "likely")
-        checked.append(likely)
-        links.append(stage(_confirm(likely, sets, numerator, denominator), "links"))
-        roots = components(reduce(DataFrame.union, links))
-        if turn == HUB_ROUNDS:
-            break
-        # A hub has met all members of its buckets; what is left are the others, where they differ.
-        rest = open_members.join(hubs.select("band", F.col("hub.v").alias("v")), ["band", "v"], "left_anti").select("band", "v")
-        rooted = rest.join(roots, "v", "left").select("band", "v", F.coalesce("root", "v").alias("root"))
-        split = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter(F.col("a") != F.col("b")).select("band")
-        open_members = stage(rooted.join(split, "band", "left_semi"), "open")
-        if open_members.isEmpty():
-            break
+    hubs = members.groupBy("band").agg(F.max(F.struct("central", "v")).alias("hub"))
+    met = members.join(hubs, "band").select(F.col("hub.v").alias("u"), "v").filter(F.col("u") != F.col("v"))
+    pairs = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    likely = stage(_likely(pairs, vertices, numerator, denominator), "likely")
+    links = stage(_confirm(likely, sets, numerator, denominator), "links")
+    roots = components(links)
+    # A hub has met all members of its buckets; what is left are the others, where they lie apart.
+    rest = members.join(hubs.select("band", F.col("hub.v").alias("v")), ["band", "v"], "left_anti").select("band", "v", "n")
+    left = stage(_split(rest.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))), "open")
+    for _ in range(BOUND_ROUNDS):  # fewer open sets have more to themselves
+        left = stage(_split(_bounded(left, sets, numerator, denominator)), "open")
+    more = _meet_in_prefix(left, sets, numerator, denominator).distinct().join(likely, ["u", "v"], "left_anti")
+    links = links.union(stage(_confirm(stage(_likely(more, vertices, numerator, denominator), "likely"), sets, numerator, denominator), "links"))
+    roots = components(links)
 
     rep_roots = classes.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
     out = one.join(rep_roots, ["n", "f1", "f2"], "left").select(F.col("v").alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "v").alias("component_id"))

@@ -12,7 +12,7 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
