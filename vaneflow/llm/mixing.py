@@ -74,8 +74,9 @@ def leaf_budgets(leaves: DataFrame, plan: MixPlan) -> DataFrame:
     languages = languages.withColumn("held", F.when(_weight(F.col("lang"), plan.languages, plan.other) > 0, F.col("held")).otherwise(0))
     domains = languages.groupBy("domain").agg(F.sum("held").alias("held"), F.sum("tokens").alias("tokens"))
     domains = domains.withColumn("held", F.when(_weight(F.col("domain"), plan.domains, plan.other) > 0, F.col("held")).otherwise(0))
-    root = domains.agg(F.floor(F.sum(F.col("tokens").cast("decimal(38,0)")) * plan.budget_percent / 100).cast("long").alias("budget"), F.lit(0).alias("root"))
-    top = share_out(domains.withColumn("root", F.lit(0)).join(root, "root"), ["root"], "domain", _weight(F.col("domain"), plan.domains, plan.other))
+    every = Window.partitionBy("root")  # one row for each domain
+    budget = F.floor(F.sum(F.col("tokens").cast("decimal(38,0)")).over(every) * plan.budget_percent / 100).cast("long")
+    top = share_out(domains.withColumn("root", F.lit(0)).withColumn("budget", budget), ["root"], "domain", _weight(F.col("domain"), plan.domains, plan.other))
     middle = share_out(languages.join(top.select("domain", F.col("given").alias("budget")), "domain"), ["domain"], "lang", _weight(F.col("lang"), plan.languages, plan.other))
     low = share_out(held.join(middle.select("domain", "lang", F.col("given").alias("budget")), ["domain", "lang"]), ["domain", "lang"], "source", _weight(F.col("source"), plan.sources, plan.other))
     return low.select("domain", "lang", "source", "tokens", "documents", F.col("given").alias("budget"))
