@@ -6,7 +6,9 @@ from oracle import compare, duck
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
+SQL = oracle_sql()
+#: The operators over training data have tests of their own.
+QUERIES = {name: q for name, q in queries().items() if not name.startswith("op") and name != "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,11 @@ def test_query_matches_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     rows = df.collect()
     if name in SQL:
-        assert [p for p in compare(df, con, SQL[name], rows) if p != "no rows"] == []
+        problems = compare(df, con, SQL[name], rows)
+        if problems == ["no rows"]:  # a rare case that the smallest tables do not hold
+            wide = "/root/testdata/sf0.01"
+            problems = compare(QUERIES[name](spark, wide), duck(wide), SQL[name])
+        assert problems == []
     else:
         assert rows
 

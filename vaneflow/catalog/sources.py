@@ -90,37 +90,43 @@ def _(t):
         F.when(k % 4 > 0, F.to_json(F.array(price, F.lit("0.5")))).alias("outcomePrices"), (k % 11).cast("string").alias("groupItemThreshold"),
         F.when(k % 2 == 0, F.col("p_retailprice")).alias("volumeNum"), F.col("p_retailprice").cast("string").alias("volume")))
     path = t.scratch("markets")
-    t.part.select(doc.alias("value")).write.text(path)
+    # Indented and over several lines, as the feed writes its documents: a list of at most 500 for each file.
+    listed = t.part.select(doc.alias("doc"), F.floor(k / 500).alias("piece")).groupBy("piece").agg(F.concat(F.lit("[\n  "), F.array_join(F.collect_list("doc"), ",\n  "), F.lit("\n]")).alias("value"))
+    listed.write.partitionBy("piece").text(path)
     m = readers.read_markets(t.spark, path)
     return m.select("slug", F.size("clob_token_ids").alias("n_tokens"), "yes_token_id", "no_token_id", F.get("outcome_prices", F.lit(0)).alias("p_yes"),
                     F.col("group_item_threshold").alias("threshold"), "volume_num")
 
 
 @query("scan_fills_json", """
-SELECT 'm-' || l_partkey AS slug, CASE l_returnflag WHEN 'A' THEN 'Y' ELSE 'N' END || l_partkey AS token, count(*) AS n, round(sum(l_quantity), 2) AS shares, CAST(min(epoch(l_shipdate)) AS BIGINT) AS first_s FROM lineitem GROUP BY 1, 2""")
+SELECT 'm-' || l_suppkey AS slug, CASE l_returnflag WHEN 'A' THEN 'Y' ELSE 'N' END || l_suppkey AS token, count(*) AS n, round(sum(l_quantity), 2) AS shares, CAST(min(epoch(l_shipdate)) AS BIGINT) AS first_s FROM lineitem GROUP BY 1, 2""")
 def _(t):
-    token = F.concat(F.when(F.col("l_returnflag") == "A", "Y").otherwise("N"), F.col("l_partkey"))
+    token = F.concat(F.when(F.col("l_returnflag") == "A", "Y").otherwise("N"), F.col("l_suppkey"))
     # One document per order and token: a document stays small even when one market is hot.
     one = F.struct(F.lit("0").alias("makerAssetId"), token.alias("takerAssetId"), F.lit("1").alias("makerAmountFilled"),
                    (F.col("l_quantity") * 1_000_000).cast("long").cast("string").alias("takerAmountFilled"), F.unix_seconds("l_shipdate").cast("string").alias("timestamp"))
-    doc = F.to_json(F.struct(F.concat(F.lit("m-"), F.col("l_partkey")).alias("slug"), F.create_map(token, F.array(one)).alias("fills")))
+    doc = F.to_json(F.create_map(token, F.array(one)))
     path = t.scratch("fills")
-    t.lineitem.select(doc.alias("value")).write.text(path)
-    out = readers.read_fill_documents(t.spark, path)
+    t.lineitem.select(doc.alias("value"), F.concat(F.lit("m-"), F.col("l_suppkey")).alias("slug")).write.partitionBy("slug").text(path)
+    out = readers.read_fill_documents(t.spark, path, whole_files=False)
     return out.groupBy("slug", "token").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("takerAmountFilled").cast("double") / 1e6), 2).alias("shares"),
                                             F.min(F.col("timestamp").cast("long")).alias("first_s"))
 
 
 @query("scan_price_history_json", """
-SELECT 'u-' || user_id AS slug, CAST(floor(epoch(ts)) AS BIGINT) AS t_s, value AS p_yes FROM events WHERE event_id % 10 > 0""")
+SELECT 'u-' || user_id AS slug, 'hour' AS series, CAST(floor(epoch(ts)) AS BIGINT) AS t_s, value AS p_yes, CAST(floor(epoch(ts)) AS BIGINT) + 60 AS fetched_s FROM events WHERE event_id % 10 > 0
+UNION ALL SELECT 'u-' || user_id, 'minute', CAST(floor(epoch(ts)) AS BIGINT), 0.5, CAST(floor(epoch(ts)) AS BIGINT) + 60 FROM events""")
 def _(t):
     point = lambda p: F.array(F.struct(F.unix_seconds("ts").alias("t"), p.alias("p")))
     e = t.events
     doc = F.to_json(F.struct(F.concat(F.lit("u-"), F.col("user_id")).alias("slug"), point(F.when(F.col("event_id") % 10 > 0, F.col("value"))).alias("history_max_h60"),
-                             point(F.lit(0.5)).alias("history_1m")))
+                             point(F.lit(0.5)).alias("history_1d_min1"),
+                             F.date_format(F.timestamp_seconds(F.unix_seconds("ts") + 60), "yyyy-MM-dd HH:mm:ss").alias("fetched_at")))
     path = t.scratch("history")
     e.select(doc.alias("value")).write.text(path)
-    return readers.read_price_history(t.spark, path).select("slug", F.unix_seconds("timestamp").alias("t_s"), "p_yes")
+    series = {"hour": "history_max_h60", "minute": "history_1d_min1"}
+    rows = [readers.read_price_history(t.spark, path, column).withColumn("series", F.lit(name)) for name, column in series.items()]
+    return rows[0].union(rows[1]).select("slug", "series", F.unix_seconds("timestamp").alias("t_s"), "p_yes", F.unix_seconds("fetched_at").alias("fetched_s"))
 
 
 def book_messages(t):

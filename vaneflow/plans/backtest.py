@@ -27,11 +27,6 @@ def run_selector(table: DataFrame, selector: Selector, group: str, price: str, f
     return chosen.withColumn("pnl", trade_pnl(price, won))
 
 
-def run_selector_pandas(table: DataFrame, choose, group: str, schema: str) -> DataFrame:
-    """Escape hatch for pandas selectors; a gated ladder holds a handful of buckets."""
-    return table.groupBy(group).applyInPandas(choose, schema)
-
-
 def first_consensus_hour(panel: DataFrame, keys: Sequence[str], limit: Column | float, floor: Column | int) -> DataFrame:
     """Earliest hour at or after the floor at which all forecasts agree within the limit."""
     limit = limit if isinstance(limit, Column) else F.lit(limit)

@@ -17,7 +17,7 @@ MARKET_SCHEMA = """slug STRING, conditionId STRING, question STRING, outcomes ST
 FILL_EVENT = """STRUCT<makerAssetId: STRING, takerAssetId: STRING, makerAmountFilled: STRING, takerAmountFilled: STRING,
  timestamp: STRING, maker: STRING, taker: STRING, fee: STRING, transactionHash: STRING, orderHash: STRING>"""
 POINTS = "ARRAY<STRUCT<t: LONG, p: DOUBLE>>"
-HISTORY_SCHEMA = f"slug STRING, condition_id STRING, yes_token_id STRING, closed BOOLEAN, history_max_h60 {POINTS}, history_1m {POINTS}"
+HISTORY_SCHEMA = f"slug STRING, condition_id STRING, yes_token_id STRING, closed BOOLEAN, fetched_at STRING, history_max_h60 {POINTS}, history_1d_min1 {POINTS}"
 BOOK_SCHEMA = f"""event_type STRING, type STRING, asset_id STRING, timestamp STRING, _received_at STRING, bids {LEVELS}, asks {LEVELS},
  price_changes ARRAY<STRUCT<asset_id: STRING, price: STRING, size: STRING, side: STRING, best_bid: STRING, best_ask: STRING>>,
  price STRING, size STRING, side STRING, _corrupt STRING"""
@@ -41,8 +41,8 @@ def read_forecast_csv(spark: SparkSession, path, columns: Sequence[str], integer
     from ..functions.calendar import lead_hours
 
     raw = _raw_csv(spark, path, columns)
-    times = {c: F.to_timestamp(F.col(c)) for c in ("runtime", "ftime")}
-    numbers = {c: lenient_double(c).cast("int") for c in integers}
+    times = {c: F.try_to_timestamp(F.col(c)) for c in ("runtime", "ftime")}
+    numbers = {c: lenient_double(c).try_cast("int") for c in integers}
     return raw.withColumns(times | numbers).withColumn("lead_hours", lead_hours("runtime", "ftime"))
 
 
@@ -79,8 +79,8 @@ def json_list(col: str, element: str = "string"):
 
 
 def read_markets(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per market, with the lists that arrive as text parsed."""
-    raw = spark.read.schema(MARKET_SCHEMA).option("recursiveFileLookup", True).json(path)
+    """One JSON document per market, indented or not, or a list of them per file; lists that arrive as text are parsed."""
+    raw = spark.read.schema(MARKET_SCHEMA).option("recursiveFileLookup", True).option("multiLine", True).json(path)
     tokens = json_list("clobTokenIds")
     prices = F.transform(json_list("outcomePrices"), lambda p: p.try_cast("double"))
     return raw.select(
@@ -93,10 +93,16 @@ def read_markets(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_fill_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents mapping a token to its list of exchange events, flattened; the slug is the file's folder."""
-    raw = spark.read.schema(f"fills MAP<STRING, ARRAY<{FILL_EVENT}>>, slug STRING").option("recursiveFileLookup", True).json(path)
-    per_token = raw.select("slug", F.explode("fills").alias("token", "events"))
+def read_fill_documents(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Documents that map a token to its list of exchange events, flattened.
+
+    One document per file (or per line, without `whole_files`).  The slug is the file's name without its
+    ending; files in a `slug=...` folder take it from there.  Broken documents give no rows."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=whole_files)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/slug=([^/]+)/", 1)
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    events = F.from_json("value", f"MAP<STRING, ARRAY<{FILL_EVENT}>>")
+    per_token = raw.select(F.coalesce(F.nullif(folder, F.lit("")), name).alias("slug"), F.explode(events).alias("token", "events"))
     return per_token.select("slug", "token", F.explode("events").alias("e")).select("slug", "token", "e.*")
 
 
@@ -113,9 +119,9 @@ def type_fills(events: DataFrame, markets: DataFrame) -> DataFrame:
 def read_price_history(spark: SparkSession, path: str, series: str = "history_max_h60") -> DataFrame:
     """One of the two series embedded in each document; points without time or price are skipped."""
     raw = spark.read.schema(HISTORY_SCHEMA).option("recursiveFileLookup", True).json(path)
-    points = raw.select("slug", "condition_id", "yes_token_id", F.col("closed").alias("closed_at_fetch"), F.explode(series).alias("x"))
+    points = raw.select("slug", "condition_id", "yes_token_id", F.col("closed").alias("closed_at_fetch"), F.try_to_timestamp("fetched_at").alias("fetched_at"), F.explode(series).alias("x"))
     return points.filter("x.t IS NOT NULL AND x.p IS NOT NULL").select(
-        "slug", F.timestamp_seconds("x.t").alias("timestamp"), F.col("x.p").alias("p_yes"), "condition_id", "yes_token_id", "closed_at_fetch")
+        "slug", F.timestamp_seconds("x.t").alias("timestamp"), F.col("x.p").alias("p_yes"), "condition_id", "yes_token_id", "closed_at_fetch", "fetched_at")
 
 
 def read_book_messages(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from ..session import stage
 
 def route_messages(messages: DataFrame, tokens: DataFrame) -> DataFrame:
     """Add receive time, hour folder and the slug of each message's token; `tokens` is a static table."""
-    received = F.to_timestamp("_received_at")
+    received = F.try_to_timestamp("_received_at")
     timed = messages.withColumns({"received_at": received, "hour": F.date_format(received, "yyyy-MM-dd-HH")})
     return timed.join(tokens, "asset_id", "left")
 
@@ -31,7 +31,7 @@ def top_of_book(messages: DataFrame) -> DataFrame:
         level_count("bids").alias("n_bid_levels"), level_count("asks").alias("n_ask_levels")))
     rows = F.when(F.col("event_type") == "book", book).when(F.col("event_type") == "price_change", change)
     return messages.select(
-        F.to_timestamp("_received_at").alias("received_at"), F.timestamp_millis(F.col("timestamp").try_cast("long")).alias("server_ts"), "event_type",
+        F.try_to_timestamp("_received_at").alias("received_at"), F.timestamp_millis(F.col("timestamp").try_cast("long")).alias("server_ts"), "event_type",
         F.explode(rows).alias("r"),
     ).select("received_at", "server_ts", "event_type", "r.*").withColumns({"mid": mid("best_bid", "best_ask"), "spread": spread("best_bid", "best_ask")})
 
