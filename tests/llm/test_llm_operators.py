@@ -177,6 +177,25 @@ def test_near_duplicates_of_hostile_rows(docs, none):
     assert sketches.near_duplicates(none).collect() == []
 
 
+@pytest.mark.parametrize(("numerator", "denominator"), [(85, 100), (80, 100), (1, 2)])
+def test_differences_from_the_hub_lose_no_pair(spark, numerator, denominator):
+    rnd = random.Random(numerator)
+    base = set(range(60))
+    sets = {0: base}
+    for i in range(1, 90):  # around the hub, some of them around one another too
+        of = sets[rnd.randrange(i)] if rnd.random() < 0.5 else base
+        gone = set(rnd.sample(sorted(of), rnd.randint(0, 9)))
+        sets[i] = (of - gone) | {rnd.randint(60, 110) for _ in range(rnd.randint(0, 9))}
+    similar = lambda a, b: denominator * len(sets[a] & sets[b]) >= numerator * len(sets[a] | sets[b])
+    near = [(0, i, 0 if similar(0, i) else i, 0) for i in range(1, 90) if sets[i] != base]
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "v long, elements array<long>")
+    met = sketches._meet_in_differences(spark.createDataFrame(near, "hub long, v long, root long, hub_root long"), frame, numerator, denominator).collect()
+    root = {i: r for _, i, r, _ in near}
+    want = {(a, b) for a in root for b in root if a < b and root[a] != root[b] and similar(a, b)}
+    assert want and want <= {tuple(p) for p in met}
+    assert len(met) == len(set(met))
+
+
 def test_registers_merge_and_estimate():
     rnd = np.random.default_rng(1)
     a, b = rnd.integers(0, 1 << 63, 900).astype(np.uint64), rnd.integers(0, 1 << 63, 300).astype(np.uint64)

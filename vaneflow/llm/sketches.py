@@ -8,8 +8,9 @@ joint likelihood of all registers discards hopeless ones, and the full sets conf
 Copies of a set form a class and only its least document goes on.  In a band bucket nobody is paired with
 everybody.  Its hub, the member that shares most buckets with others and so lies most central, is checked
 against the rest, and those linked to it are settled.  Members that still lie in different components meet
-by an exact prefix filter: sets of a large loose group differ from each other in rare shingles, so those
-with too many that no other open set has are out, and only sets that share one of their rarest are paired.
+by an exact prefix filter over what each differs in from the hub: two sets that are not both linked to it are
+similar only where they share a large part of these differences, so only those are paired that share one of
+the rarest.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ ROWS, BANDS = 4, 28
 BASE, RATE, TOP = 1.02, 20.0, 4_095
 #: Pairs are discarded when the similarity asked for is e^16 times less likely than the likeliest one.
 LEAST_LOG_RATIO = -16.0
-#: How often sets are held against what they have alone before they are paired.
-BOUND_ROUNDS = 2
 
 
 def registers(elements: np.ndarray, m: int) -> np.ndarray:
@@ -149,38 +148,48 @@ def _split(members: DataFrame) -> DataFrame:
     return members.join(mixed, "band", "left_semi")
 
 
-def _bounded(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Members that can be similar to another of their bucket; adds most, the size of the largest such set.
-
-    A set of n shingles, p of which no other open set has, shares n - p at most, so a set of m is similar
-    to it only while (numerator + denominator) (n - p) >= numerator (n + m)."""
-    of = sets.join(members.select("v").distinct(), "v", "left_semi").select("v", F.explode("elements").alias("e"))
-    alone = of.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v")).filter(F.col("c") == 1).groupBy("v").agg(F.count(F.lit(1)).alias("p"))
-    most = F.floor((F.col("n") - F.coalesce("p", F.lit(0))) * (numerator + denominator) / numerator - F.col("n") + 1e-6).cast("long")
-    capped = members.drop("most").join(alone, "v", "left").withColumn("most", most).drop("p")
-    bounds = capped.groupBy("band").agg(F.min("n").alias("least_n"), F.max("most").alias("top"))
-    return capped.join(bounds, "band").filter((F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("top"))).drop("least_n", "top")
-
-
-def _meet_in_prefix(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (u, v) of different components that can be similar, by an exact prefix filter.
-
-    With the shingles of a set in order of frequency, rarest first, similar sets share one of the first
-    ``n - ceil(t n) + 1`` of each.  Shingles that only one component holds there form no pairs, and a pair
-    is formed at the first shingle that both prefixes share."""
-    vertices = members.select("v", "n", "most", "root").distinct()
-    of = sets.join(vertices, "v").select("v", "n", "most", "root", F.explode("elements").alias("e"))
-    frequency = of.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("v").orderBy("df", "e")
-    length = F.col("n") - F.ceil(F.col("n") * numerator / denominator - 1e-9) + 1
-    ranked = of.join(frequency.filter(F.col("df") > 1), "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = ranked.withColumn("at", F.row_number().over(rarest)).filter((F.col("at") <= length) & (F.col("df") > 1))
-    prefix = ranked.groupBy("v", "n", "most", "root").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "e"))), lambda x: x["e"]).alias("prefix"))
-    mixed = stage(_split(prefix.select("*", F.explode("prefix").alias("band"))), "prefixes")
-    a, b = (mixed.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("v", "n", "most", "root", "prefix")]) for side in "ab")
-    apart = (F.col("v_a") < F.col("v_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
-    first = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == a["band"]
-    return a.join(b, (a["band"] == b["band"]) & apart & first).select(F.col("v_a").alias("u"), F.col("v_b").alias("v"))
+def _differences(near: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """What every (hub, v) differs in: d, the symmetric difference of both sets, and its slack.
+
+    slack is (numerator + denominator) |d| - (denominator - numerator) n, so that v and the hub are similar
+    while slack <= (denominator - numerator) n_hub."""
+    side = lambda c: sets.select(F.col("v").alias(c), F.col("elements").alias(f"e_{c}"))
+    d = F.array_union(F.array_except("e_v", "e_hub"), F.array_except("e_hub", "e_v"))
+    both = near.join(side("hub"), "hub").join(side("v"), "v").select("hub", "v", "root", "hub_root", F.size("e_v").cast("long").alias("n"), F.size("e_hub").alias("n_hub"), d.alias("d"))
+    return both.withColumn("slack", F.size("d") * (numerator + denominator) - F.col("n") * (denominator - numerator))
+
+
+def _meet_in_differences(near: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (u, v) of different components around one hub that can be similar, by an exact prefix filter.
+
+    Sets v and w are similar if and only if their differences from the hub share
+    (slack_v + slack_w) / 2 (numerator + denominator) shingles or more.  That is at least one, as two
+    components are not both linked to the hub, so the rarest shingles of both differences have to meet: for
+    the set of less slack those left by a partner of no less slack (and, where it belongs to the hub's
+    component, of one not linked to the hub), for the other those left by a partner whose whole difference
+    is shared."""
+    total, gap = numerator + denominator, denominator - numerator
+    of = stage(_differences(near, sets, numerator, denominator), "differences")
+    single = of.select("hub", "v", "slack", "root", "hub_root", "n", "n_hub", F.size("d").alias("size"), F.explode("d").alias("e"))
+    frequency = single.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
+    partner = F.when(F.col("root") == F.col("hub_root"), F.greatest("slack", F.col("n_hub") * gap + 1)).otherwise(F.col("slack"))
+    shares_low = F.greatest(F.lit(1), F.ceil((F.col("slack") + partner) / (2 * total) - 1e-9))
+    shares_high = F.greatest(F.lit(1), F.ceil((F.col("slack") - F.floor(F.col("n") * denominator / numerator + 1e-9) * gap) / total - 1e-9))
+    rarest = Window.partitionBy("hub", "v").orderBy("df", "e")
+    ranked = single.join(frequency, ["hub", "e"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("at", F.row_number().over(rarest)).withColumns({"low": F.col("size") - shares_low + 1, "high": F.col("size") - shares_high + 1})
+    ranked = ranked.filter((F.col("df") > 1) & (F.col("at") <= F.greatest("low", "high")))
+    prefix = F.array_sort(F.collect_list(F.struct("df", "e", "at")))
+    head = lambda end: F.transform(F.filter("prefix", lambda x: x["at"] <= F.col(end)), lambda x: x["e"])
+    heads = ranked.groupBy("hub", "v", "slack", "root", "n", "size", "low", "high").agg(prefix.alias("prefix"))
+    heads = stage(heads.select("hub", "v", "slack", "root", "n", "size", head("low").alias("low"), head("high").alias("high")), "prefixes")
+    side = lambda role: heads.select("hub", F.explode(role).alias("e"), role, *[F.col(c).alias(f"{c}_{role}") for c in ("v", "slack", "root", "n", "size")])
+    a, b = side("low"), side("high")
+    ordered = F.struct("slack_low", "v_low") < F.struct("slack_high", "v_high")
+    fits = (F.least("n_low", "n_high") * denominator >= F.greatest("n_low", "n_high") * numerator) & (F.col("slack_low") + F.col("slack_high") <= F.least("size_low", "size_high") * (2 * total))
+    first = F.element_at(F.array_intersect("low", "high"), 1) == a["e"]
+    met = a.join(b, (a["hub"] == b["hub"]) & (a["e"] == b["e"]) & (F.col("root_low") != F.col("root_high")) & ordered & fits & first)
+    return met.select(F.least("v_low", "v_high").alias("u"), F.greatest("v_low", "v_high").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, numerator: int = 80, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,9 +225,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, numerator: int = 80, denomin
     # A hub has met all members of its buckets; what is left are the others, where they lie apart.
     rest = members.join(hubs.select("band", F.col("hub.v").alias("v")), ["band", "v"], "left_anti").select("band", "v", "n")
     left = stage(_split(rest.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))), "open")
-    for _ in range(BOUND_ROUNDS):  # fewer open sets have more to themselves
-        left = stage(_split(_bounded(left, sets, numerator, denominator)), "open")
-    more = _meet_in_prefix(left, sets, numerator, denominator).distinct().join(likely, ["u", "v"], "left_anti")
+    near = left.join(hubs.select("band", F.col("hub.v").alias("hub")), "band").select("hub", "v", "root").distinct()
+    near = near.join(roots.select(F.col("v").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    more = _meet_in_differences(near, sets, numerator, denominator).distinct().join(likely, ["u", "v"], "left_anti")
     links = links.union(stage(_confirm(stage(_likely(more, vertices, numerator, denominator), "likely"), sets, numerator, denominator), "links"))
     roots = components(links)
 
