@@ -149,12 +149,13 @@ def _split(members: DataFrame) -> DataFrame:
 
 
 def _differences(near: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """What every (hub, v) differs in: d, the symmetric difference of both sets, and its slack.
+    """What every (hub, v) differs in: d, the symmetric difference of both sets (own: not in the hub), and its slack.
 
     slack is (numerator + denominator) |d| - (denominator - numerator) n, so that v and the hub are similar
     while slack <= (denominator - numerator) n_hub."""
     side = lambda c: sets.select(F.col("v").alias(c), F.col("elements").alias(f"e_{c}"))
-    d = F.array_union(F.array_except("e_v", "e_hub"), F.array_except("e_hub", "e_v"))
+    part = lambda a, b, own: F.transform(F.array_except(a, b), lambda e: F.struct(e.alias("e"), F.lit(own).alias("own")))
+    d = F.concat(part("e_v", "e_hub", True), part("e_hub", "e_v", False))
     both = near.join(side("hub"), "hub").join(side("v"), "v").select("hub", "v", "root", "hub_root", F.size("e_v").cast("long").alias("n"), F.size("e_hub").alias("n_hub"), d.alias("d"))
     return both.withColumn("slack", F.size("d") * (numerator + denominator) - F.col("n") * (denominator - numerator))
 
@@ -167,26 +168,31 @@ def _meet_in_differences(near: DataFrame, sets: DataFrame, numerator: int, denom
     components are not both linked to the hub, so the rarest shingles of both differences have to meet: for
     the set of less slack those left by a partner of no less slack (and, where it belongs to the hub's
     component, of one not linked to the hub), for the other those left by a partner whose whole difference
-    is shared."""
+    is shared.  What only one set of the group has or lacks is never shared: own and lost count the rest, by
+    its two parts, and they and the places of the first shingle met bound what a pair can share."""
     total, gap = numerator + denominator, denominator - numerator
     of = stage(_differences(near, sets, numerator, denominator), "differences")
-    single = of.select("hub", "v", "slack", "root", "hub_root", "n", "n_hub", F.size("d").alias("size"), F.explode("d").alias("e"))
+    single = of.select("hub", "v", "slack", "root", "hub_root", "n", "n_hub", F.size("d").alias("size"), F.inline("d"))
     frequency = single.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1)
     partner = F.when(F.col("root") == F.col("hub_root"), F.greatest("slack", F.col("n_hub") * gap + 1)).otherwise(F.col("slack"))
     shares_low = F.greatest(F.lit(1), F.ceil((F.col("slack") + partner) / (2 * total) - 1e-9))
     shares_high = F.greatest(F.lit(1), F.ceil((F.col("slack") - F.floor(F.col("n") * denominator / numerator + 1e-9) * gap) / total - 1e-9))
-    rarest = Window.partitionBy("hub", "v").orderBy("df", "e")
+    each = Window.partitionBy("hub", "v")
+    count = lambda c: F.sum(F.when((F.col("df") > 1) & c, 1).otherwise(0)).over(each)
     ranked = single.join(frequency, ["hub", "e"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = ranked.withColumn("at", F.row_number().over(rarest)).withColumns({"low": F.col("size") - shares_low + 1, "high": F.col("size") - shares_high + 1})
+    ranked = ranked.withColumns({"at": F.row_number().over(each.orderBy("df", "e")), "lost": count(~F.col("own")), "own": count(F.col("own"))}).withColumns({"low": F.col("size") - shares_low + 1, "high": F.col("size") - shares_high + 1})
     ranked = ranked.filter((F.col("df") > 1) & (F.col("at") <= F.greatest("low", "high")))
     prefix = F.array_sort(F.collect_list(F.struct("df", "e", "at")))
     head = lambda end: F.transform(F.filter("prefix", lambda x: x["at"] <= F.col(end)), lambda x: x["e"])
-    heads = ranked.groupBy("hub", "v", "slack", "root", "n", "size", "low", "high").agg(prefix.alias("prefix"))
-    heads = stage(heads.select("hub", "v", "slack", "root", "n", "size", head("low").alias("low"), head("high").alias("high")), "prefixes")
-    side = lambda role: heads.select("hub", F.explode(role).alias("e"), role, *[F.col(c).alias(f"{c}_{role}") for c in ("v", "slack", "root", "n", "size")])
+    facts = ["v", "slack", "root", "n", "own", "lost"]
+    heads = ranked.groupBy("hub", *facts, "low", "high").agg(prefix.alias("prefix"))
+    heads = stage(heads.select("hub", *facts, head("low").alias("low"), head("high").alias("high")), "prefixes")
+    side = lambda role: heads.select("hub", F.posexplode(role).alias(f"at_{role}", "e"), role, *[F.col(c).alias(f"{c}_{role}") for c in facts])
     a, b = side("low"), side("high")
     ordered = F.struct("slack_low", "v_low") < F.struct("slack_high", "v_high")
-    fits = (F.least("n_low", "n_high") * denominator >= F.greatest("n_low", "n_high") * numerator) & (F.col("slack_low") + F.col("slack_high") <= F.least("size_low", "size_high") * (2 * total))
+    after = lambda role: F.col(f"own_{role}") + F.col(f"lost_{role}") - F.col(f"at_{role}")
+    most = F.least(F.least("own_low", "own_high") + F.least("lost_low", "lost_high"), after("low"), after("high"))
+    fits = (F.least("n_low", "n_high") * denominator >= F.greatest("n_low", "n_high") * numerator) & (F.col("slack_low") + F.col("slack_high") <= most * (2 * total))
     first = F.element_at(F.array_intersect("low", "high"), 1) == a["e"]
     met = a.join(b, (a["hub"] == b["hub"]) & (a["e"] == b["e"]) & (F.col("root_low") != F.col("root_high")) & ordered & fits & first)
     return met.select(F.least("v_low", "v_high").alias("u"), F.greatest("v_low", "v_high").alias("v"))
@@ -228,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, numerator: int = 80, denomin
     near = left.join(hubs.select("band", F.col("hub.v").alias("hub")), "band").select("hub", "v", "root").distinct()
     near = near.join(roots.select(F.col("v").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
     more = _meet_in_differences(near, sets, numerator, denominator).distinct().join(likely, ["u", "v"], "left_anti")
-    links = links.union(stage(_confirm(stage(_likely(more, vertices, numerator, denominator), "likely"), sets, numerator, denominator), "links"))
+    links = links.union(stage(_confirm(stage(more, "open"), sets, numerator, denominator), "links"))
     roots = components(links)
 
     rep_roots = classes.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
