@@ -160,8 +160,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """The rows of `docs` that are predicted good, all their columns unchanged."""
-    statistics = text_statistics(F.col(text))
-    model = learn(stage(docs.select(F.col(key), *[c.alias(n) for n, c in statistics.items()]), "statistics"), labels, key, label)
+    # Stored with the rows: a filter would work out each statistic again for every rule that tests it.
     box = "_quality_" + "_".join(docs.columns)  # a name that no column has
-    scored = docs.withColumn(box, F.struct(*[c.alias(n) for n, c in statistics.items()]))
-    return scored.filter(model.score(box) >= THRESHOLD).drop(box)
+    statistics = F.struct(*[c.alias(n) for n, c in text_statistics(F.col(text)).items()])
+    scanned = stage(docs.withColumn(box, statistics), "statistics")
+    model = learn(scanned.select(F.col(key), *[F.col(box)[n].alias(n) for n in FEATURES]), labels, key, label)
+    return scanned.filter(model.score(box) >= THRESHOLD).drop(box)
