@@ -69,7 +69,6 @@ def main() -> int:
     parser.add_argument("--sf", default="0.01")
     parser.add_argument("--module", default=None)
     parser.add_argument("--dir", default=None, help="a folder of tables instead of a scale factor")
-    parser.add_argument("--hot-rows", default="2000000", help="row floor above which a key counts as hot")
     args = parser.parse_args()
     from vaneflow.catalog import load
     from vaneflow.catalog.registry import BUILDERS, ORACLES, runnable
@@ -78,7 +77,6 @@ def main() -> int:
     load()
     spark = build_session()
     sf_dir = args.dir or f"/root/testdata/sf{args.sf}"
-    spark.conf.set("vaneflow.hotRowsFloor", args.hot_rows)
     con = duck(sf_dir)
     failed = 0
     for name in args.names or BUILDERS:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vaneflow.operators.asof import asof_anchors, asof_join, asof_nearest, window_lookup
 from vaneflow.operators.ordered import (
-    HOT_ROWS_FLOOR, hash_cell, hot_keys, neighbours, previous, running, shift, split_hot, time_cell, value_cell,
+    RANGE, cut, neighbours, previous, running, shift, time_cell, value_cell,
 )
 from vaneflow.operators.quantiles import exact_quantiles
 
@@ -78,19 +78,24 @@ def test_neighbours_across_blocks(data):
         neighbours(data, ["k"], ["ts", "id"], time_cell("ts"), {}, before=20, block=20)
 
 
-def test_split_hot_isolates_only_hot_keys(spark, data):
-    spark.conf.set(HOT_ROWS_FLOOR, "200")
-    try:
-        assert [r.k for r in hot_keys(data, ["k"]).collect()] == [0]
-        filled = data.fillna(0.0, ["v"])
-        marked = split_hot(filled, ["k"], value_cell("v", 8))
-        cells = {r.k: r.n for r in marked.groupBy("k").agg(F.count_distinct("_cell").alias("n")).collect()}
-        assert cells[0] > 10 and all(n == 1 for k, n in cells.items() if k != 0)
-        got = running(marked, ["k"], ["v", "id"], None, s=("sum", F.col("v")))
-        w = Window.partitionBy("k").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
-        same(got, filled.withColumn("s", F.sum("v").over(w)), "id", "s")
-    finally:
-        spark.conf.unset(HOT_ROWS_FLOOR)
+@pytest.mark.parametrize("reverse", [False, True])
+def test_running_over_ranges_equals_plain_window(data, reverse):
+    """Without a cell the rows are cut into ranges, in which a hot key spans several."""
+    ranged = cut(data, ["k"], ["ts", "id"], rows=50)
+    assert ranged.filter("k = 0").select(RANGE).distinct().count() > 3
+    order = [F.desc("ts"), F.desc("id")] if reverse else [F.asc("ts"), F.asc("id")]
+    w = Window.partitionBy("k").orderBy(*order)
+    want = data.withColumns({"s": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "last": F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    specs = {"s": ("sum", F.col("v")), "last": ("last", F.col("v"))}
+    for got in (running(data, ["k"], ["ts", "id"], reverse=reverse, **specs), running(ranged, ["k"], ["ts", "id"], F.col(RANGE), reverse=reverse, **specs)):
+        same(got, want, "id", "s", "last")
+
+
+def test_ranges_do_not_grow_with_the_rows(data):
+    """Ten times the rows at the same keys and times: more ranges, not larger ones."""
+    more = data.withColumn("id", F.explode(F.sequence(F.col("id") * 10, F.col("id") * 10 + 9)))
+    largest = [cut(df, ["k"], ["ts", "id"], rows=60).groupBy(RANGE).count().agg(F.max("count")).first()[0] for df in (data, more)]
+    assert max(largest) <= 2 * 60, largest
 
 
 def test_value_cell_never_decreases(spark):
@@ -98,7 +103,6 @@ def test_value_cell_never_decreases(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "v DOUBLE").withColumn("c", value_cell("v"))
     cells = [r.c for r in df.orderBy("v").collect()]
     assert cells == sorted(cells)
-    assert df.select(hash_cell("v", parts=4).alias("h")).filter("h < 0 OR h > 3").count() == 0
 
 
 def brute(probes, quotes, pick):
@@ -112,7 +116,8 @@ def brute(probes, quotes, pick):
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("exact", [True, False])
 @pytest.mark.parametrize("tolerance", [None, "2 hours"])
-def test_asof_equals_brute_force(spark, direction, exact, tolerance):
+@pytest.mark.parametrize("cell", [None, "5 hours"])
+def test_asof_equals_brute_force(spark, direction, exact, tolerance, cell):
     p, q = rows(150, 2), rows(300, 3)
     limit = dt.timedelta(hours=2) if tolerance else dt.timedelta.max
 
@@ -127,7 +132,7 @@ def test_asof_equals_brute_force(spark, direction, exact, tolerance):
 
     schema = "id LONG, k LONG, ts TIMESTAMP, v DOUBLE"
     got = asof_join(spark.createDataFrame(p, schema), spark.createDataFrame(q, schema), ["k"], "ts", "ts", {"qid": "id"},
-                    seq=["id"], direction=direction, exact=exact, tolerance=tolerance, cell="5 hours")
+                    seq=["id"], direction=direction, exact=exact, tolerance=tolerance, cell=cell)
     assert {r.id: r.qid for r in got.collect()} == brute(p, q, pick)
 
 

@@ -14,7 +14,6 @@ from ..functions import pricing
 from ..functions.calendar import local_midnight, plus_hours
 from ..operators.asof import asof_join, window_lookup
 from ..operators.ladder import favorite, ladder_gate, nearest_bucket
-from ..operators.ordered import hash_cell, running
 from ..operators.quantiles import exact_quantiles
 from ..plans import backtest, models, stats
 from ..plans.features import daily_observations, feature_matrix
@@ -263,9 +262,8 @@ WITH m AS (SELECT event_type, avg(value) AS m FROM events WHERE ts < TIMESTAMP '
 SELECT event_id, round(value - m, 6) AS anomaly FROM events JOIN m USING (event_type)""")
 def _(t):
     past = F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp"), F.col("value"))
-    summed = running(ev(t), ["event_type"], ["event_id"], hash_cell("event_id", parts=64), s=("total_sum", past), k=("total_count", past))
-    mean = F.try_divide("s", "k")
-    return summed.filter(mean.isNotNull()).select("event_id", r6z(F.col("value") - mean, "anomaly"))
+    means = ev(t).groupBy("event_type").agg(F.try_divide(F.sum(past), F.count(past)).alias("mean")).filter("mean is not null")
+    return ev(t).join(means, "event_type").select("event_id", r6z(F.col("value") - F.col("mean"), "anomaly"))
 
 
 _LINE = """WITH s AS (SELECT l_returnflag AS g, l_linestatus = 'F' AS train, l_quantity AS x, l_discount * 100 AS z, l_extendedprice / 1000 AS y FROM lineitem)"""

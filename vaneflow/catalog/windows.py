@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import series
 from ..operators.asof import asof_anchors
 from ..operators.joins import union_by_name
-from ..operators.ordered import neighbours, previous, running, shift, time_cell, value_cell
+from ..operators.ordered import neighbours, previous, running, shift
 from ..operators.resample import resample_ffill
 from .joins import LADDER, ladder, of_type, us
 from .registry import query
@@ -26,7 +26,7 @@ WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS U
 def _(t):
     e = ev(t).withColumn("d", F.to_date("ts"))
     v = F.col("value")
-    return running(e, ["user_id", "d"], ORD, time_cell("ts", "6 hours"), run_max=("max", v), run_min=("min", v)).select(
+    return running(e, ["user_id", "d"], ORD, run_max=("max", v), run_min=("min", v)).select(
         "event_id", "run_max", "run_min"
     )
 
@@ -63,7 +63,7 @@ SELECT event_id, lag(value,1) OVER w AS lag_1, lag(value,5) OVER w AS lag_5, lag
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def _(t):
     steps = {"lag_1": 1, "lag_5": 5, "lag_60": 60, "lead_1": -1, "lead_10": -10, "lead_20": -20}
-    out = neighbours(ev(t), ["event_type"], ORD, time_cell("ts"), {n: shift("value", k) for n, k in steps.items()},
+    out = neighbours(ev(t), ["event_type"], ORD, None, {n: shift("value", k) for n, k in steps.items()},
                      before=60, after=20)
     return out.select("event_id", *steps)
 
@@ -84,7 +84,7 @@ WITH n AS (SELECT o_orderpriority, o_totalprice, ntile(3) OVER (PARTITION BY o_o
 SELECT o_orderpriority, tile, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM n GROUP BY 1,2""")
 def _(t):
     o = t.orders.select("o_orderpriority", "o_totalprice", "o_orderkey")
-    ranked = running(o, ["o_orderpriority"], ["o_totalprice", "o_orderkey"], value_cell("o_totalprice", 64),
+    ranked = running(o, ["o_orderpriority"], ["o_totalprice", "o_orderkey"],
                      rn=("count", F.lit(1)), n=("total_count", F.lit(1)))
     tile = ntile_of(F.col("rn"), F.col("n"), 3)
     return ranked.groupBy("o_orderpriority", tile.alias("tile")).agg(
@@ -147,7 +147,7 @@ def _(t):
 SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 13 PRECEDING), 6) AS mean_14,
  round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 20 PRECEDING), 6) AS mean_21 FROM events""")
 def _(t):
-    out = neighbours(ev(t), ["user_id"], ORD, time_cell("ts"), {
+    out = neighbours(ev(t), ["user_id"], ORD, None, {
         "mean_14": lambda win: F.avg("value").over(win(-13, 0)), "mean_21": lambda win: F.avg("value").over(win(-20, 0))}, before=20)
     return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("mean_14", "mean_21")])
 
@@ -157,7 +157,7 @@ WITH r AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) O
 SELECT CASE WHEN rn <= n * 0.7 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(value), 6) AS mean_value,
  epoch_us(min(ts)) AS first_us FROM r GROUP BY 1""")
 def _(t):
-    r = running(of_type(t, "purchase"), [], ORD, time_cell("ts", "6 hours"), rn=("count", F.lit(1)), n=("total_count", F.lit(1)))
+    r = running(of_type(t, "purchase"), [], ORD, rn=("count", F.lit(1)), n=("total_count", F.lit(1)))
     part = F.when(F.col("rn") <= F.col("n") * 0.7, "train").otherwise("test")
     return r.groupBy(part.alias("part")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.unix_micros(F.min("ts")).alias("first_us")
@@ -169,7 +169,7 @@ WITH c AS (SELECT event_id, user_id, count(*) OVER w AS n_cum, round(sum(value)
  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, n_cum, usd_cum FROM c""")
 def _(t):
-    out = running(ev(t), ["user_id"], ORD, time_cell("ts"), n_cum=("count", F.lit(1)), usd_cum=("sum", F.col("value")))
+    out = running(ev(t), ["user_id"], ORD, n_cum=("count", F.lit(1)), usd_cum=("sum", F.col("value")))
     return out.select("event_id", "n_cum", F.round("usd_cum", 4).alias("usd_cum"))
 
 
@@ -177,7 +177,7 @@ def _(t):
 SELECT event_id, sum(CASE WHEN value >= 30 THEN 1 ELSE 0 END) OVER
  (PARTITION BY event_type ORDER BY ts, event_id ROWS 2 PRECEDING) = 3 AS sustained FROM events""")
 def _(t):
-    return series.sustained(ev(t), ["event_type"], ORD, time_cell("ts"), F.col("value") >= 30, 3).select("event_id", "sustained")
+    return series.sustained(ev(t), ["event_type"], ORD, F.col("value") >= 30, 3).select("event_id", "sustained")
 
 
 @query("first_crossing", """
@@ -194,10 +194,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY slug, d ORDER BY ts, event_id) A
 SELECT slug, kind, CAST(d AS VARCHAR) AS d, res AS resolution, epoch_us(ts) AS lock_us, rmax AS max_at_lock FROM r WHERE rn=1""")
 def _(t):
     obs = ev(t).withColumns({"station": (F.col("user_id") % 5).cast("int"), "d": F.to_date("ts")})
-    keys, cells = ["station", "d"], time_cell("ts", "6 hours")
-    obs = running(obs, keys, ORD, cells, rmax=("max", F.col("value")))
+    keys = ["station", "d"]
+    obs = running(obs, keys, ORD, rmax=("max", F.col("value")))
     # Three rows in a row beyond an edge is the same as their minimum being beyond it, for every strike.
-    obs = neighbours(obs, keys, ORD, cells, {
+    obs = neighbours(obs, keys, ORD, None, {
         "low3": lambda win: F.min("value").over(win(-2, 0)), "seen": lambda win: F.count("value").over(win(-2, 0))}, before=2)
     n = F.col("n_nationkey")
     kind = F.when(n % 3 == 0, "or_higher").when(n % 3 == 1, "or_below").otherwise("range")
@@ -282,7 +282,7 @@ SELECT th, CASE WHEN mv > 0 THEN 'up' ELSE 'down' END AS direction, count(*) AS
  round(avg(n10-value),6) AS m10, round(avg(n20-value),6) AS m20, count(*) FILTER (WHERE (n1-value)*mv < 0) AS n_revert FROM x GROUP BY 1,2""")
 def _(t):
     steps = {"p1": 1, "n1": -1, "n5": -5, "n10": -10, "n20": -20}
-    near = neighbours(ev(t), ["event_type"], ORD, time_cell("ts"), {n: shift("value", k) for n, k in steps.items()}, before=1, after=20)
+    near = neighbours(ev(t), ["event_type"], ORD, None, {n: shift("value", k) for n, k in steps.items()}, before=1, after=20)
     v, mv = F.col("value"), F.col("value") - F.col("p1")
     hits = near.withColumn("th", F.explode(F.array(*map(F.lit, (20, 50, 100))))).filter(F.abs(mv) >= F.col("th"))
     return hits.groupBy("th", F.when(mv > 0, "up").otherwise("down").alias("direction")).agg(
@@ -296,7 +296,7 @@ WITH l AS (SELECT user_id, ts, value - lag(value) OVER (PARTITION BY user_id ORD
 SELECT user_id, count(*) AS n, round(sum(abs(s)), 4) AS total_variation, round(stddev_samp(s), 6) AS step_sd,
  round(sum(abs(s)) / (nullif(epoch_us(max(ts)) - epoch_us(min(ts)), 0) / 3.6e9), 6) AS per_hour, max(abs(s)) AS largest FROM l GROUP BY 1""")
 def _(t):
-    steps = previous(ev(t), ["user_id"], ORD, time_cell("ts"), pv=F.col("value")).withColumn("s", F.col("value") - F.col("pv"))
+    steps = previous(ev(t), ["user_id"], ORD, pv=F.col("value")).withColumn("s", F.col("value") - F.col("pv"))
     total = F.sum(F.abs("s"))
     hours = F.nullif(F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts")), F.lit(0)) / 3.6e9
     return steps.groupBy("user_id").agg(
@@ -310,7 +310,7 @@ WITH q AS (SELECT event_type, value * 0.99 AS bid, lead(value * 1.01, 5) OVER (P
 SELECT event_type, count(ask5) AS n, round(avg(bid - ask5), 6) AS mean_pnl FROM q GROUP BY 1""")
 def _(t):
     q = ev(t).withColumns({"bid": F.col("value") * 0.99, "ask": F.col("value") * 1.01})
-    out = neighbours(q, ["event_type"], ORD, time_cell("ts"), {"ask5": shift("ask", -5)}, after=5)
+    out = neighbours(q, ["event_type"], ORD, None, {"ask5": shift("ask", -5)}, after=5)
     return out.groupBy("event_type").agg(F.count("ask5").alias("n"), F.round(F.avg(F.col("bid") - F.col("ask5")), 6).alias("mean_pnl"))
 
 
@@ -320,7 +320,7 @@ SELECT event_type, count(p) AS n, round(corr(b, p), 6) AS r, round(avg(b) FILTER
  round(avg(b) FILTER (WHERE p <= 0), 6) AS after_neg FROM l GROUP BY 1""")
 def _(t):
     e = ev(t).withColumn("b", F.col("value") - 50)
-    lagged = previous(e, ["event_type"], ORD, time_cell("ts"), p=F.col("b"))
+    lagged = previous(e, ["event_type"], ORD, p=F.col("b"))
     return lagged.groupBy("event_type").agg(
         F.count("p").alias("n"), F.round(F.corr("b", "p"), 6).alias("r"),
         F.round(F.avg(F.when(F.col("p") > 0, F.col("b"))), 6).alias("after_pos"),
@@ -332,7 +332,7 @@ def _(t):
 WITH l AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS g FROM events)
 SELECT user_id, count(g) AS n, round(avg(g) / 6e7, 4) AS mean_minutes, round(max(g) / 6e7, 4) AS max_minutes FROM l GROUP BY 1""")
 def _(t):
-    lagged = previous(ev(t), ["user_id"], ORD, time_cell("ts"), p=F.col("ts"))
+    lagged = previous(ev(t), ["user_id"], ORD, p=F.col("ts"))
     gap = F.unix_micros("ts") - F.unix_micros("p")
     return lagged.groupBy("user_id").agg(
         F.count("p").alias("n"), F.round(F.avg(gap) / 6e7, 4).alias("mean_minutes"), F.round(F.max(gap) / 6e7, 4).alias("max_minutes")

@@ -30,13 +30,15 @@ def asof_join(
     exact: bool = True,
     tolerance: str | None = None,
     how: str = "left",
-    cell: str = "1 day",
+    cell: str | None = "1 day",
 ) -> DataFrame:
     """Attach to each probe the newest data row at or before it (or the first at or after it).
 
     `values` maps output names to data columns; use it to bring the data time along.  `seq` orders
     data rows of equal time: the last one wins backward, the first one forward.  Both sides are
-    stacked and scanned once per key and time cell, so nothing is paired up and a hot key is split."""
+    stacked and scanned once per key and time cell, so nothing is paired up and a hot key is split.
+    `cell` is the width of a cell; with None cells are ranges of `CELL_ROWS` rows, which costs a write of
+    both sides and pays where one key holds more rows in that time than a task can."""
     backward = direction == "backward"
     data_rank, probe_rank = (0, 1) if backward == exact else (1, 0)
     left = _side(probes, on, probe_time, (), probe_rank, F.struct("*"), "_p")
@@ -50,7 +52,9 @@ def asof_join(
         stacked = stacked.withColumn(f"_o{i}", F.coalesce(F.col(f"_o{i}"), F.lit(0 if kind != "string" else "").cast(kind)))
     order = ["_t", "_s", *[f"_o{i}" for i in range(len(seq))]]
     time_type = dict(stacked.dtypes)["_t"]
-    cells = time_cell("_t", cell) if time_type == "timestamp" else F.floor(F.col("_t") / F.lit(float(cell))).cast("long")
+    cells = None
+    if cell is not None:
+        cells = time_cell("_t", cell) if time_type == "timestamp" else F.floor(F.col("_t") / F.lit(float(cell))).cast("long")
     out = running(stacked, on, order, cells, reverse=not backward, _m=("last", F.col("_q")))
     out = out.filter(F.col("_p").isNotNull())
     match = F.col("_m")

@@ -89,7 +89,7 @@ def evenly_spaced(files: DataFrame, name: str, n: int) -> DataFrame:
     from .ordered import running
 
     # File lists are small next to the data; the position comes from a count along the sorted names.
-    ranked = running(ordered, [], [name], F.lit(0), _i=("count", F.lit(1)))
+    ranked = running(ordered, [], [name], _i=("count", F.lit(1)))
     i = F.col("_i") - 1
     keep = ((i % step == 0) & (F.floor(i / step) < n)) | (i == total - 1)
     return ranked.filter(keep).select(name)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import fee_per_share
-from .ordered import running, split_hot, value_cell
+from .ordered import running
 
 
 def favorite(ladder: DataFrame, group: Sequence[str], index: str, price: str, *cols: str) -> DataFrame:
@@ -80,11 +80,10 @@ def book_walk(
     """Average fill, filled size and fee when taking each target size from the best level on.
 
     Cumulative size along the price decides what every level contributes; deep books are cut into
-    price bands."""
+    ranges of levels."""
     book = list(book)
     signed = levels.withColumn("_walk", -F.col(price) if side == "bid" else F.col(price))
-    signed = split_hot(signed, book, value_cell("_walk"))
-    placed = running(signed, book, ["_walk"], None, exclusive=True, _before=("sum", F.col(size)))
+    placed = running(signed, book, ["_walk"], exclusive=True, _before=("sum", F.col(size)))
     before = F.coalesce(F.col("_before"), F.lit(0.0))
     take = F.greatest(F.lit(0.0), F.least(F.col(size), F.col("target") - before))
     fee = fee_per_share(F.col(price) if fee_price is None else fee_price)

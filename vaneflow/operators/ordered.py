@@ -1,8 +1,9 @@
 """Ordered computations that survive a hot key.
 
 A plain `Window.partitionBy(key).orderBy(ts)` sends a whole key to one task.  Here every key is cut
-into *cells*: a cell is a function of the row that never decreases along the order (a time slice, a
-value band).  The work then has two levels:
+into *cells* that never decrease along the order.  By default they are ranges of (keys, order) of about
+`CELL_ROWS` rows, so their number follows the data; a caller may give a function of the row instead
+where it bounds the rows by itself (the days of a month).  The work then has two levels:
 
 1. windows inside (key, cell), so a task holds one cell;
 2. one summary row per (key, cell), combined on the map side, prefix-scanned per key and joined back
@@ -18,8 +19,23 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 CELL = "_cell"
-HOT_ROWS_FLOOR = "vaneflow.hotRowsFloor"
+RANGE = "_range"
+#: Rows that a range is to hold, up to the error of Spark's range sampling.
+CELL_ROWS = 1_000_000
+
+
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CELL_ROWS) -> DataFrame:
+    """Add `_range`, the number of the row's range of (keys, order), and write the rows once to the shared folder.
+
+    Ranges are sampled, so another evaluation could cut elsewhere; all that follows reads the stored number.
+    It also ends the lineage: nested ordered steps do not repeat the scans below them."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    ranged = df.repartitionByRange(parts, *[F.col(c) for c in [*keys, *order]])
+    return stage(ranged.withColumn(RANGE, F.spark_partition_id().cast("long")), "ranges")
 
 
 def time_cell(ts: Column | str, width: str = "1 day") -> Column:
@@ -41,32 +57,6 @@ def value_cell(value: Column | str, steps: int = 4096) -> Column:
     return F.signum(v).cast("long") * magnitude
 
 
-def hash_cell(*cols: str, parts: int = 8192) -> Column:
-    """Spread rows whose order does not matter."""
-    return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("long")
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], max_hot: int = 10_000) -> DataFrame:
-    """Keys holding more than 1/`max_hot` of all rows, and more than the row floor.
-
-    At most `max_hot` keys can exceed that share, whatever the table size, so the result is safe to
-    broadcast."""
-    floor = int(df.sparkSession.conf.get(HOT_ROWS_FLOOR, "2000000"))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t")).scalar()
-    return counts.filter(F.col("_n") > F.greatest(F.lit(floor), total / F.lit(max_hot))).select(*keys)
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], fine: Column) -> DataFrame:
-    """Add `_cell`: the fine cell for hot keys, one single cell for all others."""
-    hot = F.broadcast(hot_keys(df, keys).withColumn("_hot", F.lit(True)))
-    return (
-        df.join(hot, list(keys), "left")
-        .withColumn(CELL, F.when(F.col("_hot"), fine).otherwise(F.lit(0)).cast("long"))
-        .drop("_hot")
-    )
-
-
 Spec = tuple[str, Column]
 
 
@@ -100,10 +90,10 @@ def running(
 
     A spec is (kind, value) with kind sum, count, max, min, last (newest non-null), or total_sum,
     total_count, total_max, total_min over the whole key.  `exclusive` leaves the current row out.
-    Pass `cell=None` when `split_hot` has set `_cell`."""
+    Without `cell` the rows are cut into ranges first; pass `F.col(RANGE)` to use those of an earlier `cut`."""
     keys, order = list(keys), list(order)
     value_names = {name: f"_v_{name}" for name in specs}
-    work = df if cell is None else df.withColumn(CELL, cell)
+    work = cut(df, keys, order).withColumnRenamed(RANGE, CELL) if cell is None else df.withColumn(CELL, cell)
     work = work.withColumns({value_names[n]: v for n, (_, v) in specs.items()})
 
     end = -1 if exclusive else Window.currentRow
@@ -145,7 +135,7 @@ def running(
     return joined.withColumns(results).drop(*helper)
 
 
-def previous(df, keys, order, cell, *, reverse: bool = False, **cols: Column) -> DataFrame:
+def previous(df, keys, order, cell=None, *, reverse: bool = False, **cols: Column) -> DataFrame:
     """Values of the row before (after, with `reverse`) along the order; null on the first row."""
     packed = F.struct(*[c.alias(n) for n, c in cols.items()])
     out = running(df, keys, order, cell, exclusive=True, reverse=reverse, _prev=("last", packed))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import running, time_cell
+from .ordered import running
 
 
 def bucket_start(ts: str, seconds: int) -> Column:
@@ -38,7 +38,7 @@ def spine(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFram
 
 def resample_ffill(
     fills: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], side: str, sides: dict[str, str], price: str,
-    size: str, seconds: int, cell: str = "1 day",
+    size: str, seconds: int,
 ) -> DataFrame:
     """Dense bars per key: last price of each side carried forward, with cumulative counts, size and value.
 
@@ -59,6 +59,6 @@ def resample_ffill(
         specs[f"{name}_price"] = ("last", F.col(f"_{name}_price"))
         specs[f"{name}_count"] = ("sum", F.col(f"_{name}_n"))
         specs[f"{name}_size_cum"] = ("sum", F.col(f"_{name}_size"))
-    filled = running(dense, keys, ["bar"], time_cell("bar", cell), **specs)
+    filled = running(dense, keys, ["bar"], **specs)
     zero = [c for c in specs if not c.endswith("_price")]
     return filled.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zero}).select(*keys, "bar", *specs)

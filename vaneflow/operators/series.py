@@ -8,63 +8,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import window_lookup
-from .ordered import neighbours, previous, running, time_cell
+from .ordered import RANGE, cut, neighbours, previous, running
 
 
 def gap_seconds(later: str, earlier: str) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / 1_000_000
 
 
-def session_ids(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], max_gap_seconds: float, cell: str = "1 day"):
+def session_ids(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], max_gap_seconds: float):
     """Add `session`, a number that grows by one after every gap longer than the limit."""
     order = [ts, *tie]
-    marked = previous(df, keys, order, time_cell(ts, cell), _before=F.col(ts))
+    marked = previous(cut(df, keys, order), keys, order, F.col(RANGE), _before=F.col(ts))
     starts = F.col("_before").isNull() | (gap_seconds(ts, "_before") > max_gap_seconds)
     return running(
-        marked.withColumn("_start", starts.cast("long")), keys, order, time_cell(ts, cell), session=("sum", F.col("_start"))
-    ).drop("_before", "_start")
+        marked.withColumn("_start", starts.cast("long")), keys, order, F.col(RANGE), session=("sum", F.col("_start"))
+    ).drop("_before", "_start", RANGE)
 
 
-def sessionize(df, keys, ts, tie, max_gap_seconds, *aggs: Column, cell: str = "1 day") -> DataFrame:
-    numbered = session_ids(df, keys, ts, tie, max_gap_seconds, cell)
+def sessionize(df, keys, ts, tie, max_gap_seconds, *aggs: Column) -> DataFrame:
+    numbered = session_ids(df, keys, ts, tie, max_gap_seconds)
     return numbered.groupBy(*keys, "session").agg(
         F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count(F.lit(1)).alias("n"), *aggs
     )
 
 
-def longest_streak(df, keys, ts, tie, flag: Column, out: str, cell: str = "1 day") -> DataFrame:
+def longest_streak(df, keys, ts, tie, flag: Column, out: str) -> DataFrame:
     """Longest run of consecutive rows where `flag` holds: rows between two breaks share the break count."""
     counted = running(
-        df.withColumn("_f", flag), keys, [ts, *tie], time_cell(ts, cell), _breaks=("sum", F.when(F.col("_f"), 0).otherwise(1))
+        df.withColumn("_f", flag), keys, [ts, *tie], _breaks=("sum", F.when(F.col("_f"), 0).otherwise(1))
     )
     runs = counted.groupBy(*keys, "_breaks").agg(F.count_if("_f").alias("_len"))
     return runs.groupBy(*keys).agg(F.max("_len").alias(out))
 
 
-def sustained(df, keys, order, cell, flag: Column, k: int, out: str = "sustained") -> DataFrame:
+def sustained(df, keys, order, flag: Column, k: int, out: str = "sustained") -> DataFrame:
     """True where the flag held in each of the last k rows."""
     marked = df.withColumn("_f", F.when(flag, 1).otherwise(0))
-    held = neighbours(marked, keys, order, cell, {out: lambda win: F.sum("_f").over(win(-(k - 1), 0)) == k}, before=k - 1)
+    held = neighbours(marked, keys, order, None, {out: lambda win: F.sum("_f").over(win(-(k - 1), 0)) == k}, before=k - 1)
     return held.drop("_f")
 
 
-def equity_curve(df, keys, ts, tie, ret: Column, fraction: float, cell: str = "1 day") -> DataFrame:
+def equity_curve(df, keys, ts, tie, ret: Column, fraction: float) -> DataFrame:
     """Compounded fixed-fraction equity with running peak and drawdown (needs fraction*ret > -1)."""
     order = [ts, *tie]
-    grown = running(df, keys, order, time_cell(ts, cell), _log=("sum", F.log1p(F.lit(fraction) * ret)))
+    grown = running(cut(df, keys, order), keys, order, F.col(RANGE), _log=("sum", F.log1p(F.lit(fraction) * ret)))
     grown = grown.withColumn("equity", F.exp("_log"))
-    peaked = running(grown, keys, order, time_cell(ts, cell), peak=("max", F.col("equity")))
-    return peaked.withColumn("drawdown", F.lit(1.0) - F.col("equity") / F.greatest(F.col("peak"), F.lit(1.0))).drop("_log")
+    peaked = running(grown, keys, order, F.col(RANGE), peak=("max", F.col("equity")))
+    return peaked.withColumn("drawdown", F.lit(1.0) - F.col("equity") / F.greatest(F.col("peak"), F.lit(1.0))).drop("_log", RANGE)
 
 
-def tick_changes(df, keys, ts, tie, value, max_gap_seconds: float, cell: str = "1 day") -> DataFrame:
+def tick_changes(df, keys, ts, tie, value, max_gap_seconds: float) -> DataFrame:
     """Rows whose value moved since the previous row, if that row is recent enough."""
-    paired = previous(df, keys, [ts, *tie], time_cell(ts, cell), prev_value=F.col(value), prev_ts=F.col(ts))
+    paired = previous(df, keys, [ts, *tie], prev_value=F.col(value), prev_ts=F.col(ts))
     near = gap_seconds(ts, "prev_ts") <= max_gap_seconds
     return paired.filter(near & (F.col(value) != F.col("prev_value"))).withColumn("move", F.col(value) - F.col("prev_value"))
 
 
-def bursts(df, keys, row_id: str, ts: str, window_seconds: float, min_legs: int, *aggs: Column, cell="1 day") -> DataFrame:
+def bursts(df, keys, row_id: str, ts: str, window_seconds: float, min_legs: int, *aggs: Column) -> DataFrame:
     """Clusters of at least `min_legs` rows within the window, merged while members are that close.
 
     A row opens a burst when the window that starts at it holds enough rows; every row of that window
@@ -73,4 +73,4 @@ def bursts(df, keys, row_id: str, ts: str, window_seconds: float, min_legs: int,
     flagged = df.join(ahead, row_id).withColumn("_open", (F.col("_ahead") >= min_legs).cast("int"))
     behind = window_lookup(df, flagged, keys, row_id, ts, ts, -window_seconds, 0, _member=("max", F.col("_open")))
     members = df.join(behind.filter("_member = 1").select(row_id), row_id, "left_semi")
-    return sessionize(members, keys, ts, [row_id], window_seconds, *aggs, cell=cell)
+    return sessionize(members, keys, ts, [row_id], window_seconds, *aggs)
