@@ -293,6 +293,44 @@ def test_licenses(spark, docs):
         assert found[i] == ",".join(want), text
 
 
+def test_licenses_wrapped_over_lines(spark, tmp_path):
+    rnd, filler = random.Random(4), "alpha beta gamma delta of the and software any this".split()
+    long = " ".join(f"w{i}" for i in range(150))
+    templates = [*licenses.TEMPLATES, ("long", long)]
+    size = 300  # twice the words of the longest template
+    rows = []
+    for n in range(120):
+        _, notice = rnd.choice(templates)
+        mark, words = rnd.choice(["", "# ", "// ", " * ", "-- "]), notice.split()
+        step = rnd.randint(3, 9)
+        wrapped = "\n".join(mark + " ".join(words[i : i + step]) for i in range(0, len(words), step))
+        around = ["".join(rnd.choice(filler) + rnd.choice([" ", "\n", ", "]) for _ in range(rnd.randint(0, 500))) for _ in range(2)]
+        rows.append((n, around[0] + "\n" + wrapped + "\n" + around[1]))
+
+    def held(text, run):
+        words, out = re.findall("[0-9a-z]+", text.lower()), set()
+        for label, template in templates:
+            own = set(re.findall("[0-9a-z]+", template.lower()))
+            if any(len(own & set(words[i : i + run])) >= 0.8 * len(own) - 1e-9 for i in range(max(1, len(words) - run + 1))):
+                out.add(label)
+        return out
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in licenses.scan_licenses(frame, templates=templates, by_line=False).collect():
+        text = rows[r["doc_id"]][1]
+        phrases = set(filter(None, r["base_labels"].split(",")))
+        found = set(filter(None, r["labels"].split(",")))
+        # Whatever half a block holds is found, and whatever is found stands in one block.
+        assert phrases | held(text, size // 2) <= found <= phrases | held(text, size), text
+        if len(text.split()) <= size // 2:
+            assert found == phrases | held(text, size)
+    # The registered query finds wrapped notices.
+    wrapped = [(i, "\n".join("# " + w for w in t.split())) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    spark.createDataFrame(wrapped, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'src0' AS source", "CAST(length(text) AS BIGINT) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in QUERIES["op4_license_join"](spark, str(tmp_path)).collect():
+        assert licenses.TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and r["score"] == 1.0
+
+
 def test_spot_signatures(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     texts = dict(rows)

@@ -8,6 +8,7 @@ the block bound what the rest can add; the whole word sets decide."""
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +35,12 @@ TEMPLATES = [
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 THRESHOLD = 0.8
-#: Lines are cut into overlapping blocks of so many words, at least twice the words of the longest template.
+#: The least words of the overlapping blocks that texts are cut into; twice the longest template's words if that is more.
 BLOCK_WORDS = 128
 
 
 def lower_words(text: str) -> list[str]:
     """The words of a template, A-Z lower-cased, in the order of their first place, each once."""
-    import re
-
     return list(dict.fromkeys(w.lower() for w in re.findall(r"[0-9A-Za-z]+", text)))
 
 
@@ -83,16 +82,18 @@ def phrase_places(text: Column, phrase: str) -> Column:
     return F.when(text.rlike(f"(?i){rare}") & text.rlike(pattern), F.aggregate(counted, zero, step)["places"]).otherwise(F.array().cast("array<bigint>"))
 
 
-def _blocks(text: Column) -> Column:
-    """Word arrays of overlapping blocks of each line: every run of half a block's words lies in one of them."""
-    half = BLOCK_WORDS // 2
+def block_words(templates: list[tuple[str, str]]) -> int:
+    """Words of a block, an even number: BLOCK_WORDS or twice the words of the longest template, repeated ones included."""
+    return max([BLOCK_WORDS, *(2 * len(re.findall(r"[0-9A-Za-z]+", t)) for _, t in templates)])
+
 
-    def cut(line: Column) -> Column:
-        words = F.regexp_extract_all(ascii_lower(line), F.lit(WORD), F.lit(0))
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - half, F.lit(1)), F.lit(half))
-        return F.transform(starts, lambda s: F.array_distinct(F.slice(words, s, BLOCK_WORDS)))
+def _blocks(words: Column, size: int) -> Column:
+    """Distinct words of overlapping blocks of `size` words: every run of half as many words lies in one of them.
 
-    return F.flatten(F.transform(F.split(text, "\n"), cut))
+    `words` is to be a column that is worked out already, since it is read once for each block."""
+    half = size // 2
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - half, F.lit(1)), F.lit(half))
+    return F.transform(starts, lambda s: F.array_distinct(F.slice(words, s, size)))
 
 
 def word_frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
@@ -123,11 +124,13 @@ def containment_join(blocks: DataFrame, templates: DataFrame, ranks: dict[str, i
     return possible.withColumn("shared", shared).filter(F.col("shared") >= F.col("need")).select(*keys, "template", "label", (F.col("shared") / F.size("t_words")).alias("share")).distinct()
 
 
-def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, by_line: bool = True) -> DataFrame:
     """`key`, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     Phrases give base labels with the number, least and greatest of their places; blocks that contain a
     template to the threshold add its label; score is the greatest share of a template or 1 for a phrase.
+    With `by_line` False blocks are cut over the words of the whole text, so a notice may be wrapped over any
+    number of lines; with `by_line` a notice counts only where it stands on one line.
     A null text counts as empty: no words, null places, empty lists, score 0.  Repeated rows and null keys
     give a row each; other columns are not read; no rows give no rows."""
     spark = docs.sparkSession
@@ -143,7 +146,11 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     rare = sorted({w for s in sets for w in s[: len(s) - math.ceil(len(s) * threshold - 1e-9) + 1]})
     hopeful = body.rlike("(?i)(?<![0-9a-z])(?:" + "|".join(rare) + ")(?![0-9a-z])") if rare else F.lit(False)
     identity = [F.col(key).alias("_key"), F.xxhash64(body).alias("_h")]
-    cut = docs.filter(hopeful).select(*identity, body.alias("_text")).distinct().select("_key", "_h", F.explode(_blocks(F.col("_text"))).alias("words"))
+    texts = docs.filter(hopeful).select(*identity, body.alias("_text")).distinct()
+    if by_line:
+        texts = texts.select("_key", "_h", F.explode(F.split("_text", "\n")).alias("_text"))
+    worded = texts.select("_key", "_h", F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(WORD), F.lit(0)).alias("_words"))
+    cut = worded.select("_key", "_h", F.explode(_blocks(F.col("_words"), block_words(known))).alias("words"))
     found = containment_join(cut, frame, ranks, threshold, ["_key", "_h"])
     extra = found.groupBy("_key", "_h").agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))  # at most one entry per label
 

@@ -40,7 +40,7 @@ def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), by_line=False)
 
 
 def op5_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
