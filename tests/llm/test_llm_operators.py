@@ -353,6 +353,19 @@ def test_spot_signatures(spark, docs):
     assert {r["fingerprint"] for r in hostile if r["doc_id"] in (3, 4, 5)} == {""}
 
 
+def test_one_anchor_rule_at_every_length(spark):
+    rnd, rows = random.Random(12), []
+    for n in range(57, 63):
+        for _ in range(5):
+            words = [rnd.choice(["the", "of", "and"]) if k % 3 == 0 else f"w{''.join(rnd.choices('abcdefghij', k=6))}" for k in range(n)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words, "zebra"]))]
+    found = list(spotsigs.text_spots([t for _, t in rows]))
+    pairs = {(r["u"], r["v"]) for r in spotsigs.similar_pairs(spotsigs.spot_sets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i in range(0, len(rows), 2):
+        assert spotsigs.likeness(found[i], found[i + 1]) > 0.9
+        assert (found[i].tolist() == found[i + 1].tolist()) or (i, i + 1) in pairs
+
+
 def test_similar_pairs_against_brute_force(spark):
     rnd = random.Random(6)
     base = [rnd.sample(range(200), 30) for _ in range(5)]

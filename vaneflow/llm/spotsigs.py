@@ -1,8 +1,8 @@
 """Document fingerprints from spot signatures, and the near-duplicate join over them.
 
-A spot is a chain of content words that follows a common word, the anchor.  Running text is full of
-anchors and the navigation around it is not, so the set of spots tells texts apart.  Sets are compared
-exactly; in the join, sets are partitioned by length, since sets of Jaccard similarity t differ in length
+A spot is a chain of content words that follows an anchor: a common word, or one that its hash picks.
+Running text is full of anchors and the navigation around it has fewer, so the set of spots tells texts
+apart.  Sets are compared exactly; in the join, sets are partitioned by length, since sets of Jaccard similarity t differ in length
 by a factor of at most t, and within a partition only sets that share a rare spot are compared."""
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ ANCHORS = (
 ).split()
 #: Content words in a chain, and every how many-th content word is taken.
 CHAIN, DISTANCE = 2, 1
-#: In texts of fewer words every word is an anchor, since few common words stand in them.
-SHORT_WORDS = 60
+#: One of so many other words, by its hash, is an anchor too, in texts of every length: few common words stand in short ones.
+ANCHOR_EVERY = 4
 #: Bytes of text that one task is to hold, about.
 RANGE_BYTES = 12 << 20
 #: The least similarity of the join.
@@ -40,10 +40,11 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 def spots(words: np.ndarray, common: np.ndarray, chain: int = CHAIN, distance: int = DISTANCE) -> np.ndarray:
     """Sorted distinct 32-bit spots of one text.
 
-    In a short text, and in one without any spot, every word is an anchor; a text of fewer content words
-    than a chain is one spot, and one without words has none."""
+    Common words and those that their hash picks are the anchors, whatever the length of the text; only where
+    they give no chain at all is every word one.  A text of fewer content words than a chain is one spot, and
+    one without words has none."""
     content = np.flatnonzero(~common)
-    for anchors in (np.flatnonzero(common) if len(words) >= SHORT_WORDS else np.arange(0), np.arange(len(words))):
+    for anchors in (np.flatnonzero(common | (mix(words) % np.uint64(ANCHOR_EVERY) == 0)), np.arange(len(words))):
         nth = np.searchsorted(content, anchors, side="right")
         fits = nth + (chain - 1) * distance < len(content)
         h, nth = words[anchors[fits]], nth[fits]
