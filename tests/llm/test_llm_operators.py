@@ -96,6 +96,21 @@ def test_token_counts(docs):
         assert tokens.counts_from(got[i]["steps"])[-1] == n
 
 
+def test_the_query_returns_the_prefix_table(spark):
+    path, rnd = tokens.default_vocabulary(), random.Random(9)
+    table = tokens.PrefixTable(path)
+    bits = ["a", "'", "'s", " ", " ", "  ", "\n", "é", "日本", "23", "!", "<|endoftext|>", "the", " Thing", "\xa0", "😀", " of", "x" * 70]
+    for _ in range(400):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14)))
+        assert table.prefix_steps(text) == tokens.steps(tokens.prefix_table(path).prefix_counts(text)), text
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()}
+    got = {r["doc_id"]: r for r in QUERIES["op10_prefix_token_counts"](spark, SF).filter(F.col("doc_id").isin(*texts)).collect()}
+    for i, text in texts.items():
+        want = table.prefix_counts(text)
+        assert (tokens.counts_from(got[i]["steps"]) == want).all() and got[i]["n_tokens"] == table.count(text) == want[-1]
+        assert text[: tokens.longest_prefix(got[i]["steps"], 20)] == text[: int(np.flatnonzero(want <= 20)[-1])]
+
+
 def test_packing_is_whole_and_certified(spark, docs, none):
     assert packing.pack_documents(none).collect() == []
     from tokenizers import Tokenizer

@@ -64,7 +64,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), limit=512)
+    return token_counts(table(spark, sf_dir, "documents"), limit=512, store=True)
 
 
 QUERIES: dict[str, Query] = {
