@@ -109,4 +109,52 @@ lk AS MATERIALIZED (SELECT a, b FROM sim WHERE 100 * i >= 85 * (t - i) UNION SEL
 reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM lk UNION SELECT r.a, lk.b FROM r JOIN lk ON r.b = lk.a) SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(m, n.doc_id)) AS kept FROM n LEFT JOIN reach ON n.doc_id = reach.a"""
 
-ORACLES = {"op2_pii_spans": OP2, "op3_setsketch_dedup": OP3, "op7_secret_ledger": OP7, "op8_exact_top_k": OP8, "op9_source_mix": OP9}
+
+def _tree(name: str, nodes: str, levels: int = 8) -> str:
+    """Levels of the trees over `nodes` (g, pos, n, d), and for each node id its path: `name`_r0, `name`_r1, ... hold the runs."""
+    parts, now = [], nodes
+    for k in range(levels):
+        parts.append(f"{name}_r{k} AS (SELECT g, pos // 16 AS pos, any_value(n) AS n, string_agg(d, '' ORDER BY pos) AS ds FROM {now} GROUP BY g, pos // 16)")
+        parts.append(f"{name}_l{k} AS (SELECT g, pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(ds) ELSE ds END AS d FROM {name}_r{k})")
+        now = f"{name}_l{k}"
+    return ",\n".join(parts)
+
+
+def _climb(name: str, start: str, levels: int = 8) -> str:
+    """`start` (id, g, pos, cur, proof) taken up all levels: cur is the folded digest, proof the siblings so far."""
+    parts, now = [], start
+    for k in range(levels):
+        before, after = "substr(ds, 1, (u.pos % 16 * 64)::BIGINT)", "substr(ds, (u.pos % 16 * 64 + 65)::BIGINT)"
+        parts.append(
+            f"{name}_u{k} AS (SELECT u.id, u.g, u.pos // 16 AS pos, CASE WHEN r.n > 1 THEN sha256({before} || u.cur || {after}) ELSE u.cur END AS cur, "
+            f"CASE WHEN r.n > 1 THEN u.proof || {before} || {after} ELSE u.proof END AS proof FROM {now} u JOIN {name}_r{k} r ON u.g = r.g AND u.pos // 16 = r.pos)"
+        )
+        now = f"{name}_u{k}"
+    return ",\n".join(parts)
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, i: xor(y >> 1, (y & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+)
+_BENT = f"CASE WHEN {_CRC} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, sha256({_LEAF} || {_field("text")}) AS leaf, sha256({_LEAF} || {_field("bent")}) AS bent FROM (SELECT *, {_BENT} AS bent FROM documents)),
+src AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM d)),
+a0 AS MATERIALIZED (SELECT id, g, leaf AS d, bent, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+{_tree("a", "a0")},
+b0 AS (SELECT 0 AS g, g AS pos, count(*) OVER () AS n, d FROM a_l7),
+{_tree("b", "b0")},
+a_in AS (SELECT id, g, pos, bent AS cur, '' AS proof FROM a0),
+{_climb("a", "a_in")},
+b_in AS (SELECT id, 0 AS g, g AS pos, cur, proof FROM a_u7),
+{_climb("b", "b_in")}
+SELECT d.doc_id, d.leaf, a_l7.d AS subroot, b_l7.d AS root, sha256(u.proof) AS proof_sha256, u.cur AS folded_root, u.cur = b_l7.d AS verified
+FROM d JOIN b_u7 u USING (id) JOIN a0 USING (id) JOIN a_l7 ON a0.g = a_l7.g CROSS JOIN b_l7"""
+
+ORACLES = {"op2_pii_spans": OP2, "op3_setsketch_dedup": OP3, "op7_secret_ledger": OP7, "op8_exact_top_k": OP8, "op9_source_mix": OP9, "op11_merkle_manifest": OP11}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import SCHEMAS
 from .licenses import scan_licenses
+from .manifest import audit_documents
 from .mixing import select_mixture
 from .oracles import ORACLES
 from .packing import pack_documents
@@ -67,11 +68,16 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512, store=True)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_pii_spans, op3_setsketch_dedup, op4_license_join, op5_certified_packing,
         op6_spot_signatures, op7_secret_ledger, op8_exact_top_k, op9_source_mix, op10_prefix_token_counts,
+        op11_merkle_manifest,
     )
 }
 
