@@ -157,4 +157,10 @@ b_in AS (SELECT id, 0 AS g, g AS pos, cur, proof FROM a_u7),
 SELECT d.doc_id, d.leaf, a_l7.d AS subroot, b_l7.d AS root, sha256(u.proof) AS proof_sha256, u.cur AS folded_root, u.cur = b_l7.d AS verified
 FROM d JOIN b_u7 u USING (id) JOIN a0 USING (id) JOIN a_l7 ON a0.g = a_l7.g CROSS JOIN b_l7"""
 
-ORACLES = {"op2_pii_spans": OP2, "op3_setsketch_dedup": OP3, "op7_secret_ledger": OP7, "op8_exact_top_k": OP8, "op9_source_mix": OP9, "op11_merkle_manifest": OP11}
+OP12 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS newest FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN newest IS NULL OR newest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN newest IS DISTINCT FROM page_id THEN newest END AS refers_to FROM m"""
+
+ORACLES = {"op2_pii_spans": OP2, "op3_setsketch_dedup": OP3, "op7_secret_ledger": OP7, "op8_exact_top_k": OP8, "op9_source_mix": OP9, "op11_merkle_manifest": OP11, "op12_warc_archives": OP12}

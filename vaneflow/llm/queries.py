@@ -20,6 +20,7 @@ from .sketches import near_duplicates
 from .spotsigs import fingerprint_documents
 from .tokens import token_counts
 from .topk import exact_top_k
+from .warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,12 +73,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_pii_spans, op3_setsketch_dedup, op4_license_join, op5_certified_packing,
         op6_spot_signatures, op7_secret_ledger, op8_exact_top_k, op9_source_mix, op10_prefix_token_counts,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op12_warc_archives,
     )
 }
 
