@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import SCHEMAS
+from .alignment import alignment_statistics
 from .licenses import scan_licenses
 from .manifest import audit_documents
 from .mixing import select_mixture
@@ -77,12 +78,16 @@ def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_statistics(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_pii_spans, op3_setsketch_dedup, op4_license_join, op5_certified_packing,
         op6_spot_signatures, op7_secret_ledger, op8_exact_top_k, op9_source_mix, op10_prefix_token_counts,
-        op11_merkle_manifest, op12_warc_archives,
+        op11_merkle_manifest, op12_warc_archives, op13_token_alignment,
     )
 }
 
