@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vaneflow.operators.asof import asof_anchors, asof_join, asof_nearest, window_lookup
 from vaneflow.operators.ordered import (
-    RANGE, cut, neighbours, previous, running, shift, time_cell, value_cell,
+    CELL, RANGE, cut, depth_cells, neighbours, previous, running, shift, time_cell, value_cell,
 )
 from vaneflow.operators.quantiles import exact_quantiles
 
@@ -83,6 +83,7 @@ def test_running_over_ranges_equals_plain_window(data, reverse):
     """Without a cell the rows are cut into ranges, in which a hot key spans several."""
     ranged = cut(data, ["k"], ["ts", "id"], rows=50)
     assert ranged.filter("k = 0").select(RANGE).distinct().count() > 3
+    assert ranged.filter("k > 0 AND k < 3").agg(F.max(RANGE)).first()[0] <= 2
     order = [F.desc("ts"), F.desc("id")] if reverse else [F.asc("ts"), F.asc("id")]
     w = Window.partitionBy("k").orderBy(*order)
     want = data.withColumns({"s": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), "last": F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
@@ -94,10 +95,39 @@ def test_running_over_ranges_equals_plain_window(data, reverse):
 def test_ranges_do_not_grow_with_the_rows(data):
     """Ten times the rows at the same keys and times: more ranges, not larger ones."""
     more = data.withColumn("id", F.explode(F.sequence(F.col("id") * 10, F.col("id") * 10 + 9)))
-    largest = [cut(df, ["k"], ["ts", "id"], rows=60).groupBy(RANGE).count().agg(F.max("count")).first()[0] for df in (data, more)]
+    largest = [cut(df, ["k"], ["ts", "id"], rows=60).groupBy("k", RANGE).count().agg(F.max("count")).first()[0] for df in (data, more)]
     assert max(largest) <= 2 * 60, largest
 
 
+@pytest.mark.parametrize("order, kinds", [(["t"], "t TIMESTAMP"), (["x"], "x DOUBLE"), (["n"], "n LONG"), (["w"], "w STRING"), (["d", "n"], "d DATE, n LONG"), (["same", "n"], "same TIMESTAMP, n LONG")])
+def test_depth_cells_follow_the_order(spark, order, kinds):
+    """Cells never decrease along any order, hold at most twice the bound, and split rows of one instant by what comes next."""
+    rnd = random.Random(8)
+    made = {
+        "t": lambda: T0 + dt.timedelta(microseconds=rnd.randrange(0, 3_000_000)), "x": lambda: rnd.choice([rnd.uniform(-1, 1), rnd.uniform(1e6, 1.001e6)]),
+        "n": lambda: rnd.randrange(-500, 500), "w": lambda: f"common{rnd.randrange(900)}", "d": lambda: T0.date(), "same": lambda: T0,
+    }
+    table = [(rnd.choice([1, 1, 1, 2]), *(made[c]() for c in order)) for _ in range(1_500)] + [(3, *(made[c]() for c in order)) for _ in range(15)]
+    df = spark.createDataFrame(table, f"k LONG, {kinds}")
+    got = [tuple(r) for r in depth_cells(df, ["k"], order, 20, "c").collect()]
+    assert sorted(r[:-1] for r in got) == sorted(table)
+    for k in (1, 2, 3):
+        mine = sorted((r for r in got if r[0] == k), key=lambda r: r[1:-1])
+        cells = [r[-1] for r in mine]
+        assert cells == sorted(cells) and len({r[1:] for r in mine}) == len({r[1:-1] for r in mine})
+        ties = max(sum(x[1:-1] == r[1:-1] for x in mine) for r in mine)
+        assert max(cells.count(c) for c in set(cells)) <= 20 + max(20, ties)
+    assert {r[-1] for r in got if r[0] == 3} == {0}
+
+
+def test_busy_day_is_split(spark):
+    """All rows of one key within one day, and ten times as many: the largest cell stays."""
+    def busy(n):
+        return spark.range(n).select(F.lit(1).alias("k"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.pmod(F.xxhash64("id"), F.lit(80_000_000_000))).alias("ts"), "id")
+    largest = [depth_cells(busy(n), ["k"], ["ts", "id"], 300).groupBy(CELL).count().agg(F.max("count")).first()[0] for n in (2_000, 20_000)]
+    assert max(largest) <= 600
+
+
 def test_value_cell_never_decreases(spark):
     values = [-1e300, -12.5, -1.0, -1e-300, 0.0, 1e-300, 0.1, 0.1000001, 1.0, 2.0, 1e300]
     df = spark.createDataFrame([(float(v),) for v in values], "v DOUBLE").withColumn("c", value_cell("v"))
@@ -116,8 +146,8 @@ def brute(probes, quotes, pick):
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("exact", [True, False])
 @pytest.mark.parametrize("tolerance", [None, "2 hours"])
-@pytest.mark.parametrize("cell", [None, "5 hours"])
-def test_asof_equals_brute_force(spark, direction, exact, tolerance, cell):
+@pytest.mark.parametrize("cell_rows", [1_000_000, 25])
+def test_asof_equals_brute_force(spark, direction, exact, tolerance, cell_rows):
     p, q = rows(150, 2), rows(300, 3)
     limit = dt.timedelta(hours=2) if tolerance else dt.timedelta.max
 
@@ -132,19 +162,20 @@ def test_asof_equals_brute_force(spark, direction, exact, tolerance, cell):
 
     schema = "id LONG, k LONG, ts TIMESTAMP, v DOUBLE"
     got = asof_join(spark.createDataFrame(p, schema), spark.createDataFrame(q, schema), ["k"], "ts", "ts", {"qid": "id"},
-                    seq=["id"], direction=direction, exact=exact, tolerance=tolerance, cell=cell)
+                    seq=["id"], direction=direction, exact=exact, tolerance=tolerance, cell_rows=cell_rows)
     assert {r.id: r.qid for r in got.collect()} == brute(p, q, pick)
 
 
-def test_asof_nearest_and_anchors(spark):
+@pytest.mark.parametrize("cell_rows", [1_000_000, 20])
+def test_asof_nearest_and_anchors(spark, cell_rows):
     p, q = rows(80, 4), rows(200, 5)
     schema = "id LONG, k LONG, ts TIMESTAMP, v DOUBLE"
     pd_, qd = spark.createDataFrame(p, schema), spark.createDataFrame(q, schema)
-    got = asof_nearest(pd_, qd, ["k"], "ts", "ts", {"qt": "ts"}, seq=["id"], cell="5 hours")
+    got = asof_nearest(pd_, qd, ["k"], "ts", "ts", {"qt": "ts"}, seq=["id"], cell_rows=cell_rows)
     for r in got.collect():
         gaps = [abs(x[2] - r.ts) for x in q if x[1] == r.k]
         assert (r.qt is None and not gaps) or abs(r.qt - r.ts) == min(gaps)
-    wide = asof_anchors(pd_, qd, ["k"], "id", "ts", "ts", "id", {"now": 0, "later": 7200}, seq=["id"])
+    wide = asof_anchors(pd_, qd, ["k"], "id", "ts", "ts", "id", {"now": 0, "later": 7200}, seq=["id"], cell_rows=cell_rows)
     for r in wide.collect():
         _, k, t, _ = p[r.id]
         for name, s in (("now", 0), ("later", 7200)):
@@ -152,15 +183,16 @@ def test_asof_nearest_and_anchors(spark):
             assert getattr(r, name) == (max(ok, key=lambda x: (x[2], x[0]))[0] if ok else None)
 
 
-def test_window_lookup_equals_brute_force(spark):
+@pytest.mark.parametrize("cell_rows, block_rows, before, after", [(1_000_000, 1_024, 3600, 5400), (30, 4, 3600, 5400), (30, 4, 200_000, 150_000), (50, 1, 400_000, -60)])
+def test_window_lookup_equals_brute_force(spark, cell_rows, block_rows, before, after):
     p, q = rows(120, 6), rows(400, 7)
     schema = "id LONG, k LONG, ts TIMESTAMP, v DOUBLE"
-    got = window_lookup(spark.createDataFrame(p, schema), spark.createDataFrame(q, schema), ["k"], "id", "ts", "ts", -3600, 5400,
+    got = window_lookup(spark.createDataFrame(p, schema), spark.createDataFrame(q, schema), ["k"], "id", "ts", "ts", -before, after, cell_rows, block_rows,
                         n=("count", F.col("v")), s=("sum", F.col("v")), hi=("max", F.col("v")), lo=("min", F.col("v")))
     result = {r.id: r for r in got.collect()}
     assert len(result) == len(p)
     for pid, k, t, _ in p:
-        vs = [x[3] for x in q if x[1] == k and x[3] is not None and t - dt.timedelta(hours=1) <= x[2] <= t + dt.timedelta(minutes=90)]
+        vs = [x[3] for x in q if x[1] == k and x[3] is not None and t - dt.timedelta(seconds=before) <= x[2] <= t + dt.timedelta(seconds=after)]
         r = result[pid]
         assert r.n == len(vs) and r.hi == max(vs, default=None) and r.lo == min(vs, default=None)
         assert (r.s is None and not vs) or abs(r.s - sum(vs)) < 1e-9

@@ -13,14 +13,13 @@ from .asof import asof_join
 
 def bucket_membership(
     rows: DataFrame, buckets: DataFrame, on: Sequence[str], value: str, lo: str, hi: str, carry: Sequence[str] = (),
-    width: float = 16.0,
 ) -> DataFrame:
     """Attach the bucket [lo, hi] that holds the value; buckets of one group do not overlap.
 
     The bucket is the one with the greatest lower bound at or below the value, so this is an as-of
     lookup along the value axis rather than a range join."""
     names = {lo: lo, hi: hi} | {c: c for c in carry}
-    found = asof_join(rows, buckets, on, value, lo, names, cell=str(width))
+    found = asof_join(rows, buckets, on, value, lo, names)
     return found.filter(F.col(hi).isNotNull() & (F.col(value) <= F.col(hi)))
 
 

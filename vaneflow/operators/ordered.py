@@ -1,9 +1,9 @@
 """Ordered computations that survive a hot key.
 
 A plain `Window.partitionBy(key).orderBy(ts)` sends a whole key to one task.  Here every key is cut
-into *cells* that never decrease along the order.  By default they are ranges of (keys, order) of about
-`CELL_ROWS` rows, so their number follows the data; a caller may give a function of the row instead
-where it bounds the rows by itself (the days of a month).  The work then has two levels:
+into *cells* that never decrease along the order and hold about `CELL_ROWS` rows each, so their number
+follows the data; a caller may give a function of the row instead where it bounds the rows by itself
+(the days of a month).  The work then has two levels:
 
 1. windows inside (key, cell), so a task holds one cell;
 2. one summary row per (key, cell), combined on the map side, prefix-scanned per key and joined back
@@ -23,19 +23,63 @@ from ..session import stage
 
 CELL = "_cell"
 RANGE = "_range"
-#: Rows that a range is to hold, up to the error of Spark's range sampling.
+#: Rows that a cell is to hold; it may hold up to twice as many.
 CELL_ROWS = 1_000_000
 
 
+def _levels(column: str, kind: str) -> list[Column]:
+    """Ever finer micro-cells of one order column, each non-decreasing along it; the last is the value itself."""
+    c = F.col(column)
+    if kind.startswith("timestamp"):
+        micros = F.unix_micros(c.cast("timestamp"))
+        return [F.floor(micros / (3600 * 1_000_000)), F.floor(micros / 1_000_000), micros]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return [F.shiftright(c, 16), F.shiftright(c, 8), c]
+    if kind in ("float", "double"):
+        return [value_cell(c, 4), value_cell(c, 1024), c]
+    return [F.substring(c, 1, 2), c] if kind == "string" else [c]
+
+
+def depth_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CELL_ROWS, name: str = CELL) -> DataFrame:
+    """Add `name`, equi-depth cells of about `rows` rows along (keys, order), from counts alone.
+
+    Keys with no more rows than that are one cell.  In the others rows are counted by micro-cell (the hour of a
+    time, the band of a number), and a micro-cell lies in the cell that the rows before it give; those that hold
+    too many are counted by the next finer one, down to the values of all order columns.  Nothing is sorted
+    or written but the counts of the large keys, whose size joins the cells on; exact, so the same wherever evaluated.
+    Only rows that agree in the whole order stay together whatever their number."""
+    keys, kinds = list(keys), dict(df.dtypes)
+    finer = [level for c in order for level in _levels(c, kinds[c])]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = counted.filter(F.col("_n") > rows).withColumn("_rows_before", F.lit(0).cast("long"))
+    tags: list[str] = []
+    marked, tables = df, []
+    for level in finer:
+        if heavy.isEmpty():
+            break
+        known, tag = [*keys, *tags], f"_m{len(tags)}"
+        # Of this expression only the keys and order columns are read.
+        marked = marked.withColumn(tag, level)
+        inside = marked.select(*known, tag)
+        inside = inside.join(stage(heavy.select(*known, "_rows_before"), "heavy"), known) if known else inside.withColumn("_rows_before", F.lit(0).cast("long"))
+        along = Window.partitionBy(*known).orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.col("_rows_before") + F.coalesce(F.sum("_n").over(along), F.lit(0))
+        counts = inside.groupBy(*known, tag, "_rows_before").agg(F.count(F.lit(1)).alias("_n"))
+        counts = stage(counts.select(*known, tag, "_n", before.alias("_rows_before")), "micro-cells")
+        tags.append(tag)
+        tables.append(counts.select(*known, tag, F.floor(F.col("_rows_before") / rows).cast("long").alias(f"_cell{tag}")))
+        heavy = counts.filter(F.col("_n") > rows)
+    for table in tables:
+        marked = marked.join(table, table.columns[:-1], "left")
+    found = [F.col(table.columns[-1]) for table in reversed(tables)]
+    return marked.select(*df.columns, F.coalesce(*found, F.lit(0).cast("long")).alias(name))
+
+
 def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CELL_ROWS) -> DataFrame:
-    """Add `_range`, the number of the row's range of (keys, order), and write the rows once to the shared folder.
+    """Add `_range`, the number of the row's cell within its key, and write the rows once to the shared folder.
 
-    Ranges are sampled, so another evaluation could cut elsewhere; all that follows reads the stored number.
-    It also ends the lineage: nested ordered steps do not repeat the scans below them."""
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
-    ranged = df.repartitionByRange(parts, *[F.col(c) for c in [*keys, *order]])
-    return stage(ranged.withColumn(RANGE, F.spark_partition_id().cast("long")), "ranges")
+    The write ends the lineage: nested ordered steps do not repeat the scans below them."""
+    return stage(depth_cells(df, keys, order, rows, RANGE), "ranges")
 
 
 def time_cell(ts: Column | str, width: str = "1 day") -> Column:
@@ -88,9 +132,10 @@ def running(
 ) -> DataFrame:
     """Running aggregates along `order` (all ascending, or all descending with `reverse`).
 
-    A spec is (kind, value) with kind sum, count, max, min, last (newest non-null), or total_sum,
-    total_count, total_max, total_min over the whole key.  `exclusive` leaves the current row out.
-    Without `cell` the rows are cut into ranges first; pass `F.col(RANGE)` to use those of an earlier `cut`."""
+    A spec is (kind, value) with kind sum, count, max, min, last (newest non-null), next (first non-null from
+    here on), or total_sum, total_count, total_max, total_min over the whole key.  `exclusive` leaves the
+    current row out.  Without `cell` the rows are cut into ranges first; pass `F.col(RANGE)` to use those of an
+    earlier `cut`, or the column that `depth_cells` adds."""
     keys, order = list(keys), list(order)
     value_names = {name: f"_v_{name}" for name in specs}
     work = cut(df, keys, order).withColumnRenamed(RANGE, CELL) if cell is None else df.withColumn(CELL, cell)
@@ -101,6 +146,9 @@ def running(
     inside = Window.partitionBy(*keys, CELL).orderBy(*directed).rowsBetween(Window.unboundedPreceding, end)
     cell_order = F.col(CELL).desc() if reverse else F.col(CELL).asc()
     before = Window.partitionBy(*keys).orderBy(cell_order).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(cell_order).rowsBetween(1, Window.unboundedFollowing)
+    opposite = [F.col(c).asc() if reverse else F.col(c).desc() for c in order]
+    onward = Window.partitionBy(*keys, CELL).orderBy(*opposite).rowsBetween(Window.unboundedPreceding, end)
     whole = Window.partitionBy(*keys)
 
     local, summary, carry = {}, [], []
@@ -112,6 +160,11 @@ def running(
             newest = F.min_by(value, position) if reverse else F.max_by(value, position)
             summary.append(newest.alias(name))
             carry.append(F.last(F.col(name), ignorenulls=True).over(before).alias(f"_c_{name}"))
+        elif kind == "next":
+            local[f"_l_{name}"] = F.last(value, ignorenulls=True).over(onward)
+            position = F.when(value.isNotNull(), F.struct(*[F.col(c) for c in order]))
+            summary.append((F.max_by(value, position) if reverse else F.min_by(value, position)).alias(name))
+            carry.append(F.first(F.col(name), ignorenulls=True).over(after).alias(f"_c_{name}"))
         elif kind.startswith("total_"):
             plain = kind.removeprefix("total_")
             summary.append(_local(plain, value).alias(name))

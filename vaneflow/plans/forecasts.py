@@ -30,11 +30,11 @@ def run_maxima(
 
 def latest_run_max(
     probes: DataFrame, maxima: DataFrame, station: str, cutoff: str, runtime: str, value: str, out: str,
-    look_back: str = "24 hours", cell: str = "1 day",
+    look_back: str = "24 hours",
 ) -> DataFrame:
     """For each (station, local_date, cutoff) the maximum of the newest run at or before the cutoff."""
     return asof_join(
-        probes, maxima, [station, "local_date"], cutoff, runtime, {out: value}, tolerance=look_back, cell=cell
+        probes, maxima, [station, "local_date"], cutoff, runtime, {out: value}, tolerance=look_back
     )
 
 

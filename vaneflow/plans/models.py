@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import with_normal_cdf
 from ..operators.asof import asof_join
-from ..operators.ordered import running, value_cell
+from ..operators.ordered import running
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -117,17 +117,16 @@ def bucket_probabilities(
 
 def empirical_probabilities(
     ladder: DataFrame, residuals: DataFrame, keys: Sequence[str], lo: Column, hi: Column, residual: str, out: str = "model_p",
-    width: float = 16.0,
 ) -> DataFrame:
     """Share of past residuals that fall into each bucket.
 
     Residuals are counted per value and accumulated; two lookups on that curve give the share, so
     neither side is paired with the other."""
     counted = residuals.groupBy(*keys, F.col(residual).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
-    curve = running(counted, keys, ["_r"], value_cell("_r", 64), _cum=("sum", F.col("_n")), _all=("total_sum", F.col("_n")))
+    curve = running(counted, keys, ["_r"], _cum=("sum", F.col("_n")), _all=("total_sum", F.col("_n")))
     probes = ladder.withColumns({"_lo": lo, "_hi": hi})
-    upper = asof_join(probes, curve, keys, "_hi", "_r", {"_cum_hi": "_cum", "_n_hi": "_all"}, cell=str(width))
-    both = asof_join(upper, curve, keys, "_lo", "_r", {"_cum_lo": "_cum", "_n_lo": "_all"}, exact=False, cell=str(width))
+    upper = asof_join(probes, curve, keys, "_hi", "_r", {"_cum_hi": "_cum", "_n_hi": "_all"})
+    both = asof_join(upper, curve, keys, "_lo", "_r", {"_cum_lo": "_cum", "_n_lo": "_all"}, exact=False)
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     share = (F.coalesce("_cum_hi", F.lit(0)) - F.coalesce("_cum_lo", F.lit(0))) / F.col("_total")
     return both.join(totals, list(keys), "left").withColumn(out, share).drop(
