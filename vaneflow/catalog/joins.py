@@ -46,8 +46,8 @@ def _(t):
 WITH f AS (SELECT user_id, CAST(ts AS DATE) AS d, avg(value) FILTER (WHERE event_type='view') AS view_mean,
   max(value) FILTER (WHERE event_type='click') AS click_max, count(*) FILTER (WHERE event_type='purchase') AS n_buy
   FROM events GROUP BY 1,2),
-g AS (SELECT c_custkey, c_nationkey, DATE '2024-01-10' AS d FROM customer)
-SELECT c_custkey, c_nationkey, round(view_mean,6) AS view_mean, click_max, n_buy
+g AS (SELECT c_custkey, c_nationkey, d FROM customer, (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events))
+SELECT c_custkey, c_nationkey, CAST(g.d AS VARCHAR) AS d, round(view_mean,6) AS view_mean, click_max, n_buy
 FROM g LEFT JOIN f ON f.user_id = g.c_custkey AND f.d = g.d""")
 def _(t):
     e = t.events.withColumn("d", F.to_date("ts"))
@@ -56,8 +56,9 @@ def _(t):
         F.max(F.when(F.col("event_type") == "click", F.col("value"))).alias("click_max"),
         F.count_if(F.col("event_type") == "purchase").alias("n_buy"),
     )
-    grid = t.customer.select("c_custkey", "c_nationkey", F.lit("2024-01-10").cast("date").alias("d"))
-    return grid.join(f, ["c_custkey", "d"], "left").select("c_custkey", "c_nationkey", "view_mean", "click_max", "n_buy")
+    # Every day of the feed for every customer; the days are few, one row each.
+    grid = t.customer.select("c_custkey", "c_nationkey").crossJoin(F.broadcast(e.select("d").distinct()))
+    return grid.join(f, ["c_custkey", "d"], "left").select("c_custkey", "c_nationkey", F.col("d").cast("string").alias("d"), "view_mean", "click_max", "n_buy")
 
 
 @query("join_full_outer_diff", """

@@ -104,7 +104,7 @@ def _(t):
 
 
 def titles(t):
-    lo = F.col("p_size") + 40
+    lo = F.col("p_size") - 25
     k = F.col("p_partkey") % 4
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     s = lo.cast("string")
@@ -114,7 +114,7 @@ def titles(t):
 
 
 @query("bucket_title_parse", """
-WITH p AS (SELECT p_partkey, CAST(p_size + 40 AS DOUBLE) AS n, p_partkey % 4 AS k FROM part)
+WITH p AS (SELECT p_partkey, CAST(p_size - 25 AS DOUBLE) AS n, p_partkey % 4 AS k FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN 'range' WHEN 1 THEN 'or_below' WHEN 2 THEN 'or_higher' END AS kind,
  CASE k WHEN 0 THEN n WHEN 1 THEN '-infinity'::DOUBLE WHEN 2 THEN n END AS lo, CASE k WHEN 0 THEN n + 1 WHEN 1 THEN n WHEN 2 THEN 'infinity'::DOUBLE END AS hi,
  CASE k WHEN 0 THEN n + 0.5 WHEN 1 THEN n - 1 WHEN 2 THEN n + 1 END AS center,
@@ -186,9 +186,9 @@ def _(t):
     return tags.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
 
 
-def raw_fills(t):
-    """Exchange events derived from lineitem: buys, sells, token swaps and zero amounts."""
-    yes, no = F.concat(F.lit("Y"), F.col("l_partkey")), F.concat(F.lit("N"), F.col("l_partkey"))
+def raw_fills(t, market: str = "l_partkey"):
+    """Exchange events derived from lineitem: buys, sells, token swaps and zero amounts; `market` numbers the tokens."""
+    yes, no = F.concat(F.lit("Y"), F.col(market)), F.concat(F.lit("N"), F.col(market))
     k = F.col("l_linenumber") % 7
     token = F.when(F.col("l_returnflag") == "A", yes).when(F.col("l_returnflag") == "N", no).otherwise("Z")
     usd = F.round(F.col("l_extendedprice") * 100).cast("long")

@@ -8,7 +8,7 @@ from ..functions.calendar import plus_hours
 from ..sources import readers, sinks
 from .joins import of_type, us
 from .registry import query
-from .scalars import SQL_RAW, raw_text
+from .scalars import SQL_FILLS, SQL_RAW, raw_fills, raw_text
 from .windows import ev
 
 
@@ -98,19 +98,27 @@ def _(t):
                     F.col("group_item_threshold").alias("threshold"), "volume_num")
 
 
-@query("scan_fills_json", """
-SELECT 'm-' || l_suppkey AS slug, CASE l_returnflag WHEN 'A' THEN 'Y' ELSE 'N' END || l_suppkey AS token, count(*) AS n, round(sum(l_quantity), 2) AS shares, CAST(min(epoch(l_shipdate)) AS BIGINT) AS first_s FROM lineitem GROUP BY 1, 2""")
+@query("scan_fills_json", SQL_FILLS + """
+SELECT 'm-' || l_suppkey AS slug, outcome, CASE WHEN k IN (1, 2) THEN 'buy' ELSE 'sell' END AS side, count(*) AS n, round(sum(shares), 2) AS shares, round(sum(price * shares), 6) AS usd,
+ CAST(min(epoch(l_shipdate)) AS BIGINT) AS first_s FROM f GROUP BY 1, 2, 3""")
 def _(t):
-    token = F.concat(F.when(F.col("l_returnflag") == "A", "Y").otherwise("N"), F.col("l_suppkey"))
-    # One document per order and token: a document stays small even when one market is hot.
-    one = F.struct(F.lit("0").alias("makerAssetId"), token.alias("takerAssetId"), F.lit("1").alias("makerAmountFilled"),
-                   (F.col("l_quantity") * 1_000_000).cast("long").cast("string").alias("takerAmountFilled"), F.unix_seconds("l_shipdate").cast("string").alias("timestamp"))
-    doc = F.to_json(F.create_map(token, F.array(one)))
+    raw = raw_fills(t, "l_suppkey").withColumn("slug", F.concat(F.lit("m-"), "l_suppkey"))
+    event = F.struct(F.col("ma").alias("makerAssetId"), F.col("ta").alias("takerAssetId"), F.col("mq").cast("string").alias("makerAmountFilled"),
+                     F.col("tq").cast("string").alias("takerAmountFilled"), F.unix_seconds("l_shipdate").cast("string").alias("timestamp"))
+    # One document per file, as the feed writes them: a map from token to events.  A market's fills are dealt to as
+    # many documents as their number asks for, so that none grows with a hot market.
+    pieces = raw.groupBy("slug").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("pieces"))
+    placed = raw.join(pieces, "slug").withColumn("piece", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.col("pieces")))
+    token = F.when(F.col("ma") == "0", F.col("ta")).otherwise(F.col("ma"))
+    per_token = placed.groupBy("slug", "piece", token.alias("token")).agg(F.collect_list(event).alias("events"))
+    documents = per_token.groupBy("slug", "piece").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "events")))).alias("value"))
     path = t.scratch("fills")
-    t.lineitem.select(doc.alias("value"), F.concat(F.lit("m-"), F.col("l_suppkey")).alias("slug")).write.partitionBy("slug").text(path)
-    out = readers.read_fill_documents(t.spark, path, whole_files=False)
-    return out.groupBy("slug", "token").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("takerAmountFilled").cast("double") / 1e6), 2).alias("shares"),
-                                            F.min(F.col("timestamp").cast("long")).alias("first_s"))
+    documents.write.partitionBy("slug", "piece").text(path)
+    k = F.col("s_suppkey")
+    markets = t.supplier.select(F.concat(F.lit("m-"), k).alias("slug"), k.cast("string").alias("condition_id"), F.concat(F.lit("Y"), k).alias("yes_token_id"), F.concat(F.lit("N"), k).alias("no_token_id"))
+    fills = readers.type_fills(readers.read_fill_documents(t.spark, path), markets)
+    return fills.groupBy("slug", "outcome", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("shares"), 2).alias("shares"), F.round(F.sum("usd"), 6).alias("usd"),
+                                                        F.unix_seconds(F.min("timestamp")).alias("first_s"))
 
 
 @query("scan_price_history_json", """
@@ -188,7 +196,7 @@ SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS
 def _(t):
     root = t.scratch("hive")
     fills = sinks.year_month(t.lineitem.select("l_orderkey", "l_shipdate", "l_extendedprice"), "l_shipdate")
-    sinks.write_partitioned(fills, root, ["year", "month"], pieces=F.pmod(F.xxhash64("l_orderkey"), F.lit(2)))
+    sinks.write_partitioned(fills, root, ["year", "month"], ["l_orderkey"], file_rows=20_000)
     back = t.spark.read.schema("l_orderkey LONG, l_shipdate TIMESTAMP, l_extendedprice DOUBLE, year INT, month INT").parquet(root)
     return back.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("usd"))
 
@@ -198,9 +206,9 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS d, count(*) AS n, round(sum(CASE WHE
 def _(t):
     root = t.scratch("sorted")
     e = ev(t).withColumn("d", F.to_date("ts").cast("string"))
-    sinks.write_partitioned(e, root, ["d"], ["user_id", "ts"], pieces=F.pmod("user_id", F.lit(2)))
+    sinks.write_partitioned(e, root, ["d"], ["user_id", "ts"], file_rows=5_000)
     again = e.filter("ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'").withColumn("value", F.col("value") * 2)
-    sinks.write_partitioned(again, root, ["d"], ["user_id", "ts"], pieces=F.pmod("user_id", F.lit(2)))
+    sinks.write_partitioned(again, root, ["d"], ["user_id", "ts"], file_rows=5_000)
     back = t.spark.read.schema("event_id LONG, user_id LONG, event_type STRING, ts TIMESTAMP, value DOUBLE, d STRING").parquet(root)
     return back.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -210,7 +218,7 @@ SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS n, epoch_us(max(t
 def _(t):
     root = t.scratch("entity")
     e = ev(t, "event_id", "event_type", "ts").withColumn("month", F.date_format("ts", "yyyy-MM"))
-    sinks.write_partitioned(e, root, ["event_type", "month"], ["ts"], pieces=F.pmod("event_id", F.lit(2)))
+    sinks.write_partitioned(e, root, ["event_type", "month"], ["ts"], file_rows=5_000)
     back = t.spark.read.schema("event_id LONG, ts TIMESTAMP, event_type STRING, month STRING").parquet(root)
     return back.groupBy("event_type", "month").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.max("ts")).alias("last_us"))
 
@@ -225,8 +233,12 @@ def _old_new(t):
 @query("upsert_last_write_wins", """
 SELECT event_id, user_id, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN value + 1000 ELSE value END AS value, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 'fresh' END AS note FROM events""")
 def _(t):
-    old, new = _old_new(t)
-    return sinks.upsert(old, new, ["event_id"], ["ts"]).select("event_id", "user_id", "value", "note")
+    root, (old, new) = t.scratch("upsert"), [d.withColumn("d", F.to_date("ts").cast("string")) for d in _old_new(t)]
+    schema = "event_id LONG, user_id LONG, ts TIMESTAMP, value DOUBLE, note STRING, d STRING"
+    sinks.write_partitioned(old, root, ["d"], ["event_id"])
+    # The batch overlaps the last days of the table; the folders of earlier days are neither read nor written.
+    sinks.merge_partitions(new, root, ["event_id"], ["d"], schema, ["ts"])
+    return t.spark.read.schema(schema).parquet(root).select("event_id", "user_id", "value", "note")
 
 
 @query("merge_forecast_rows", """
@@ -235,8 +247,12 @@ WITH b AS (SELECT user_id, date_trunc('day', ts) AS run, date_trunc('hour', ts)
 SELECT user_id, epoch_us(run) AS run_us, epoch_us(valid) AS valid_us, value FROM b QUALIFY row_number() OVER (PARTITION BY user_id, run, valid ORDER BY p DESC, event_id DESC) = 1""")
 def _(t):
     keyed = [d.withColumns({"run": F.date_trunc("day", "ts"), "valid": F.date_trunc("hour", "ts")}) for d in _old_new(t)]
-    merged = sinks.upsert(keyed[0], keyed[1], ["user_id", "run", "valid"], ["event_id"])
-    return merged.select("user_id", us("run"), us("valid"), "value")
+    old, new = [d.withColumn("d", F.to_date("run").cast("string")) for d in keyed]
+    root, schema = t.scratch("forecasts"), "event_id LONG, user_id LONG, ts TIMESTAMP, value DOUBLE, run TIMESTAMP, valid TIMESTAMP, note STRING, d STRING"
+    first = sinks.upsert(old.limit(0), old, ["user_id", "run", "valid"], ["event_id"])
+    sinks.write_partitioned(first, root, ["d"], ["user_id", "valid"])
+    sinks.merge_partitions(new, root, ["user_id", "run", "valid"], ["d"], schema, ["event_id"])
+    return t.spark.read.schema(schema).parquet(root).select("user_id", us("run"), us("valid"), "value")
 
 
 @query("incremental_rebuild", """
@@ -249,11 +265,8 @@ def _(t):
 
 
 @query("run_manifest", """
-SELECT event_type AS source, 'ok' AS status, count(*) AS rows_written, CAST(0 AS BIGINT) AS rows_null_key FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+SELECT event_type AS source, 'ok' AS status, count(*) AS rows_written, count(*) FILTER (WHERE user_id IS NULL) AS rows_null_key FROM events GROUP BY 1""")
 def _(t):
     root = t.scratch("manifest")
-    for kind in ("click", "view"):
-        sinks.write_with_manifest(of_type(t, kind), f"{root}/{kind}", f"{root}/runs", f"run-{kind}", kind, "user_id")
+    sinks.write_sources_with_manifest(ev(t), f"{root}/events", f"{root}/runs", "run", "event_type", "user_id", ["ts"])
     return t.spark.read.schema(sinks.RUNS_SCHEMA).parquet(f"{root}/runs").select("source", "status", "rows_written", "rows_null_key")
-
-

@@ -42,10 +42,10 @@ class Domain:
         local = F.to_date(F.from_utc_timestamp("ts", F.col("tz")))
         self.days = self.e.select("station", "tz", local.alias("local_date")).distinct()
 
-    def staged(self):
+    def staged(self, hours=HOURS):
         """Day list, panel and trade table computed once: one row per station day, hour or bucket."""
         self.days = stage(self.days, "days")
-        both = stage_all(table=self.table(), panel=self.panel())
+        both = stage_all(table=self.table(), panel=self.panel(hours))
         return both["table"], both["panel"]
 
     def kind(self, name):
@@ -62,8 +62,8 @@ class Domain:
         points = self.kind("error").select("station", init.alias("init_time"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("fxx"), "value")
         return points.groupBy("station", "init_time", plus_hours("init_time", F.col("fxx")).alias("valid_time")).agg(F.max("value").alias("value"))
 
-    def panel(self):
-        return forecast_panel(self.days, self.maxima("click"), self.maxima("view"), self.grid(), "station", "tz", HOURS)
+    def panel(self, hours=HOURS):
+        return forecast_panel(self.days, self.maxima("click"), self.maxima("view"), self.grid(), "station", "tz", hours)
 
     def prices(self):
         return self.kind("purchase").select("station", (F.col("event_id") % 11).alias("bucket"), "ts", "event_id",
@@ -218,7 +218,7 @@ def _(t):
 
 def features(t):
     d = Domain(t)
-    fc = d.panel().filter("hour = 12").select("station", "local_date", F.col("first_pred").alias("f1"), F.col("second_pred").alias("f2"), F.col("grid_pred").alias("f3"))
+    fc = d.panel(range(12, 13)).select("station", "local_date", F.col("first_pred").alias("f1"), F.col("second_pred").alias("f2"), F.col("grid_pred").alias("f3"))
     return feature_matrix(d.days, d.observed(), fc, "station", ["f1", "f2", "f3"], ("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-31"))
 
 
@@ -591,13 +591,13 @@ def _(t):
 
 
 @query("discover_candidates", DOM + """,
-ready AS (SELECT station, d, f1, spread FROM panel WHERE hour = 18 AND spread <= 90 AND d >= DATE '2024-01-15'),
+ready AS (SELECT station, d, f1, spread FROM panel WHERE hour = 18 AND spread <= 90),
 fav AS (SELECT r.station, r.d, b.b AS bucket, r.spread FROM ready r CROSS JOIN (SELECT unnest(range(0, 11)) AS b) b QUALIFY row_number() OVER (PARTITION BY r.station, r.d ORDER BY abs(b.b * 20.0 + 10 - f1), b.b) = 1)
 SELECT fav.station, CAST(fav.d AS VARCHAR) AS d, fav.bucket + 1 AS bucket, round(fav.spread, 6) AS spread, tab.entry_price FROM fav JOIN tab ON tab.station=fav.station AND tab.d=fav.d AND tab.bucket=fav.bucket+1""")
 def _(t):
     d = Domain(t)
-    table, panel = d.staged()
-    ready = panel.filter("hour = 18 AND spread <= 90 AND local_date >= DATE '2024-01-15'").select("station", "local_date", F.col("first_pred").alias("f1"), "spread")
+    table, panel = d.staged(range(18, 19))
+    ready = panel.filter("spread <= 90").select("station", "local_date", F.col("first_pred").alias("f1"), "spread")
     table = table.drop("pred")
     fav = nearest_bucket(table.join(ready, ["station", "local_date"]), ["station", "local_date"], "bucket", "center", "f1", "spread")
     target = fav.select("station", "local_date", (F.col("bucket") + 1).alias("bucket"), "spread")

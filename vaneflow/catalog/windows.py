@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import series
-from ..operators.asof import asof_anchors
+from ..operators.asof import asof_anchors, asof_join
 from ..operators.joins import union_by_name
 from ..operators.ordered import neighbours, previous, running, shift
 from ..operators.resample import resample_ffill
+from ..session import stage
 from .joins import LADDER, ladder, of_type, us
 from .registry import query
 
@@ -199,16 +200,22 @@ def _(t):
     # Three rows in a row beyond an edge is the same as their minimum being beyond it, for every strike.
     obs = neighbours(obs, keys, ORD, None, {
         "low3": lambda win: F.min("value").over(win(-2, 0)), "seen": lambda win: F.count("value").over(win(-2, 0))}, before=2)
+    # Only a minimum above all before can be the first beyond any edge: a staircase that rises along the day, so
+    # the first row beyond an edge is the lowest step beyond it, a lookup along the value axis.
+    records = running(obs.filter("seen = 3"), keys, ORD, exclusive=True, before=("max", F.col("low3"))).filter("before IS NULL OR low3 > before")
+    records = stage(records.select(*keys, "low3", F.struct("rmax", F.unix_micros("ts").alias("us")).alias("step")), "records")
     n = F.col("n_nationkey")
     kind = F.when(n % 3 == 0, "or_higher").when(n % 3 == 1, "or_below").otherwise("range")
-    strikes = t.nation.select(F.col("n_name").alias("slug"), F.col("n_regionkey").alias("station"), (n * 5).alias("lo"),
-                              (n * 5 + 4).alias("hi"), kind.alias("kind"))
-    higher = F.col("kind") == "or_higher"
-    locked = F.when(higher, F.col("low3") >= F.col("lo")).otherwise(F.col("low3") > F.col("hi"))
-    hits = obs.filter("seen = 3").join(strikes, "station").filter(locked)
-    return hits.groupBy("slug", "kind", F.col("d").cast("string").alias("d")).agg(
-        F.min_by("rmax", F.struct("ts", "event_id")).alias("max_at_lock"), F.unix_micros(F.min("ts")).alias("lock_us")
-    ).withColumn("resolution", F.when(higher, 1).otherwise(0))
+    strikes = t.nation.select(F.col("n_name").alias("slug"), F.col("n_regionkey").alias("station"), kind.alias("kind"),
+                              F.when(n % 3 == 0, n * 5).otherwise(n * 5 + 4).cast("double").alias("edge"))
+    probes = strikes.join(records.select(*keys).distinct(), "station")
+    hits = []
+    for higher in (True, False):  # at the edge or above it for `or_higher`, strictly above it for the others
+        mine = probes.filter((F.col("kind") == "or_higher") == higher)
+        hits.append(asof_join(mine, records, keys, "edge", "low3", {"step": "step"}, direction="forward", exact=higher, how="inner"))
+    return hits[0].unionByName(hits[1]).select(
+        "slug", "kind", F.col("d").cast("string").alias("d"), F.col("step.rmax").alias("max_at_lock"), F.col("step.us").alias("lock_us"),
+        F.when(F.col("kind") == "or_higher", 1).otherwise(0).alias("resolution"))
 
 
 @query("sessionize_gaps", """

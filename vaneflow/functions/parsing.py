@@ -86,15 +86,15 @@ def forecast_station_code(c: Column | str) -> Column:
 
 
 def bucket_bounds(title: Column | str, convention: str = "infinite") -> Column:
-    """Bucket title to struct(kind, lo, hi, center).
+    """Bucket title to struct(kind, lo, hi, center); degrees may be negative (`-5--4°F`).
 
     `infinite`: open tails are +-infinity and their centre lies one degree beyond the edge.
     `continuity`: half-degree correction on every finite edge and +-999 for open tails."""
     title = as_column(title)
-    rng_lo = F.regexp_extract(title, r"^(\d+)-(\d+)°F$", 1).try_cast("double")
-    rng_hi = F.regexp_extract(title, r"^(\d+)-(\d+)°F$", 2).try_cast("double")
-    below = F.regexp_extract(title, r"^(\d+)°F or below$", 1).try_cast("double")
-    above = F.regexp_extract(title, r"^(\d+)°F or higher$", 1).try_cast("double")
+    rng_lo = F.regexp_extract(title, r"^(-?\d+)-(-?\d+)°F$", 1).try_cast("double")
+    rng_hi = F.regexp_extract(title, r"^(-?\d+)-(-?\d+)°F$", 2).try_cast("double")
+    below = F.regexp_extract(title, r"^(-?\d+)°F or below$", 1).try_cast("double")
+    above = F.regexp_extract(title, r"^(-?\d+)°F or higher$", 1).try_cast("double")
     if convention == "infinite":
         low_end, high_end, shift = F.lit(float("-inf")), F.lit(float("inf")), 0.0
     else:
@@ -148,17 +148,19 @@ def slug_strike(slug: Column | str) -> Column:
     return F.struct(kind.alias("kind"), F.coalesce(lo, above).alias("lo"), F.coalesce(hi, below).alias("hi"))
 
 
-# The words that end a city's name in a question.
-CITY_ENDS = ("be", "on", "exceed", "reach", "hit", "above", "below", "this")
+#: Small words inside a city's name.
+NAME_PARTICLES = ("de", "da", "do", "del", "la", "of")
 
 
 def city_from_question(question: Column | str) -> Column:
-    """The words between "temperature in" and the first verb or preposition after it, known short names spelled out."""
+    """The name behind "temperature in": its first word and the capitalised words that follow, known short names spelled out.
+
+    Words may hold dots, hyphens and apostrophes; a small word belongs to the name where a capitalised one follows."""
     text = F.regexp_replace(as_column(question), r"\s+", " ")
-    rest = F.get(F.split(text, "(?i)temperature in "), 1)
-    cut = F.split(rest, "(?i) (?:" + "|".join(CITY_ENDS) + r")\b")
-    name = F.when(F.size(cut) > 1, F.trim(F.get(cut, 0)))
-    city = F.coalesce(F.regexp_replace(name, r"\.+$", ""), F.lit(""))
+    rest = F.coalesce(F.get(F.split(text, "(?i)temperature in "), 1), F.lit(""))
+    word, particles = r"[\p{L}.'’-]*", "|".join(NAME_PARTICLES)
+    name = F.regexp_extract(rest, rf"^(\p{{L}}{word}(?: (?:(?:{particles}) )?\p{{Lu}}{word})*)", 1)
+    city = F.regexp_replace(name, r"\.+$", "")
     aliases = F.create_map(*[F.lit(x) for pair in CITY_ALIASES.items() for x in pair])
     return F.coalesce(F.try_element_at(aliases, F.lower(city)), city)
 
@@ -195,6 +197,9 @@ def remark_fields(report: Column | str) -> dict[str, Column]:
         value = group(main, i + 1, body).try_cast("double")
         return F.when(group(main, i, body) == "M", -value).otherwise(value)
 
+    # Five-digit groups by their first digit; of the pressure tendency the second one says how the pressure went.
+    fives = F.filter(F.split(text, r"\s+"), lambda w: w.startswith("5") & (F.length(w) == 5) & w.rlike("^[0-9]+$") & (F.substring(w, 2, 1) < "9"))
+    tendency = F.get(fives, 0)
     slp = group(r"(?:^|\s)SLP(\d{3})(?:\s|$)").try_cast("double")
     depth = r"(?:^|\s)4/(\d{3})(?:\s|$)"
     ext24 = r"(?:^|\s)4([01])(\d{3})([01])(\d{3})(?:\s|$)"
@@ -209,8 +214,8 @@ def remark_fields(report: Column | str) -> dict[str, Column]:
         "precip_6hr_in": group(r"(?:^|\s)6(\d{4})(?:\s|$)").try_cast("double") / 100,
         "precip_24hr_in": group(r"(?:^|\s)7(\d{4})(?:\s|$)").try_cast("double") / 100,
         "snowdepth_in_rmk": group(depth).try_cast("double"),
-        "press_tendency_3hr_mb": group(r"(?:^|\s)5([0-8])(\d{3})(?:\s|$)", 2, text).try_cast("double") / 10,
-        "press_tendency_3hr_code": group(r"(?:^|\s)5([0-8])(\d{3})(?:\s|$)", 1, text).try_cast("long"),
+        "press_tendency_3hr_mb": F.right(tendency, F.lit(3)).try_cast("double") / 10,
+        "press_tendency_3hr_code": F.substring(tendency, 2, 1).try_cast("long"),
         "presrr": text.rlike(r"\bPRESRR\b"),
         "presfr": text.rlike(r"\bPRESFR\b"),
         "tsb_minute": _thunder_minute(text, "B"),

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import stage
+from .joins import diff_tables
+from .ordered import interval_micros, running
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -52,11 +57,15 @@ def missing(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def time_spine(df: DataFrame, keys: Sequence[str], ts: str, step: str, until: Column | None = None, out: str = "slot") -> DataFrame:
-    """Every slot a key should have, from its first to its last (or up to `until`)."""
-    ends = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    last = F.col("_hi") if until is None else F.least(F.col("_hi"), until)
-    return ends.withColumn("_hi", last).filter("_lo <= _hi").select(
-        *keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias(out))
+    """Every slot a key should have, from its first to its last (or up to `until`); `step` like "1 hour".
+
+    Grown in two steps, stretches of a thousand slots and then slots, so no array spans a whole history."""
+    micros = interval_micros(step.lower())
+    ends = df.groupBy(*keys).agg(F.unix_micros(F.min(ts)).alias("_lo"), F.max(ts).alias("_hi"))
+    last = F.unix_micros("_hi") if until is None else F.least(F.unix_micros("_hi"), F.unix_micros(until))
+    stretches = ends.withColumn("_hi", last).filter("_lo <= _hi").withColumn("_at", F.explode(F.expr(f"sequence(_lo, _hi, {micros * 1000}L)")))
+    stretches = stretches.withColumn("_hi", F.least(F.col("_hi"), F.col("_at") + micros * 999))
+    return stretches.select(*keys, F.explode(F.expr(f"sequence(_at, _hi, {micros}L)")).alias("_u")).select(*keys, F.timestamp_micros("_u").alias(out))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,12 +91,12 @@ def count_reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def evenly_spaced(files: DataFrame, name: str, n: int) -> DataFrame:
-    """About n file names spread over the sorted list, always with the first and the last."""
+    """About n file names spread over the sorted list, always with the first and the last; all of them for n of 0 or less."""
     ordered = files.select(name).distinct()
+    if n <= 0:
+        return ordered
     total = ordered.agg(F.count(F.lit(1))).scalar()
     step = F.greatest(F.lit(1), F.floor(total / n))
-    from .ordered import running
-
     # File lists are small next to the data; the position comes from a count along the sorted names.
     ranked = running(ordered, [], [name], _i=("count", F.lit(1)))
     i = F.col("_i") - 1
@@ -104,3 +113,49 @@ def compare_schema(actual: StructType, expected: StructType) -> list[str]:
         for f in expected if f.name in have and have[f.name] != f.dataType
     ]
     return problems
+
+
+def value_fidelity(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str], file: str, tolerance: float = 1e-6) -> DataFrame:
+    """`diff_tables` over all rows, at the cost of the files that differ.
+
+    Both sides are reduced to a digest per file: the number of rows and an order-free sum of their hashes.  Only
+    files whose digests differ are compared row by row; the rows of the others are equal and counted as such."""
+    def digest(df: DataFrame, side: str) -> DataFrame:
+        row = F.xxhash64(*keys, *columns).cast("decimal(38,0)")
+        return df.groupBy(F.col(file).alias("_file")).agg(F.count(F.lit(1)).alias(f"n_{side}"), F.sum(row).alias(f"h_{side}"))
+
+    a, b = digest(left, "left"), digest(right, "right")
+    both = a.join(b.withColumnRenamed("_file", "_other"), a["_file"].eqNullSafe(F.col("_other")), "full")
+    equal = F.col("n_left").eqNullSafe(F.col("n_right")) & F.col("h_left").eqNullSafe(F.col("h_right"))
+    digests = stage(both.select(F.coalesce("_file", "_other").alias("_file"), "n_left", equal.alias("_equal")), "digests")
+    differing = digests.filter("not _equal").select("_file")
+    suspect = [df.join(differing, df[file].eqNullSafe(differing["_file"]), "left_semi") for df in (left, right)]
+    same = digests.filter("_equal").agg(F.coalesce(F.sum("n_left"), F.lit(0))).scalar()
+    return diff_tables(*suspect, keys, columns, tolerance).withColumn("n_both", F.col("n_both") + same)
+
+
+def schema_audit(tables: dict[str, DataFrame], expected: StructType) -> DataFrame:
+    """(source, column_name, expected, actual, n, ok) for every expected or found column of every table.
+
+    Types are compared by name; `missing` stands for a column that a table lacks, `extra` for one that none
+    should have; n is the number of rows that stand behind the finding."""
+    parts = []
+    for source, df in tables.items():
+        have = {f.name: f.dataType.simpleString() for f in df.schema}
+        want = {f.name: f.dataType.simpleString() for f in expected}
+        faults = {problem.removeprefix("missing ").split(":")[0] for problem in compare_schema(df.schema, expected)}
+        rows = [(c, want.get(c, "extra"), have.get(c, "missing"), c in want and c not in faults) for c in sorted({*have, *want})]
+        found = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(w).alias("expected"), F.lit(h).alias("actual"), F.lit(ok).alias("ok")) for c, w, h, ok in rows])
+        parts.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(source).alias("source"), "n", F.inline(found)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ratio_fidelity(base: DataFrame, finer: DataFrame, key: str, lead: str, ratio: int, leads: Sequence[int]) -> DataFrame:
+    """Per key: rows of both tables, whether the finer one has `ratio` for each of the base, and exactly the given leads."""
+    n = lambda df, name, *more: df.groupBy(key).agg(F.count(F.lit(1)).alias(name), *more)
+    found = F.array_sort(F.collect_set(F.col(lead)))  # bounded by the distinct leads of the feed
+    both = n(base, "n_base").join(n(finer, "n_finer", found.alias("_leads")), key, "full")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    wanted = F.array(*[F.lit(x).cast(dict(finer.dtypes)[lead]) for x in sorted(leads)])
+    return both.select(key, count("n_base").alias("n_base"), count("n_finer").alias("n_finer"), F.coalesce(F.array_join(F.col("_leads").cast("array<string>"), ","), F.lit("")).alias("leads"),
+                       (count("n_finer") == ratio * count("n_base")).alias("rows_ok"), F.coalesce(F.col("_leads") == wanted, F.lit(False)).alias("leads_ok"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .asof import asof_join
 
 
@@ -58,15 +59,30 @@ def offset_partner(ladder: DataFrame, picks: DataFrame, group: str, index: str,
     return target.join(partner, [group, "_want"]).withColumnRenamed("_want", f"partner_{index}")
 
 
-def near_runs(a: DataFrame, b: DataFrame, on: Sequence[str], a_time: str, b_time: str, seconds: int) -> DataFrame:
+#: Rows of one slot that meet in one task, on either side.
+SLOT_ROWS = 2_000
+
+
+def near_runs(a: DataFrame, b: DataFrame, on: Sequence[str], a_time: str, b_time: str, seconds: int, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Rows of both sides with equal keys and times at most `seconds` apart.
 
-    The time slice joins as a key, so only neighbouring rows meet."""
+    The time slice joins as a key, so only neighbouring rows meet.  A slot with more than `slot_rows` rows on a
+    side is cut into blocks there, and the other side's rows go to all of them: every pair meets once."""
     slot = F.floor(F.unix_seconds(a_time) / seconds)
     left = a.withColumn("_slot", F.explode(F.array(slot - 1, slot, slot + 1)))
     right = b.withColumn("_slot", F.floor(F.unix_seconds(b_time) / seconds))
+    places = [*on, "_slot"]
+    blocks = F.ceil(F.col("_n") / slot_rows).cast("int")
+    counts = [df.groupBy(*places).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slot_rows).select(*places, blocks.alias(c)) for df, c in ((left, "_ba"), (right, "_bb"))]
+    hot = stage(counts[0].join(counts[1], places, "full"), "hot-slots")
+    dealt = []
+    for df, own, other, i, j in ((left, "_ba", "_bb", "_i", "_j"), (right, "_bb", "_ba", "_j", "_i")):
+        number = lambda c: F.coalesce(F.col(c), F.lit(1))
+        mine = F.pmod(F.xxhash64(*df.columns), number(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), number(other) - 1))
+        dealt.append(df.join(hot, places, "left").withColumn(i, mine).withColumn(j, every).drop("_ba", "_bb"))
     close = F.abs(F.unix_micros(a_time) - F.unix_micros(b_time)) <= seconds * 1_000_000
-    return left.join(right, [*on, "_slot"]).filter(close).drop("_slot")
+    return dealt[0].join(dealt[1], [*places, "_i", "_j"]).filter(close).drop("_slot", "_i", "_j")
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:

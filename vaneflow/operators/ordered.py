@@ -41,17 +41,19 @@ def _levels(column: str, kind: str) -> list[Column]:
 
 
 def depth_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = CELL_ROWS, name: str = CELL) -> DataFrame:
-    """Add `name`, equi-depth cells of about `rows` rows along (keys, order), from counts alone.
-
-    Keys with no more rows than that are one cell.  In the others rows are counted by micro-cell (the hour of a
-    time, the band of a number), and a micro-cell lies in the cell that the rows before it give; those that hold
-    too many are counted by the next finer one, down to the values of all order columns.  Nothing is sorted
-    or written but the counts of the large keys, whose size joins the cells on; exact, so the same wherever evaluated.
-    Only rows that agree in the whole order stay together whatever their number."""
+    """Add `name`, equi-depth cells of at most about `rows` rows along (keys, order), from counts alone.
+
+    Keys with no more rows than that are one cell; the rows of others are divided evenly.  They are counted by
+    micro-cell (the hour of a time, the band of a number), and a micro-cell lies in the cell that the rows before
+    it give; those that hold more than an eighth of a cell are counted by the next finer one, down to the values of
+    all order columns.  Nothing is sorted or written but the counts of the large keys, whose size decides how they
+    join; exact, so the same wherever evaluated.  Only rows that agree in the whole order stay together
+    whatever their number."""
     keys, kinds = list(keys), dict(df.dtypes)
     finer = [level for c in order for level in _levels(c, kinds[c])]
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counted.filter(F.col("_n") > rows).withColumn("_rows_before", F.lit(0).cast("long"))
+    step = F.ceil(F.col("_n") / F.ceil(F.col("_n") / rows)).cast("long")
+    heavy = counted.filter(F.col("_n") > rows).select(*keys, step.alias("_step"), F.lit(0).cast("long").alias("_rows_before"))
     tags: list[str] = []
     marked, tables = df, []
     for level in finer:
@@ -60,15 +62,17 @@ def depth_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
         known, tag = [*keys, *tags], f"_m{len(tags)}"
         # Of this expression only the keys and order columns are read.
         marked = marked.withColumn(tag, level)
+        facts = ["_step", "_rows_before"]
+        heavy = stage(heavy.select(*known, *facts), "heavy")
         inside = marked.select(*known, tag)
-        inside = inside.join(stage(heavy.select(*known, "_rows_before"), "heavy"), known) if known else inside.withColumn("_rows_before", F.lit(0).cast("long"))
+        inside = inside.join(heavy, known) if known else inside.crossJoin(F.broadcast(heavy))  # without keys this is one row
         along = Window.partitionBy(*known).orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)
         before = F.col("_rows_before") + F.coalesce(F.sum("_n").over(along), F.lit(0))
-        counts = inside.groupBy(*known, tag, "_rows_before").agg(F.count(F.lit(1)).alias("_n"))
-        counts = stage(counts.select(*known, tag, "_n", before.alias("_rows_before")), "micro-cells")
+        counts = inside.groupBy(*known, tag, *facts).agg(F.count(F.lit(1)).alias("_n"))
+        counts = stage(counts.select(*known, tag, "_n", "_step", before.alias("_rows_before")), "micro-cells")
         tags.append(tag)
-        tables.append(counts.select(*known, tag, F.floor(F.col("_rows_before") / rows).cast("long").alias(f"_cell{tag}")))
-        heavy = counts.filter(F.col("_n") > rows)
+        tables.append(counts.select(*known, tag, F.floor(F.col("_rows_before") / F.col("_step")).cast("long").alias(f"_cell{tag}")))
+        heavy = counts.filter(F.col("_n") * 8 > F.col("_step"))
     for table in tables:
         marked = marked.join(table, table.columns[:-1], "left")
     found = [F.col(table.columns[-1]) for table in reversed(tables)]

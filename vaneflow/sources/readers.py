@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import first_present, lenient_double, type_observations
 from ..functions.pricing import fill_fields
-from ..operators.joins import union_by_name
+from ..session import stage
 
 LEVELS = "ARRAY<STRUCT<price: STRING, size: STRING>>"
 MARKET_SCHEMA = """slug STRING, conditionId STRING, question STRING, outcomes STRING, outcomePrices STRING, clobTokenIds STRING,
@@ -46,25 +46,33 @@ def read_forecast_csv(spark: SparkSession, path, columns: Sequence[str], integer
     return raw.withColumns(times | numbers).withColumn("lead_hours", lead_hours("runtime", "ftime"))
 
 
-def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Files below `path` grouped by their header line; one small row per file reaches the driver."""
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, header): the first line of each file below `path` that is no comment."""
     lines = (
         spark.read.option("recursiveFileLookup", True).text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
         .filter((F.col("at") == 0) & ~F.col("value").startswith("#"))
         .withColumn("i", F.monotonically_increasing_id())
-        .groupBy("file").agg(F.min_by("value", "i").alias("header"))
     )
-    groups: dict[str, list[str]] = {}
-    for row in lines.toLocalIterator():
-        groups.setdefault(row["header"], []).append(row["file"])
-    return groups
+    return lines.groupBy("file").agg(F.min_by("value", "i").alias("header"))
 
 
 def read_csv_union_by_name(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files whose columns drift: one scan per distinct header, then a union by name."""
-    frames = [_raw_csv(spark, files, header.split(",")) for header, files in sorted(csv_headers(spark, path).items())]
-    return union_by_name(frames)
+    """CSV files whose columns drift, all as text: the union of their columns by name, in one scan of the data.
+
+    Lines meet the header of their file and are taken apart by its names.  Only the distinct names reach the
+    driver, as the columns of the result; the headers stay a table.  Empty fields are null."""
+    headers = stage(csv_headers(spark, path), "headers")
+    names = F.transform(F.split("header", ","), lambda n: F.trim(F.regexp_replace(n, '^"|"$', "")))
+    named = headers.select("file", "header", names.alias("names"))
+    found = sorted(r[0] for r in named.select(F.explode("names")).distinct().collect())
+    width = named.agg(F.max(F.size("names"))).first()[0] or 1
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    data = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).join(named, "file").filter(F.col("value") != F.col("header"))
+    parsed = F.from_csv("value", ", ".join(f"_{i} STRING" for i in range(width)))
+    rows = data.select("names", parsed.alias("p")).select("names", F.array(*[F.col(f"p._{i}") for i in range(width)]).alias("v"))
+    place = lambda n: F.array_position("names", n).cast("int")
+    return rows.select(*[F.when(place(n) > 0, F.get("v", place(n) - 1)).alias(n) for n in found])
 
 
 def read_parquet_tree(spark: SparkSession, root: str, schema: str, glob: str | None = None) -> DataFrame:
@@ -143,37 +151,43 @@ def select_sources(df: DataFrame, column: str, wanted: DataFrame | Sequence[str]
     return df if first is None else df.orderBy(column).limit(first)
 
 
+#: Widths in degrees of the tiles of the pyramid, finest first; each divides the next, and the last spans the globe.
+TILES = (0.5, 4.0, 32.0, 512.0)
+
+
 def nearest_grid_point(
-    stations: DataFrame, grid: DataFrame, station: str, cell: Sequence[str], lat: str = "lat", lon: str = "lon",
-    tiles: Sequence[float] = (0.5, 4.0, 400.0),
+    stations: DataFrame, grid: DataFrame, station: str, cell: Sequence[str], lat: str = "lat", lon: str = "lon", tiles: Sequence[float] = TILES,
 ) -> DataFrame:
     """Grid cell with the least squared lat/lon distance to each station; 0-360 longitudes are re-based.
 
-    Stations meet the grid tile by tile: any point within one tile width lies in the 3x3 tiles around
-    the station, so a match that close is exact.  Others go on to wider tiles; the last covers the globe."""
+    The grid is laid into a pyramid of tiles that hold the box of their points.  Stations go down from the top: of
+    the tiles below those kept, a station keeps the ones whose box may hold a point as near as the farthest
+    corner of the best box.  So a station meets a few tiles of each level wherever it lies, and at last
+    the points of a few of the finest; the result is exact.  Of equally near cells the least is taken."""
     def rebased(df):
         return df.withColumn(lon, F.when(F.col(lon) > 180, F.col(lon) - 360).otherwise(F.col(lon)))
 
     points = rebased(grid).select(F.struct(*cell).alias("_cell"), F.col(lat).alias("_glat"), F.col(lon).alias("_glon"))
-    todo, done = rebased(stations), []
-    for step in tiles:
-        tile = lambda a, o: (F.floor(F.col(a) / step), F.floor(F.col(o) / step))
-        gy, gx = tile("_glat", "_glon")
-        sy, sx = tile(lat, lon)
-        ring = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        near = (
-            todo.withColumn("_dy", F.explode(ring)).withColumn("_dx", F.explode(ring))
-            .withColumns({"_ty": sy + F.col("_dy"), "_tx": sx + F.col("_dx")})
-            .join(points.withColumns({"_ty": gy, "_tx": gx}), ["_ty", "_tx"])
-        )
-        d2 = F.pow(F.col("_glat") - F.col(lat), 2) + F.pow(F.col("_glon") - F.col(lon), 2)
-        best = near.withColumn("d2", d2).groupBy(station).agg(
-            F.min(F.struct("d2", "_cell")).alias("_m")).select(station, "_m._cell.*", "_m.d2")
-        last = step == tiles[-1]
-        found = best if last else best.filter(F.col("d2") <= step * step)
-        done.append(found)
-        if not last:
-            todo = todo.join(found.select(station), station, "left_anti")
-    return union_by_name(done)
-
-
+    points = points.withColumns({"_ty": F.floor(F.col("_glat") / tiles[0]), "_tx": F.floor(F.col("_glon") / tiles[0])})
+    box = [F.min("_s").alias("_s"), F.max("_n").alias("_n"), F.min("_w").alias("_w"), F.max("_e").alias("_e")]
+    levels = [points.select("_ty", "_tx", F.col("_glat").alias("_s"), F.col("_glat").alias("_n"), F.col("_glon").alias("_w"), F.col("_glon").alias("_e")).groupBy("_ty", "_tx").agg(*box)]
+    for fine, coarse in zip(tiles, tiles[1:]):
+        ratio = round(coarse / fine)
+        levels.append(levels[-1].groupBy(F.floor(F.col("_ty") / ratio).alias("_ty"), F.floor(F.col("_tx") / ratio).alias("_tx")).agg(*box))
+    y, x = F.col(lat), F.col(lon)
+    near = F.pow(F.greatest(F.col("_s") - y, y - F.col("_n"), F.lit(0.0)), 2) + F.pow(F.greatest(F.col("_w") - x, x - F.col("_e"), F.lit(0.0)), 2)
+    far = F.pow(F.greatest(F.abs(y - F.col("_s")), F.abs(y - F.col("_n"))), 2) + F.pow(F.greatest(F.abs(x - F.col("_w")), F.abs(x - F.col("_e"))), 2)
+    places = rebased(stations).select(station, lat, lon)
+    # The top has the four tiles around the origin at most.
+    corner = F.array(F.lit(-1).cast("long"), F.lit(0).cast("long"))
+    kept = places.withColumn("_py", F.explode(corner)).withColumn("_px", F.explode(corner))
+    for k in reversed(range(len(tiles))):
+        ratio = round(tiles[k + 1] / tiles[k]) if k + 1 < len(tiles) else 1
+        table = levels[k].withColumns({"_py": F.floor(F.col("_ty") / ratio), "_px": F.floor(F.col("_tx") / ratio)})
+        met = kept.join(table, ["_py", "_px"]).withColumns({"_near": near, "_far": far})
+        best = met.groupBy(station).agg(F.min("_far").alias("_best"))
+        # The margin covers the rounding of both distances.
+        kept = met.join(best, station).filter(F.col("_near") <= F.col("_best") * (1 + 1e-9) + 1e-12).select(station, lat, lon, F.col("_ty").alias("_py"), F.col("_tx").alias("_px"))
+    d2 = F.pow(F.col("_glat") - y, 2) + F.pow(F.col("_glon") - x, 2)
+    met = kept.join(points.withColumnRenamed("_ty", "_py").withColumnRenamed("_tx", "_px"), ["_py", "_px"]).withColumn("d2", d2)
+    return met.groupBy(station).agg(F.min(F.struct("d2", "_cell")).alias("_m")).select(station, "_m._cell.*", "_m.d2")
