@@ -89,9 +89,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch folders handed out so far; call it when results that read them are written."""
-    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+def staged_paths(spark: SparkSession) -> list[str]:
+    """The scratch folders handed out so far."""
+    return list(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch folders, all that were handed out or those given; call it when results that read them are written."""
+    held = _STAGED.setdefault(spark.sparkContext.applicationId, [])
+    for path in list(held) if paths is None else paths:
+        if path in held:
+            held.remove(path)
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
