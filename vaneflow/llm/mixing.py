@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 #: Documents that a slice of a leaf is to hold; only the slice in which the budget ends is sorted.
 SLICE_DOCUMENTS = 4_000
 
@@ -87,37 +89,53 @@ def _ticket(plan: MixPlan, epoch: Column, identity: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(plan.seed)), epoch.cast("string"), identity))
 
 
-def select_mixture(docs: DataFrame, plan: MixPlan | None = None, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tokens: Column | None = None) -> DataFrame:
+def text_md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def select_mixture(
+    docs: DataFrame, plan: MixPlan | None = None, *, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", tokens: Column | None = None, with_hash: bool = False
+) -> DataFrame:
     """`key`, domain, lang, source, epoch, tokens, leaf_budget of everything that is taken, a row for each time.
 
     A document is taken when the tokens up to and with it, in its leaf's order of the epoch, are within
-    what the budget leaves for that epoch.  Null languages and sources are the leaf "unknown"; null texts
-    have no tokens, and documents without tokens are not taken; rows that repeat a key and text stand at
-    one place of the order and are taken in turn by nothing but their number; no rows give no rows."""
+    what the budget leaves for that epoch.  The order is that of a hash of the key and the text, so rows that
+    share a key, or have none, have places of their own; rows equal in both stand side by side, travel as one row
+    with their number, and as many of them are taken as fit.  Null languages and sources are the leaf "unknown";
+    null texts have no tokens, and documents without tokens are not taken; no rows give no rows.  `with_hash`
+    adds the text's MD5 as text_md5, to tell rows of one key apart."""
     plan = plan or MixPlan()
     unknown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     count = whitespace_tokens(F.col(text)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).alias("_key"), unknown(lang).alias("lang"), unknown(source).alias("source"), count.alias("_tokens"))
+    rows = docs.select(F.col(key).alias("_key"), unknown(lang).alias("lang"), unknown(source).alias("source"), count.alias("_tokens"), text_md5(F.col(text)).alias("_hash"))
     domain = F.coalesce(F.create_map(*[F.lit(x) for p in plan.domain_of_source.items() for x in p])[F.col("source")], F.lit(plan.other_domain)) if plan.domain_of_source else F.lit(plan.other_domain)
-    rows = rows.withColumn("domain", domain).filter(F.col("_tokens") > 0)
     leaf = ["domain", "lang", "source"]
-    leaves = rows.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    budgets = leaf_budgets(leaves, plan).filter(F.col("budget") > 0)
+    rows = rows.withColumn("domain", domain).filter(F.col("_tokens") > 0)
+    # Texts are read once; equal rows are put together before they travel.
+    rows = stage(rows.groupBy(*leaf, "_key", "_hash", "_tokens").agg(F.count(F.lit(1)).alias("_copies")), "mixture-rows")
+    held = F.col("_tokens") * F.col("_copies")
+    # A few rows for each source and language: staged, so that no step works them out again.
+    leaves = stage(rows.groupBy(*leaf).agg(F.sum(held).alias("tokens"), F.count(F.lit(1)).alias("documents")), "leaves")
+    budgets = stage(leaf_budgets(leaves, plan).filter(F.col("budget") > 0), "budgets")
     # Each epoch of a leaf has the leaf's tokens as its room; the last one what is left.
     epochs = budgets.select(*leaf, F.col("budget").alias("leaf_budget"), F.col("tokens").alias("_held"), "documents", F.explode(F.sequence(F.lit(0), F.lit(plan.max_epochs - 1))).alias("epoch"))
     rooms = epochs.withColumn("_room", F.least(F.col("_held"), F.col("leaf_budget") - F.col("epoch") * F.col("_held"))).filter(F.col("_room") > 0)
-    rooms = rooms.withColumn("_slices", F.ceil(F.col("documents") / SLICE_DOCUMENTS).cast("long"))
+    rooms = stage(rooms.withColumn("_slices", F.ceil(F.col("documents") / SLICE_DOCUMENTS).cast("long")), "rooms")
 
-    identity = F.coalesce(F.col("_key").cast("string"), F.lit(""))
+    identity = F.concat_ws(":", F.coalesce(F.col("_key").cast("string"), F.lit("")), "_hash")
     offered = rows.join(rooms, leaf).withColumn("_ticket", _ticket(plan, F.col("epoch"), identity))
     place = F.conv(F.substring("_ticket", 1, 8), 16, 10).cast("long")
     offered = offered.withColumn("_slice", F.floor(place * F.col("_slices") / F.lit(1 << 32)).cast("long"))
     # Tokens by slice, added up along the leaf: slices that end within the room are taken whole.
-    sums = offered.groupBy(*leaf, "epoch", "_slice").agg(F.sum("_tokens").alias("_sum"), F.first("_room").alias("_r"))
+    sums = offered.groupBy(*leaf, "epoch", "_slice").agg(F.sum(held).alias("_sum"), F.first("_room").alias("_r"))
     along = Window.partitionBy(*leaf, "epoch").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = sums.withColumn("_end", F.sum("_sum").over(along)).withColumn("_before", F.col("_end") - F.col("_sum")).filter(F.col("_before") < F.col("_r"))
-    marked = offered.join(ends.select(*leaf, "epoch", "_slice", "_end", "_before"), [*leaf, "epoch", "_slice"])
-    whole = marked.filter(F.col("_end") <= F.col("_room"))
+    ends = stage(ends.select(*leaf, "epoch", "_slice", "_end", "_before"), "slices")
+    marked = offered.join(ends, [*leaf, "epoch", "_slice"])
+    whole = marked.filter(F.col("_end") <= F.col("_room")).withColumn("_taken", F.col("_copies"))
     inside = Window.partitionBy(*leaf, "epoch", "_slice").orderBy("_ticket", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = marked.filter(F.col("_end") > F.col("_room")).withColumn("_upto", F.col("_before") + F.sum("_tokens").over(inside)).filter(F.col("_upto") <= F.col("_room")).drop("_upto")
-    return whole.unionByName(cut).select(F.col("_key").alias(key), *leaf, "epoch", F.col("_tokens").alias("tokens"), "leaf_budget")
+    left = F.col("_room") - F.col("_before") - (F.sum(held).over(inside) - held)
+    cut = marked.filter(F.col("_end") > F.col("_room")).withColumn("_taken", F.least(F.col("_copies"), F.floor(left / F.col("_tokens")).cast("long"))).filter("_taken > 0")
+    taken = whole.unionByName(cut).withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_taken"))))
+    more = [F.col("_hash").alias("text_md5")] if with_hash else []
+    return taken.select(F.col("_key").alias(key), *leaf, "epoch", F.col("_tokens").alias("tokens"), "leaf_budget", *more)

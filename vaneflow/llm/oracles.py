@@ -80,7 +80,7 @@ def _share_out(children: str, parent: str, name: str, weight: str) -> str:
 
 OP9 = f"""
 WITH r AS (
-  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS ident, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
          CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, ' ')) END::BIGINT AS tokens FROM documents),
 t AS (SELECT *, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_full_match(source, 'src[1-9]') THEN 'reference' ELSE 'community' END AS domain FROM r WHERE tokens > 0),
 leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * 2 AS held FROM t GROUP BY ALL),
@@ -91,7 +91,7 @@ b2 AS {_share_out("c1", "domain", "lang", "CASE lang WHEN 'en' THEN 50 WHEN 'de'
 c2 AS (SELECT domain || '/' || leaf.lang AS node, leaf.domain, leaf.lang, leaf.source, leaf.tokens, leaf.held, b2.given AS budget FROM leaf JOIN b2 USING (domain, lang)),
 b3 AS {_share_out("c2", "node", "source", "1")},
 e AS (SELECT domain, lang, source, epoch::INT AS epoch, given AS leaf_budget, least(tokens, given - epoch * tokens) AS room FROM b3, (VALUES (0), (1)) AS n(epoch) WHERE given > 0),
-o AS (SELECT t.*, e.epoch, e.leaf_budget, e.room, sum(t.tokens) OVER (PARTITION BY t.domain, t.lang, t.source, e.epoch ORDER BY md5('11:' || e.epoch || ':' || t.doc_id), t.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+o AS (SELECT t.*, e.epoch, e.leaf_budget, e.room, sum(t.tokens) OVER (PARTITION BY t.domain, t.lang, t.source, e.epoch ORDER BY md5('11:' || e.epoch || ':' || t.ident), t.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
       FROM t JOIN e USING (domain, lang, source) WHERE e.room > 0)
 SELECT doc_id, domain, lang, source, epoch, tokens, leaf_budget FROM o WHERE upto <= room"""
 

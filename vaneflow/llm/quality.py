@@ -102,17 +102,16 @@ def tree_rules(tree, features: list[str]) -> set[Rule]:
     return rules
 
 
-def fit_rules(labelled: DataFrame, features: list[str], label: str = "quality", *, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
-    """Rules and weights from rows of statistics with a 0/1 label.
+def fit_rules(labelled: DataFrame, features: list[str], label: str = "quality", *, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
+    """Rules and weights from rows of statistics with a 0/1 label, a bounded number as `learn` gives them.
 
     With one class only, or no rows, the model is the constant share of label 1 (0.5 without rows)."""
-    known = labelled.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), F.xxhash64(*features).alias("h"))
+    known = labelled.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"))
     n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not n or ones in (0, n):
         share = min(max(ones / n if n else 0.5, 1e-6), 1 - 1e-6)
         return RuleModel(math.log(share / (1 - share)), ())
-    bound = int((1 << 32) * min(1.0, fit_rows / n))
-    sample = known.filter(F.pmod("h", F.lit(1 << 32)) < bound).drop("h").coalesce(4).cache()
+    sample = known.coalesce(4).cache()
     try:
         grown = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="onethird", labelCol="label", featuresCol="x", minInstancesPerNode=5).fit(
             VectorAssembler(inputCols=features, outputCol="x").transform(sample)
@@ -122,7 +121,7 @@ def fit_rules(labelled: DataFrame, features: list[str], label: str = "quality",
             return RuleModel(math.log(ones / (n - ones)), ())
         active = sample.select("label", *[r.column().cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
         vectors = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="x").transform(active).select("label", "x")
-        fit = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=60).fit(vectors)
+        fit = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=30).fit(vectors)
         terms = tuple((r, float(w)) for r, w in zip(rules, fit.coefficients.toArray(), strict=True) if w)
         return RuleModel(float(fit.intercept), terms)
     finally:
@@ -140,10 +139,16 @@ def _labels(labels: DataFrame, key: str, label: str) -> DataFrame:
     return known.groupBy(F.col(key).alias("_key")).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
 
 
-def learn(scanned: DataFrame, labels: DataFrame, key: str, label: str) -> RuleModel:
-    """The model of `scanned` (key and statistics), learnt from labelled rows that are not held out."""
-    known = scanned.filter(~held_out(F.col(key))).join(_labels(labels, key, label), F.col(key) == F.col("_key"))
-    return fit_rules(known, FEATURES, "_label")
+def learn(scanned: DataFrame, labels: DataFrame, key: str, label: str, fit_rows: int = FIT_ROWS) -> RuleModel:
+    """The model of `scanned` (key and statistics), learnt from about `fit_rows` labelled rows at most that are not held out.
+
+    Labels are thinned by a hash of their key before they meet the rows; what they meet is a bounded
+    sample, written once, and all steps of the fit read that."""
+    known = _labels(labels, key, label).filter(~held_out(F.col("_key")))
+    bound = int((1 << 32) * min(1.0, fit_rows / max(1, known.count())))
+    chosen = stage(known.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 32)) < bound), "labels")
+    sample = stage(scanned.join(chosen, F.col(key) == F.col("_key")).select(*FEATURES, "_label"), "sample")
+    return fit_rules(sample, FEATURES, "_label")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
