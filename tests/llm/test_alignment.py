@@ -93,14 +93,32 @@ def test_windows_do_not_change_the_alignment(libraries):
     for _ in range(60):
         text = " ".join(rnd.choice(["straße", "tokenisation", "of", "the", "anchors", "日本語", "x" * 90, "3.14", "it's"]) for _ in range(20))
         fresh = alignment.Aligner.__new__(alignment.Aligner)
-        fresh.__dict__ = used.__dict__ | {"_windows": {}}
+        fresh.__dict__ = dict(used.__dict__)
+        fresh._forget()
         (ids,) = used.tokenise([text])
-        first, second = used.align(*ids), fresh.align(*ids)
-        assert first[:2] == second[:2] and first[2].tolist() == second[2].tolist()
-        assert ";".join(f"{a}" for a in [first[1]]) and first[1].count(";") + 1 == first[0]
+        (first,), (second,) = used.align([ids]), fresh.align([ids])
+        assert first[:2] == second[:2] and first[2].tolist() == second[2].tolist() and first[3].tolist() == second[3].tolist()
+        assert first[1].count(";") + 1 == first[0] and first[3].sum() == len(ids[0]) + len(ids[1]) - first[0]
     assert all(len(a) + len(b) <= 4 * alignment.REMEMBERED_TOKENS for a, b in used._windows)
 
 
+def test_a_full_memory_starts_anew(libraries, monkeypatch):
+    path = default_vocabulary("byte_bpe_50k.json"), default_vocabulary("piece_bpe_32k.model")
+    one, two = alignment.Aligner(*path), alignment.Aligner(*path)
+    texts = [f"word{i} again and again " + "long-" * i for i in range(40)]
+    ids = list(one.tokenise(texts))
+    plain = list(one.align(ids))
+    monkeypatch.setattr(alignment, "REMEMBERED", 7)
+    small = [x for some in ids for x in two.align([some])]
+    assert len(two._groups) < len(one._groups)
+    # Even if all hashes are equal windows are told apart.
+    monkeypatch.setattr(alignment, "mix", lambda x: x * 0)
+    small += alignment.Aligner(*path).align(ids)
+    assert len(small) == 2 * len(plain)
+    plain *= 2
+    assert all(x[:2] == y[:2] and x[2].tolist() == y[2].tolist() and x[3].tolist() == y[3].tolist() for x, y in zip(plain, small))
+
+
 def test_stored_groups_hold_all_ids(spark):
     docs = spark.createDataFrame([(1, "It's a test of groups."), (2, None)], SCHEMA)
     one, none = sorted(alignment.align_documents(docs, store=True).collect(), key=lambda r: r["doc_id"])

@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .packing import encoder
 from .tokens import PrefixTable, default_vocabulary
-
-#: Windows that a Python worker remembers, beyond which the memory starts anew, and their longest, in tokens of both.
-REMEMBERED, REMEMBERED_TOKENS = 400_000, 64
-#: Texts that are tokenised at a time, and documents whose pairs are looked up at a time.
-TEXTS, ROWS = 128, 2_000
+from .wordhash import chunks, mix
+
+#: Windows, and links of them, that a Python worker remembers; beyond either the memory starts anew with the next text.
+REMEMBERED, REMEMBERED_LINKS = 400_000, 4_000_000
+#: Longer windows, in tokens of both, are kept for their text only.
+REMEMBERED_TOKENS = 64
+#: Bytes of text (one text at least) that are aligned at a time, and documents whose pairs are looked up at a time.
+TEXT_BYTES, ROWS = 1 << 21, 2_000
 #: Pairs in the table that every task has.
 COMMON_PAIRS = 1 << 16
 
@@ -49,14 +52,23 @@ class Aligner:
         self.code = np.dtype("<u4" if len(self.bytes_a) * self.size_b <= 1 << 32 else "<u8")
         self.length_a, self.length_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
         self.space_a, self.space_b = (np.array([t.startswith(b" ") for t in x]) for x in (self.bytes_a, self.bytes_b))
-        self._windows: dict[tuple[bytes, bytes], tuple[str, np.ndarray]] = {}
+        #: Ids as text with what follows them: a comma, a bar behind the last of A in a group, a semicolon behind the last of B.
+        self._shown = [f"{i}{mark}" for n, marks in ((len(self.bytes_a), ",|"), (self.size_b, ",;")) for mark in marks for i in range(n)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memory: windows by their ids; the groups of each as text; the links of all, one after the other."""
+        self._windows: dict[tuple[bytes, bytes], int] = {}
+        self._groups: list[str] = []
+        self._links, self._held = np.zeros(1 << 16, dtype=self.code), 0
+        self._begins: list[int] = [0]
 
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
     def tokenise(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both for each text; none where the bytes of the tokens are not those of a space and the text."""
+        """Ids of both for each text (as many bytes on both sides); none where the bytes of the tokens are not those of a space and the text."""
         empty = np.zeros(0, dtype="<u4"), np.zeros(0, dtype="<i4")
         for text, b in zip(texts, self.pieces.encode(texts, out_type=int, num_threads=1)):
             if not text:
@@ -66,52 +78,108 @@ class Aligner:
             same = b"".join(map(self.bytes_b.__getitem__, b)) == spaced and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == spaced
             yield (a.astype("<u4"), np.array(b, dtype="<i4")) if same else empty
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, str, np.ndarray]:
-        """Number of groups, their text, and the code of every link, for the ids of one text."""
+    def align(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+        """For the ids of each text: number of groups, their text, the codes of the linked pairs and how often each is linked.
+
+        Texts are laid end to end; both sides of each have the same bytes, so they end together."""
+        if len(self._groups) >= REMEMBERED or self._held >= REMEMBERED_LINKS:
+            self._forget()
+        sizes_a = np.array([len(a) for a, _ in texts], dtype=np.int64)
+        until_a = np.cumsum(sizes_a)
+        a, b = (np.concatenate([np.zeros(0, dtype=k), *(x[i] for x in texts)]) for i, k in ((0, "<u4"), (1, "<i4")))
         if not len(a):
-            return 0, "", np.zeros(0, dtype=self.code)
+            yield from [(0, "", np.zeros(0, dtype=self.code), np.zeros(0, dtype=np.int64))] * len(texts)
+            return
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         place = np.searchsorted(ends_b, ends_a)
-        at_a = np.flatnonzero(ends_b[np.minimum(place, len(b) - 1)] == ends_a)
-        at_b = place[at_a]
-        anchor = self.space_a[a[at_a[:-1] + 1]] & self.space_b[b[at_b[:-1] + 1]]
-        cut_a = [0, *(4 * (at_a[:-1][anchor] + 1)).tolist(), 4 * len(a)]
-        cut_b = [0, *(4 * (at_b[:-1][anchor] + 1)).tolist(), 4 * len(b)]
-        raw_a, raw_b, known = a.tobytes(), b.tobytes(), self._windows
-        shown, links = [], []
-        for s, e, t, f in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-            key = raw_a[s:e], raw_b[t:f]
-            found = known.get(key)
-            if found is None:
-                found = self._window(key)
-            shown.append(found[0])
-            links.append(found[1])
-        return len(at_a), ";".join(shown), np.concatenate(links)
-
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[str, np.ndarray]:
-        a, b = np.frombuffer(key[0], dtype="<u4").tolist(), np.frombuffer(key[1], dtype="<i4").tolist()
-        groups, links, i, j, first_a, first_b = [], [], 0, 0, 0, 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            links.append(a[i] * self.size_b + b[j])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                first_a, first_b = i + 1, j + 1
-                if first_a == len(a):
-                    break
-            on_a, on_b = end_a <= end_b, end_b <= end_a
-            if on_a:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            if on_b:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
-        found = ";".join(groups), np.array(links, dtype=self.code)
-        if len(a) + len(b) <= REMEMBERED_TOKENS:
-            if len(self._windows) >= REMEMBERED:
-                self._windows.clear()
-            self._windows[key] = found
-        return found
+        after_a = np.flatnonzero(ends_b[np.minimum(place, len(b) - 1)] == ends_a) + 1
+        after_b = place[after_a - 1] + 1
+        # A window ends where the next tokens of both begin with a space, and with its text.
+        last = np.zeros(len(a) + 1, dtype=bool)
+        last[until_a] = True
+        cut = last[after_a] | (np.append(self.space_a[a], False)[after_a] & np.append(self.space_b[b], False)[np.minimum(after_b, len(b))])
+        number = self._numbers(a, b, after_a[cut], after_b[cut])
+        of_text = np.searchsorted(until_a, after_a[cut] - 1, side="right")
+        groups_until, windows_until = np.searchsorted(after_a, until_a, side="right"), np.searchsorted(after_a[cut], until_a, side="right")
+        begins = np.asarray(self._begins, dtype=np.int64)
+        sizes = begins[number + 1] - begins[number]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        codes, owner = self._links[np.repeat(begins[number], sizes) + inside], np.repeat(of_text, sizes)
+        order = np.lexsort((codes, owner)) if self.code.itemsize == 8 else np.argsort(owner.astype(np.uint64) << np.uint64(32) | codes, kind="stable")
+        codes, owner = codes[order], owner[order]
+        first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])))
+        linked = np.diff(np.append(first, len(codes)))
+        pairs_until = np.searchsorted(owner[first], np.arange(len(texts)), side="right")
+        numbers, shown, pairs = number.tolist(), self._groups, codes[first]
+        g = w = p = 0
+        for groups, windows, until in zip(groups_until.tolist(), windows_until.tolist(), pairs_until.tolist()):
+            yield groups - g, ";".join([shown[i] for i in numbers[w:windows]]), pairs[p:until], linked[p:until]
+            g, w, p = groups, windows, until
+
+    def _numbers(self, a: np.ndarray, b: np.ndarray, until_a: np.ndarray, until_b: np.ndarray) -> np.ndarray:
+        """The number of every window: equal ones are brought together first, so each is looked up once.
+
+        They are brought together by a hash, and each is compared with the first of its hash; if any two that
+        differ share one, all are looked up by themselves."""
+        sides = []
+        for ids, until in ((a, until_a), (b, until_b)):
+            start = np.append(0, until[:-1])
+            size = until - start
+            inside = np.arange(len(ids)) - np.repeat(start, size)
+            hashed = np.add.reduceat(mix(ids.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[inside], start)
+            sides.append((ids, start, size, inside, hashed))
+        _, first, which = np.unique(mix(sides[0][4]) + sides[1][4] * np.uint64(3), return_index=True, return_inverse=True)
+        for ids, start, size, inside, _ in sides:
+            like = first[which]
+            if (size != size[like]).any() or (ids != ids[np.repeat(start[like], size) + inside]).any():
+                first = which = np.arange(len(until_a))
+                break
+        raw_a, raw_b, find = a.tobytes(), b.tobytes(), self._windows.get
+        start_a, size_a, start_b, size_b = (x[first] for side in sides for x in side[1:3])
+        edges = (4 * np.stack([start_a, start_a + size_a, start_b, start_b + size_b])).tolist()
+        keys = [(raw_a[s:e], raw_b[t:f]) for s, e, t, f in zip(*edges)]
+        numbers = np.array([find(key, -1) for key in keys], dtype=np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            begin = len(self._groups)
+            spread = lambda ids, start, size: (ids[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)], np.cumsum(size))
+            self._merge(*spread(a, start_a[new], size_a[new]), *spread(b, start_b[new], size_b[new]))
+            numbers[new] = np.arange(begin, len(self._groups))
+            short = (size_a[new] + size_b[new] <= REMEMBERED_TOKENS).tolist()
+            for i, number, kept in zip(new.tolist(), range(begin, len(self._groups)), short):
+                if kept:
+                    self._windows[keys[i]] = number
+        return numbers[which]
+
+    def _merge(self, a: np.ndarray, until_a: np.ndarray, b: np.ndarray, until_b: np.ndarray) -> None:
+        """Align windows that are not known yet, laid end to end, and append them to the memory.
+
+        Each place where a token of either side ends closes one link; a place where both end closes a group."""
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        places = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, places), np.searchsorted(ends_b, places)
+        codes = a[at_a].astype(self.code) * self.code.type(self.size_b) + b[at_b].astype(self.code)
+        shared = places[(ends_a[at_a] == places) & (ends_b[at_b] == places)]
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        closes_a, closes_b = shared[group_a] == ends_a, shared[group_b] == ends_b
+        # The ids in the order of the text of groups, each with the mark that follows it.
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        vocabulary = len(self.bytes_a)
+        marked = np.concatenate([a.astype(np.int64) + vocabulary * closes_a, b.astype(np.int64) + self.size_b * closes_b + 2 * vocabulary])
+        shown = [self._shown[i] for i in marked[order].tolist()]
+        until = (until_a + until_b).tolist()
+        self._groups.extend("".join(shown[s:e])[:-1] for s, e in zip([0, *until], until))
+        end = self._held + len(codes)
+        if end > len(self._links):
+            self._links = np.concatenate([self._links, np.zeros(max(len(self._links), len(codes)), dtype=self.code)])
+        self._links[self._held : end] = codes
+        self._begins.extend((self._held + np.searchsorted(places, ends_a[until_a - 1], side="right")).tolist())
+        self._held = end
+
+
+@lru_cache(maxsize=64)
+def _powers(n: int) -> np.ndarray:
+    return np.append(np.uint64(1), np.cumprod(np.full(max(0, n - 1), 0x9E3779B97F4A7C15, dtype=np.uint64)))
 
 
 @lru_cache(maxsize=2)
@@ -133,14 +201,14 @@ def align_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(path_a, path_b)
         for whole in batches:
-            for start in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(start, TEXTS)
+            every = whole.column(2).to_pylist()
+            for start, end in chunks([(x or "").encode("utf-8", "replace") for x in every], TEXT_BYTES):
+                batch = whole.slice(start, end - start)
                 rows: dict[str, list] = {c: [] for c in [*numbers, "groups_sha256", "pairs", "times", "groups"]}
-                for a, b in both.tokenise([x or "" for x in batch.column(2).to_pylist()]):
-                    n, groups, links = both.align(a, b)
-                    pairs, times = np.unique(links, return_counts=True)
+                ids = list(both.tokenise([x or "" for x in every[start:end]]))
+                for (a, b), (n, groups, pairs, times) in zip(ids, both.align(ids)):
                     hashed = hashlib.sha256(groups.encode()).hexdigest() if n else ""
-                    values = len(a), len(b), n, len(links), hashed, pairs.tobytes(), times.astype("<u4").tobytes(), groups
+                    values = len(a), len(b), n, int(times.sum()), hashed, pairs.tobytes(), times.astype("<u4").tobytes(), groups
                     for c, value in zip(rows, values):
                         rows[c].append(value)
                 kinds = [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary(), pa.string()]
