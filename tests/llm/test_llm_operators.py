@@ -100,9 +100,9 @@ def test_the_query_returns_the_prefix_table(spark):
     path, rnd = tokens.default_vocabulary(), random.Random(9)
     table = tokens.PrefixTable(path)
     bits = ["a", "'", "'s", " ", " ", "  ", "\n", "é", "日本", "23", "!", "<|endoftext|>", "the", " Thing", "\xa0", "😀", " of", "x" * 70]
-    for _ in range(400):
-        text = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14)))
-        assert table.prefix_steps(text) == tokens.steps(tokens.prefix_table(path).prefix_counts(text)), text
+    some = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(400)]
+    for text, stored in zip(some, table.prefix_steps(some)):
+        assert stored == tokens.steps(tokens.prefix_table(path).prefix_counts(text)), text
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()}
     got = {r["doc_id"]: r for r in QUERIES["op10_prefix_token_counts"](spark, SF).filter(F.col("doc_id").isin(*texts)).collect()}
     for i, text in texts.items():
@@ -111,6 +111,24 @@ def test_the_query_returns_the_prefix_table(spark):
         assert text[: tokens.longest_prefix(got[i]["steps"], 20)] == text[: int(np.flatnonzero(want <= 20)[-1])]
 
 
+def test_prefix_tables_of_words_equal_the_library():
+    """Words of many scripts, worked out together, at every prefix; and words of 100,000 characters at some."""
+    from tokenizers import Tokenizer
+
+    path, rnd = tokens.default_vocabulary(), random.Random(2)
+    library, table = Tokenizer.from_file(path), tokens.PrefixTable(path)
+    count = lambda x: len(library.encode(x, add_special_tokens=False).ids)
+    letters = ["abcdefghij", "aeiourstln", "äöüßéèçñ", "абвгдежз", "日本語漢字", "the", "tion"]
+    words = ["".join(rnd.choice(rnd.choice(letters)) for _ in range(rnd.randint(1, 14))) for _ in range(150)]
+    words += [" " + w for w in words[:50]] + ["unbelievableunbelievable", "x" * 40, "é" * 20, "don't", "we're!", "a.b", "12ab"]
+    for word, stored in zip(words, table.prefix_steps(words)):
+        assert tokens.counts_from(stored).tolist() == [count(word[:k]) for k in range(len(word) + 1)], word
+    for word in ("ab" * 50_000, "é" * 100_000, "word " * 20_000):
+        counts = tokens.counts_from(table.prefix_steps([word])[0])
+        for k in (1, 17, 999, 100_000 if len(word) >= 100_000 else len(word)):
+            assert counts[k] == count(word[:k])
+
+
 def test_packing_is_whole_and_certified(spark, docs, none):
     assert packing.pack_documents(none).collect() == []
     from tokenizers import Tokenizer

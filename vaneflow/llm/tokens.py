@@ -17,7 +17,7 @@ remembered, within a bound on memory (never on the work)."""
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +30,12 @@ from pyspark.sql import functions as F
 REMEMBERED = 600_000
 #: Longer pieces are not remembered with their prefix tables.
 REMEMBERED_CHARS = 64
+#: Bytes of a word of letters, with the space before it, that is worked out together with others, and how many at a time.
+PLAIN_BYTES, PLAIN_WORDS = 32, 20_000
+#: Fixed value: an odd multiplier that scatters all bits.
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes up to which the prefixes of a word are remembered.
+LONG_WORD = 200
 #: Rows whose prefix tables are handed on at once.
 STORED_ROWS = 512
 
@@ -89,6 +95,8 @@ class PrefixTable:
         self._counts: dict[str, int] = {}
         self._older: dict[str, int] = {}
         self._steps: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._prepare_plain()
         self.spaces_meet = regex.compile(r"\s\s").search
 
     def apart(self, a: int, b: int) -> bool:
@@ -147,19 +155,28 @@ class PrefixTable:
 
     def _last_tokens(self, data: bytes) -> list[int]:
         """Last token of every prefix, front to back: no recursion, so words may be of any length."""
-        rank = self.rank
+        rank, lengths, apart = self.rank.get, self.lengths.get, self._apart.get
         last = [-1] * (len(data) + 1)
         for i in range(1, len(data) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = rank.get(data[j:i])
-                if token is not None and (j == 0 or self._stay_apart(last[j] << 20 | token)):
+            for n in lengths(data[max(0, i - 3) : i], (2, 1)):
+                if n > i:
+                    continue
+                token = rank(data[i - n : i])
+                if token is None:
+                    continue
+                if n == i:
+                    last[i] = token
+                    break
+                key = last[i - n] << 20 | token
+                ok = apart(key)
+                if self._stay_apart(key) if ok is None else ok:
                     last[i] = token
                     break
         return last
 
     def word_ids(self, word: str) -> list[int]:
         data, size, tail = word.encode("utf-8", "replace"), self._size, []
-        last = self._last_tokens(data) if len(data) > 200 else None
+        last = self._last_tokens(data) if len(data) > LONG_WORD else None
         i = len(data)
         while i:
             token = last[i] if last else self._last(data[:i]) & 0xFFFFF
@@ -169,7 +186,7 @@ class PrefixTable:
 
     def word_count(self, word: str) -> int:
         data = word.encode("utf-8", "replace")
-        return self._last(data) >> 20 if 0 < len(data) <= 200 else len(self.word_ids(word))
+        return self._last(data) >> 20 if 0 < len(data) <= LONG_WORD else len(self.word_ids(word))
 
     @property
     def _size(self) -> list[int]:
@@ -185,10 +202,18 @@ class PrefixTable:
             # A contraction: its shorter prefixes split into the apostrophe and the letters after it.
             return [0, *(sum(map(self.word_count, self.find(word[:k]))) for k in range(1, len(word))), self.word_count(word)]
         data = word.encode("utf-8", "replace")
-        last, size, counts = self._last_tokens(data), self._size, [0] * (len(data) + 1)
-        for i in range(1, len(data) + 1):
-            counts[i] = counts[i - size[last[i]]] + 1
-        ends = np.cumsum([0, *(len(c.encode("utf-8", "replace")) for c in word)])
+        if len(data) == len(word) <= LONG_WORD:  # one byte a character, and a prefix that other words share is known
+            known = self._prefixes.get
+            return [0, *[(known(data[:i]) or self._last(data[:i])) >> 20 for i in range(1, len(data) + 1)]]
+        counts, size = [0] * (len(data) + 1), self._size
+        for i, token in enumerate(self._last_tokens(data)):
+            if i:
+                counts[i] = counts[i - size[token]] + 1
+        if len(data) == len(word):
+            return counts
+        ends = [0]
+        for c in word:
+            ends.append(ends[-1] + len(c.encode("utf-8", "replace")))
         return [counts[e] for e in ends]
 
     def _pieces_of(self, text: str) -> list[str]:
@@ -269,27 +294,118 @@ class PrefixTable:
                 counts[start + 1 : start + len(word) + 1] = np.add(inner[1:], base)
                 if before and before.isspace() and word[0].isspace():  # cut here, both runs of white space are one
                     counts[start + 1] = base - self.word_count(before) + self.word_count(before + word[0])
-                base, start, before = base + self.word_count(word), start + len(word), word
+                base, start, before = base + inner[-1], start + len(word), word
         return counts
 
-    def piece_steps(self, piece: str) -> bytes:
-        """The prefix table of one piece as stored; short pieces, which recur, are remembered."""
-        found = self._steps.get(piece)
-        if found is None:
-            found = steps(self.prefix_counts(piece))
-            if len(piece) <= REMEMBERED_CHARS:
-                if len(self._steps) >= REMEMBERED:
-                    self._steps.clear()
-                self._steps[piece] = found
-        return found
-
-    def prefix_steps(self, text: str) -> bytes:
-        """`steps(prefix_counts(text))`, joined from pieces where no cut can change what stands before it.
-
-        Only next to other white space, or inside a special string, does a cut change the tokens before it."""
-        if self.spaces_meet(text) or self.cut_special is not None and any(s in text for s in self.special):
-            return steps(self.prefix_counts(text))
-        return b"".join(map(self.piece_steps, self._pieces_of(text)))
+    def _word_steps(self, words: Iterable[str]) -> None:
+        """Work out the tables of words, as stored, and remember them: plain ones all at once, others one by one."""
+        plain = []
+        for word in words:
+            if len(word) <= PLAIN_BYTES and word.lstrip(" ").isalpha() and (word.isascii() or len(word.encode("utf-8", "replace")) <= PLAIN_BYTES):
+                plain.append(word)
+            else:
+                self._words[word] = steps(np.array(self.word_counts(word)))
+        for at in range(0, len(plain), PLAIN_WORDS):
+            some = plain[at : at + PLAIN_WORDS]
+            self._words.update(zip(some, self.plain_steps([w.encode("utf-8", "replace") for w in some])))
+
+    def plain_steps(self, words: list[bytes]) -> list[bytes]:
+        """The programme over all positions of many words at once: at position i every word finds its last token.
+
+        From the longest down, the bytes before i are looked up by their hash, and a token counts where it stays
+        apart from the last token before it; the table of those pairs grows by what is met."""
+        sizes = np.array([len(w) for w in words])
+        longest = int(sizes.max(initial=0))
+        data = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), dtype=np.uint8).reshape(len(words), longest).T.astype(np.uint64)
+        hashes, last, counts = (np.zeros((longest + 1, len(words)), dtype=k) for k in (np.uint64, np.int64, np.int16))
+        for i in range(1, longest + 1):
+            hashes[i] = hashes[i - 1] * HASH_BASE + data[i - 1] + np.uint64(1)
+            open_ = np.flatnonzero(sizes >= i)
+            for n in range(min(i, self.plain_longest), 0, -1):
+                if not len(open_):
+                    break
+                wanted = hashes[i, open_] - hashes[i - n, open_] * self.powers[n]
+                maybe = np.flatnonzero(self.seen[wanted >> np.uint64(44)])
+                place = np.searchsorted(self.plain_hashes, wanted[maybe])
+                place[place == len(self.plain_hashes)] = 0
+                hit = (self.plain_hashes[place] == wanted[maybe]) & (self.plain_sizes[place] == n)
+                maybe, token = maybe[hit], self.plain_ranks[place[hit]]
+                if n < i:
+                    ok = self._all_apart(last[i - n, open_[maybe]] << 20 | token)
+                    maybe, token = maybe[ok], token[ok]
+                chosen = open_[maybe]
+                last[i, chosen], counts[i, chosen] = token, counts[i - n, chosen] + 1
+                open_ = np.delete(open_, maybe)
+        # A code point ends where the next byte begins another; the counts there, and the zero before each word.
+        ends = np.ones((len(words), longest + 1), dtype=bool)
+        ends[:, 1:-1] = (data[1:].T & np.uint64(0xC0)) != 0x80
+        ends &= np.arange(longest + 1) <= sizes[:, None]
+        stored = np.diff(counts.T[ends], append=0).astype("<i2").tobytes()
+        until = np.cumsum(2 * ends.sum(axis=1)).tolist()
+        return [stored[start : end - 2] for start, end in zip([0, *until], until)]
+
+    def _all_apart(self, keys: np.ndarray) -> np.ndarray:
+        """`apart` for many pairs; new ones are worked out once each."""
+        place = np.minimum(np.searchsorted(self._pairs, keys), len(self._pairs) - 1)
+        missing = self._pairs[place] != keys
+        if missing.any():
+            new = np.unique(keys[missing])
+            if len(self._pairs) > REMEMBERED:
+                self._pairs, self._pairs_apart = self._pairs[:1], self._pairs_apart[:1]
+            pairs = np.concatenate([self._pairs, new])
+            answers = np.concatenate([self._pairs_apart, np.array([self.apart(k >> 20, k & 0xFFFFF) for k in new.tolist()], dtype=bool)])
+            order = np.argsort(pairs, kind="stable")
+            self._pairs, self._pairs_apart = pairs[order], answers[order]
+            return self._all_apart(keys)
+        return self._pairs_apart[place]
+
+    def _prepare_plain(self) -> None:
+        """Tokens of letters, or bytes of such, and a leading space, by the hash of their bytes."""
+        inner = lambda t: all(x >= 0x80 or chr(x).isalpha() for x in t)
+        tokens = [(t, r) for t, r in self.rank.items() if len(t) <= PLAIN_BYTES and inner(t.removeprefix(b" "))]
+        self.plain_longest = max(len(t) for t, _ in tokens)
+        self.powers = np.cumprod(np.append(np.uint64(1), np.full(PLAIN_BYTES, HASH_BASE, dtype=np.uint64)), dtype=np.uint64)
+        hashed = []
+        for token, _ in tokens:
+            h = 0
+            for byte in token:
+                h = (h * int(HASH_BASE) + byte + 1) % (1 << 64)
+            hashed.append(h)
+        order = np.argsort(np.array(hashed, dtype=np.uint64), kind="stable")
+        self.plain_hashes = np.array(hashed, dtype=np.uint64)[order]
+        self.plain_ranks = np.array([r for _, r in tokens], dtype=np.int64)[order]
+        self.plain_sizes = np.array([len(t) for t, _ in tokens])[order]
+        self.seen = np.zeros(1 << 20, dtype=bool)
+        self.seen[self.plain_hashes >> np.uint64(44)] = True
+        self._pairs, self._pairs_apart = np.array([-1], dtype=np.int64), np.zeros(1, dtype=bool)
+
+    def prefix_steps(self, texts: list[str]) -> list[bytes]:
+        """`steps(prefix_counts(text))` of each text, joined from words where no cut can change what stands before it.
+
+        Only next to other white space, or inside a special string, does a cut change the tokens before it; texts
+        with such places are worked out whole.  The words that no piece before had are worked out together."""
+        if len(self._steps) >= REMEMBERED or len(self._words) >= REMEMBERED:
+            self._steps, self._words = {}, {}
+        out, pieces = [], {}
+        for k, text in enumerate(texts):
+            whole = self.spaces_meet(text) or self.cut_special is not None and any(s in text for s in self.special)
+            out.append(steps(self.prefix_counts(text)) if whole else None)
+            if not whole:
+                pieces[k] = self._pieces_of(text)
+        known, words = self._steps, self._words
+        new = {p for some in pieces.values() for p in some if p not in known}
+        parts = {p: (p,) if p.isalpha() or p[1:].isalpha() and p[0] == " " else tuple(self.find(p)) for p in new}
+        self._word_steps({w for some in parts.values() for w in some if w not in words})
+        for piece, some in parts.items():
+            known[piece] = b"".join([words[w] for w in some])
+        for k, some in pieces.items():
+            out[k] = b"".join([known[p] for p in some])
+        for piece in parts:  # long ones do not recur
+            if len(piece) > REMEMBERED_CHARS:
+                del known[piece]
+        for word in {w for some in parts.values() for w in some if len(w) > REMEMBERED_CHARS}:
+            del words[word]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -326,7 +442,7 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", li
             for at in range(0, whole.num_rows, STORED_ROWS):
                 batch = whole.slice(at, STORED_ROWS)
                 texts = [x or "" for x in batch.column(1).to_pylist()]
-                stored = [table.prefix_steps(x) for x in texts] if store else None
+                stored = table.prefix_steps(texts) if store else None
                 tokens = [int(np.frombuffer(c, dtype="<i2").sum(dtype=np.int64)) for c in stored] if store else [table.count(x) for x in texts]
                 columns = [batch.column(0), pa.array([len(x.encode("utf-8", "replace")) for x in texts], pa.int64()), pa.array(tokens, pa.int64())]
                 if store:
