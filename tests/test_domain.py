@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vaneflow.functions import calendar, parsing, pricing
+from vaneflow.functions.parsing import bucket_bounds, city_from_question
 from vaneflow.operators import series
-from vaneflow.operators.audit import Rule, audit, bounds_rules, compare_schema
+from vaneflow.operators.audit import Rule, audit, bounds_rules, compare_schema, evenly_spaced, time_spine, value_fidelity
+from vaneflow.operators.joins import near_runs
 from vaneflow.operators.ladder import book_walk, favorite, ladder_shape, nearest_bucket
 from vaneflow.operators.resample import resample_ffill
 from vaneflow.plans import models, stats
@@ -282,6 +285,133 @@ def simulate_alerts(quotes, n, max_age, threshold, gap):
     return sorted(out)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 7, 256])
+def test_thinning_equals_a_replay(spark, fan):
+    """Dense, periodic, repeated and sparse times; the tree has several levels with a small fan."""
+    rnd = random.Random(fan)
+    times = {"dense": [rnd.randrange(0, 4_000) for _ in range(300)], "even": [100 * i for i in range(200)], "same": [5] * 40, "sparse": [5_000 * i for i in range(30)], "one": [7]}
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms), i, float(i)) for k, all_ms in times.items() for i, ms in enumerate(all_ms)]
+    want = []
+    for k in times:
+        last = None
+        for _, t, i, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            if last is None or t - last >= dt.timedelta(seconds=1):
+                last = t
+                want.append((k, i))
+    got = book.thin(spark.createDataFrame(rows, "ladder STRING, ts TIMESTAMP, seq LONG, x DOUBLE"), "ladder", "ts", "seq", 1.0, fan)
+    assert got.columns == ["ladder", "ts", "seq", "x"]
+    assert sorted((r.ladder, r.seq) for r in got.collect()) == sorted(want)
+
+
+def test_late_quotes_follow_the_rule(spark):
+    """Quotes that arrive a batch or two late: left out where a newer one of their bucket is known, else counted from the ladder's clock."""
+    rnd = random.Random(4)
+    arrivals = [[], [], [], []]
+    for i in range(900):
+        at = rnd.randrange(0, 900_000)
+        batch = min(3, at // 225_000 + (rnd.randrange(1, 3) if rnd.random() < 0.15 else 0))
+        arrivals[batch].append(("l", rnd.randrange(5), dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=at), round(rnd.uniform(0, 0.5), 3), i))
+    newest, clock, replay = {}, dt.datetime(2000, 1, 1), []
+    for batch in arrivals:
+        ahead = [(q[0], q[1], max(q[2], clock), q[3], q[4]) for q in batch if (q[2], q[4]) > newest.get(q[1], (dt.datetime(2000, 1, 1), -1))]
+        ahead.sort(key=lambda q: (q[2], q[4]))
+        replay += ahead
+        for q in ahead:
+            newest[q[1]], clock = (q[2], q[4]), max(clock, q[2])
+    assert sum(map(len, arrivals)) > len(replay)
+    want = simulate_alerts(replay, 5, 30, 1.3, 1.0)
+    root = scratch_path(spark, "alerts")
+    watch = book.LadderAlerts(spark, root, "ladder", "bucket", "ts", "bid", "seq", n_buckets=5, max_age_seconds=30, threshold=1.3)
+    for b, batch in enumerate(arrivals):
+        watch(spark.createDataFrame(batch, "ladder STRING, bucket INT, ts TIMESTAMP, bid DOUBLE, seq LONG"), b)
+    got = spark.read.schema("ladder STRING, ts TIMESTAMP, seq LONG, sum_bid DOUBLE, batch INT").parquet(f"{root}/alerts")
+    assert sorted((r.ladder, r.seq) for r in got.collect()) == want and len(want) > 20
+
+
+def test_mergeable_state_is_replay_safe_and_compacted(spark):
+    rnd = random.Random(6)
+    root = scratch_path(spark, "state")
+    state = book.MergeableState(root, ["k"], {"n": ("count", F.col("v")), "s": ("sum", F.col("v")), "hi": ("max", F.col("v")), "lo": ("min", F.col("v"))}, compact_every=3)
+    batches = [[(rnd.randrange(5), rnd.randrange(100)) for _ in range(20)] for _ in range(8)]
+    for i, rows in enumerate(batches):
+        for _ in range(1 + i % 2):  # every other batch is repeated
+            state(spark.createDataFrame(rows, "k INT, v LONG"), i)
+    every = [x for b in batches for x in b]
+    want = sorted((k, len(vs), sum(vs), max(vs), min(vs)) for k in {x[0] for x in every} for vs in [[v for q, v in every if q == k]])
+    assert sorted(map(tuple, state.read(spark).select("k", "n", "s", "hi", "lo").collect())) == want
+    assert state._stored(spark, "base") == [2, 5] and state._stored(spark, "batches") == [3, 4, 5, 6, 7]
+
+
+def test_merge_touches_only_the_folders_of_the_batch(spark):
+    root = scratch_path(spark, "merge")
+    old = spark.range(400).select("id", (F.col("id") % 8).cast("string").alias("d"), F.lit(1).alias("v"))
+    sinks.write_partitioned(old, root, ["d"], ["id"], file_rows=20)
+    place = lambda: {p: (p.stat().st_mtime_ns, p.read_bytes()) for p in Path(root.removeprefix("file://")).rglob("*.parquet")}
+    before = place()
+    batch = spark.createDataFrame([(3, "3", 7), (11, "3", 8), (1_000, "5", 9)], "id LONG, d STRING, v INT")
+    report = sinks.merge_partitions(batch, root, ["id"], ["d"], "id LONG, v INT, d STRING")
+    assert sorted(map(tuple, report.collect())) == [("3", 50, 50), ("5", 50, 51)]
+    after = place()
+    same = {p for p in before if "d=3" not in str(p) and "d=5" not in str(p)}
+    assert same and all(after[p] == before[p] for p in same)
+    table = spark.read.schema("id LONG, v INT, d STRING").parquet(root)
+    assert table.count() == 401 and {r.id: r.v for r in table.filter("v > 1").collect()} == {3: 7, 11: 8, 1_000: 9}
+
+
+def test_files_of_a_sink_are_even(spark):
+    root = scratch_path(spark, "even")
+    hot = spark.range(5_000).select("id", F.when(F.col("id") % 10 < 7, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 10)).alias("d"))
+    sinks.write_partitioned(hot, root, ["d"], ["id"], file_rows=300)
+    files = spark.read.parquet(root).groupBy("d", F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
+    sizes = [r.n for r in files]
+    assert sum(sizes) == 5_000 and max(sizes) <= 400 and max(sizes) <= 2 * min(sizes)
+    for d in {r.d for r in files}:  # each holds a range of the order
+        spans = sorted((r.lo, r.hi) for r in files if r.d == d)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_value_fidelity_finds_a_fault_on_any_day(spark):
+    raw = spark.range(3_000).select("id", (F.col("id") % 30).alias("day"), (F.col("id") * 0.5).alias("v"))
+    for day in (0, 13, 29):
+        wrong = raw.withColumn("v", F.when(F.col("id") == day + 60, F.col("v") + 1).otherwise(F.col("v"))).filter(F.col("id") != day + 90)
+        assert value_fidelity(raw, wrong, ["id"], ["v"], "day").first().asDict() == {"column_name": "v", "n_both": 2_999, "n_left_only": 1, "n_right_only": 0, "n_diff": 1}
+    assert value_fidelity(raw, raw, ["id"], ["v"], "day").first()["n_both"] == 3_000
+
+
+def test_far_stations_meet_few_tiles(spark):
+    rnd = random.Random(12)
+    grid = [(i, rnd.uniform(25, 50), rnd.uniform(235, 293)) for i in range(4_000)]
+    stations = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(60)]
+    got = nearest_grid_point(spark.createDataFrame(stations, "s INT, lat DOUBLE, lon DOUBLE"), spark.createDataFrame(grid, "c INT, lat DOUBLE, lon DOUBLE"), "s", ["c"])
+    want = {s: min(((a - y) ** 2 + (o - 360 - x if o > 180 else o - x) ** 2, c) for c, a, o in grid)[1] for s, y, x in stations}
+    assert {r.s: r.c for r in got.collect()} == want
+
+
+def test_hot_slots_are_cut(spark):
+    rnd = random.Random(13)
+    side = lambda n: [(rnd.choice([1, 1, 1, 2]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.choice([rnd.randrange(5_000), 700])), i) for i in range(n)]
+    a, b = side(120), side(150)
+    frames = spark.createDataFrame(a, "k INT, ta TIMESTAMP, x LONG"), spark.createDataFrame(b, "k INT, tb TIMESTAMP, y LONG")
+    want = sorted((x, y) for k, t, x in a for q, u, y in b if k == q and abs((t - u).total_seconds()) <= 600)
+    for rows in (7, 2_000):
+        assert sorted((r.x, r.y) for r in near_runs(*frames, ["k"], "ta", "tb", 600, rows).collect()) == want
+
+
+def test_titles_names_and_spread(spark):
+    titles = ["58-59°F", "-5--4°F", "-3-2°F", "-3°F or below", "-10°F or higher", "about 5°F"]
+    got = {r.t: r for r in spark.createDataFrame([(t,) for t in titles], "t STRING").select("t", bucket_bounds("t").alias("b"), bucket_bounds("t", "continuity").alias("c")).collect()}
+    assert [tuple(got[t].b)[:1] + tuple(got[t].c)[1:3] for t in titles] == [("range", 57.5, 59.5), ("range", -5.5, -3.5), ("range", -3.5, 2.5), ("or_below", -999.0, -2.5), ("or_higher", -10.5, 999.0), (None, None, None)]
+    questions = {"Highest temperature in New York City on April 1?": "New York City", "highest temperature in Rio de Janeiro exceed 30°C": "Rio de Janeiro", "temperature in St. Louis be": "St. Louis", "rain?": ""}
+    assert {r.q: r.c for r in spark.createDataFrame([(q,) for q in questions], "q STRING").select("q", city_from_question("q").alias("c")).collect()} == questions
+    files = spark.createDataFrame([(f"f{i:02}",) for i in range(20)], "f STRING")
+    assert evenly_spaced(files, "f", 0).count() == 20 and evenly_spaced(files, "f", 5).count() == 6
+
+
+def test_spine_has_every_slot(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (1, dt.datetime(2024, 6, 1)), (2, dt.datetime(2024, 1, 5))], "k INT, ts TIMESTAMP")
+    assert {r.k: r["count"] for r in time_spine(df, ["k"], "ts", "1 HOUR").groupBy("k").count().collect()} == {1: 152 * 24 + 1, 2: 1}
+
+
 def test_ladder_alerts_equal_a_replay(spark):
     rnd = random.Random(11)
     t, quotes = dt.datetime(2024, 1, 1), []

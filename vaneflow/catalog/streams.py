@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.readers import read_book_messages
 from ..streaming import book
-from ..streaming.runner import drain, drain_batches, use_rocksdb, write_slices
+from ..streaming.runner import drain, drain_batches, rocksdb, write_slices
 from .aggregates import r6
 from .joins import us
 from .registry import query
@@ -86,15 +86,13 @@ def _(t):
 @query("stream_incremental_features", """
 SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, max(value) AS top, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1,2""")
 def _(t):
-    history, out = t.scratch("history"), t.scratch("features")
-    schema = EVENTS + ", d STRING"
-    build = lambda df: df.groupBy("user_id", "d").agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n"), r6(F.avg("value"), "mean_value"))
     # A slice edge inside a day makes two batches touch the same keys.
     path = sliced(t, bounds=("2024-01-08 09:00:00", "2024-01-16 15:00:00"))
-    rows = stream(t, path).withColumn("d", F.to_date("ts").cast("string"))
-    drain_batches(rows, book.touched_rebuild(history, out, ["user_id", "d"], build, schema), t.scratch("ckpt"))
-    versions = result(t, out, "user_id LONG, d STRING, top DOUBLE, n LONG, mean_value DOUBLE, version INT")
-    return book.newest_version(versions.drop("batch"), ["user_id", "d"])
+    rows = stream(t, path, files=2).withColumn("d", F.to_date("ts").cast("string"))
+    v = F.col("value")
+    features = book.MergeableState(t.scratch("features"), ["user_id", "d"], {"top": ("max", v), "n": ("count", v), "total": ("sum", v)}, compact_every=3)
+    drain_batches(rows, features, t.scratch("ckpt"))
+    return features.read(t.spark).select("user_id", "d", "top", "n", r6(F.col("total") / F.col("n"), "mean_value"))
 
 
 @query("stream_high_water", """
@@ -113,12 +111,12 @@ def _(t):
 @query("stream_dedupe", """
 SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT user_id, ts, value FROM events) GROUP BY 1""")
 def _(t):
-    use_rocksdb(t.spark)
-    path, out = sliced(t, bounds=("2024-01-10",)), t.scratch("unique")
-    # The second fetch overlaps the first by two days.
+    # Slices of four days, and a last fetch that overlaps what came before by three: a row is at most that much late.
+    path, out = sliced(t, bounds=("2024-01-05", "2024-01-09", "2024-01-13", "2024-01-17", "2024-01-21", "2024-01-25", "2024-01-29")), t.scratch("unique")
     ev(t).filter("ts >= TIMESTAMP '2024-01-29'").write.mode("append").parquet(path)
-    unique = stream(t, path).withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["user_id", "ts"])
-    drain(unique, out, t.scratch("ckpt"))
+    unique = stream(t, path, files=4).withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["user_id", "ts"])
+    with rocksdb(t.spark):
+        drain(unique, out, t.scratch("ckpt"))
     return result(t, out, EVENTS).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -126,11 +124,11 @@ def _(t):
 SELECT event_type, epoch_us(date_trunc('hour', ts)) AS start_us, count(*) AS n, round(sum(value), 4) AS total, arg_max(value, ts) AS close_px FROM events GROUP BY 1, date_trunc('hour', ts)
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
 def _(t):
-    use_rocksdb(t.spark)
     out = t.scratch("windows")
     counted = stream(t, sliced(t)).withWatermark("ts", "2 hours").groupBy("event_type", F.window("ts", "1 hour")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max_by("value", F.struct("ts", "event_id")).alias("close_px"))
-    drain(counted.select("event_type", F.col("window.start").alias("start"), "n", "total", "close_px"), out, t.scratch("ckpt"))
+    with rocksdb(t.spark):
+        drain(counted.select("event_type", F.col("window.start").alias("start"), "n", "total", "close_px"), out, t.scratch("ckpt"))
     return result(t, out, "event_type STRING, start TIMESTAMP, n LONG, total DOUBLE, close_px DOUBLE").select(
         "event_type", us("start"), "n", F.round("total", 4).alias("total"), "close_px")
 
@@ -141,10 +139,10 @@ s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 2 HOUR THEN 1 ELSE
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n, max(value) AS peak FROM s GROUP BY user_id, k
 HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(t):
-    use_rocksdb(t.spark)
     out = t.scratch("sessions")
     runs = stream(t, sliced(t)).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "2 hours").alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("peak"))
     # session_window ends one gap after the last row.
-    drain(runs.select("user_id", F.col("s.start").alias("start"), (F.col("s.end") - F.expr("INTERVAL 2 HOURS")).alias("end"), "n", "peak"), out, t.scratch("ckpt"))
+    with rocksdb(t.spark):
+        drain(runs.select("user_id", F.col("s.start").alias("start"), (F.col("s.end") - F.expr("INTERVAL 2 HOURS")).alias("end"), "n", "peak"), out, t.scratch("ckpt"))
     return result(t, out, "user_id LONG, start TIMESTAMP, end TIMESTAMP, n LONG, peak DOUBLE").select("user_id", us("start"), us("end"), "n", "peak")

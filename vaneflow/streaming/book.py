@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pricing import best_ask, best_bid, level_count, mid, spread
-from ..operators.ordered import previous, running, time_cell
-from ..operators.series import session_ids
-from ..session import stage
+from ..operators.ordered import CELL, RANGE, cut, depth_cells, previous, running
+from ..session import release, stage
 
 
 def route_messages(messages: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -44,9 +43,9 @@ def alert_candidates(
     No ladder is replayed quote by quote.  Each quote contributes its change of the sum, the first one
     of a bucket completes the ladder by one, and a quote left alone for too long marks its bucket stale
     until the next one: three running sums over (ladder, time) decide."""
-    cells = time_cell(ts)
-    chain = previous(quotes, [ladder, bucket], [ts, seq], cells, _prev_bid=F.col(bid), _prev_ts=F.col(ts))
-    chain = previous(chain, [ladder, bucket], [ts, seq], cells, reverse=True, _next_ts=F.col(ts))
+    cells, names = cut(quotes, [ladder, bucket], [ts, seq]), [ladder, bucket]
+    chain = previous(cells, names, [ts, seq], F.col(RANGE), _prev_bid=F.col(bid), _prev_ts=F.col(ts))
+    chain = previous(chain, names, [ts, seq], F.col(RANGE), reverse=True, _next_ts=F.col(ts))
     old = F.unix_micros(ts) + F.lit(int(max_age_seconds * 1e6) + 1)
     goes_stale = F.col("_next_ts").isNull() | (F.unix_micros("_next_ts") >= old)
     quote = F.struct(
@@ -59,37 +58,79 @@ def alert_candidates(
     marks = F.filter(F.array(
         quote, F.when(goes_stale, mark(old, 1)), F.when(goes_stale & F.col("_next_ts").isNotNull(), mark(F.unix_micros("_next_ts"), -1))), lambda m: m.isNotNull())
     steps = stage(chain.select(ladder, F.inline(marks)).withColumn("_at", F.timestamp_micros("u")), "steps")
-    summed = running(steps, [ladder], ["u", "rank", "s"], time_cell("_at"), sum_bid=("sum", F.col("d")), seen=("sum", F.col("first")), stale_now=("sum", F.col("stale")))
+    along = ["u", "rank", "s"]
+    summed = running(depth_cells(steps, [ladder], along), [ladder], along, F.col(CELL), sum_bid=("sum", F.col("d")), seen=("sum", F.col("first")), stale_now=("sum", F.col("stale")))
     ready = (F.col("rank") == 1) & (F.col("seen") >= n_buckets) & (F.col("stale_now") == 0) & (F.col("sum_bid") >= threshold - 1e-9)
     return summed.filter(ready).select(ladder, F.col("_at").alias(ts), F.col("s").alias(seq), "sum_bid")
 
 
-def thin(candidates: DataFrame, ladder: str, ts: str, seq: str, min_gap_seconds: float) -> DataFrame:
-    """Keep a row only if the last kept one of its ladder is at least the gap older.
+#: Children of a node of the thinning tree.
+FAN = 256
+#: A time before all others.
+NEVER = -(1 << 62)
 
-    A silence as long as the gap always restarts the rule, so rows are first cut into such runs; each
-    run is then streamed in time order, remembering one timestamp."""
-    runs = session_ids(stage(candidates, "candidates"), [ladder], ts, [seq], min_gap_seconds - 1e-6)
-    ordered = runs.withColumn("_u", F.unix_micros(ts)).repartition(ladder, "session").sortWithinPartitions(ladder, "session", ts, seq)
-    gap = int(min_gap_seconds * 1e6)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, 0
-        for pdf in batches:
-            flags = []
-            for key, session, u in zip(pdf[ladder], pdf["session"], pdf["_u"]):
-                fresh = (key, session) != current or u - last >= gap
-                if fresh:
-                    current, last = (key, session), u
-                flags.append(fresh)
-            yield pdf[flags].drop(columns=["session", "_u"])
+def _after(steps: Column, last: Column, gap: int) -> Column:
+    """The last kept time after `steps` (entry, exit), given the one before: the first entry that is due leads to its exit."""
+    due = F.get(F.filter(steps, lambda m: m["e"] >= last + gap), F.lit(0))
+    return F.coalesce(due["x"], last)
+
+
+def _contracted(children: Column, gap: int) -> Column:
+    """Steps of the children, in their order, as steps from entry to exit of the whole.
+
+    Whatever was kept before lies before the first time, so the first row that is due is one within the gap
+    from there, or the next one: only from those an exit is needed."""
+    times = F.array_sort(F.array_distinct(F.transform(F.flatten(children), lambda m: m["e"])))
+    border = F.get(times, F.lit(0)) + gap
+    near = F.concat(F.filter(times, lambda e: e < border), F.slice(F.filter(times, lambda e: e >= border), 1, 1))
+    return F.transform(near, lambda e: F.struct(e.alias("e"), F.aggregate(children, e - gap, lambda last, steps: _after(steps, last, gap)).alias("x")))
+
+
+def _before_each(children: Column, entering: Column, gap: int) -> Column:
+    """The last kept time before each child, from the one before the first."""
+    start = F.struct(entering.alias("last"), F.array().cast("array<bigint>").alias("seen"))
+    walked = F.aggregate(children, start, lambda s, steps: F.struct(_after(steps, s["last"], gap).alias("last"), F.concat(s["seen"], F.array(s["last"])).alias("seen")))
+    return walked["seen"]
+
+
+def thin(candidates: DataFrame, ladder: str, ts: str, seq: str, min_gap_seconds: float, fan: int = FAN) -> DataFrame:
+    """Keep a row only if the last kept one of its ladder is at least the gap older.
 
-    return ordered.mapInPandas(keep, candidates.schema)
+    Each row leads to its first successor that is the gap or more later, so what is kept is one path.  Rows lie in cells
+    of about `fan`; in a cell the path from every row that may be entered is followed to its exit, and only
+    these entries and exits go on, to nodes of `fan` cells, and so on to one node of each ladder.  Then the
+    last kept time goes down again to every cell.  No task holds more than a node, however dense a ladder is."""
+    gap = int(min_gap_seconds * 1e6)
+    rows = depth_cells(candidates.withColumn("_u", F.unix_micros(ts)), [ladder], [ts, seq], fan, "_id")
+    row = F.struct(F.col("_u"), F.col(seq).alias("_seq"), F.struct(*candidates.columns).alias("_row"))
+    cells = stage(rows.groupBy(ladder, "_id").agg(F.sort_array(F.collect_list(row)).alias("_rows")), "cells")
+    single = F.transform("_rows", lambda r: F.array(F.struct(r["_u"].alias("e"), r["_u"].alias("x"))))
+    nodes = stage(cells.select(ladder, "_id", _contracted(single, gap).alias("_steps")), "nodes")
+    levels = []
+    while (nodes.agg(F.max("_id")).first()[0] or 0) > 0:
+        inside = F.sort_array(F.collect_list(F.struct("_id", "_steps")))
+        grouped = nodes.groupBy(ladder, F.floor(F.col("_id") / fan).cast("long").alias("_parent")).agg(inside.alias("_children"))
+        levels.append(stage(grouped.select(ladder, "_parent", F.col("_children._id").alias("_ids"), F.col("_children._steps").alias("_maps")), "levels"))
+        nodes = stage(levels[-1].select(ladder, F.col("_parent").alias("_id"), _contracted(F.col("_maps"), gap).alias("_steps")), "nodes")
+    entering = nodes.select(ladder, "_id", F.lit(NEVER).cast("long").alias("_in"))
+    for level in reversed(levels):
+        met = level.join(entering.withColumnRenamed("_id", "_parent"), [ladder, "_parent"])
+        before = F.arrays_zip(F.col("_ids").alias("_id"), _before_each(F.col("_maps"), F.col("_in"), gap).alias("_in"))
+        entering = met.select(ladder, F.inline(before))
+    met = cells.join(entering, [ladder, "_id"])
+    kept = met.select("_rows", _before_each(single, F.col("_in"), gap).alias("_last"))
+    kept = kept.select(F.inline(F.arrays_zip("_rows", "_last"))).filter(F.col("_rows._u") >= F.col("_last") + gap)
+    return kept.select("_rows._row.*")
 
 
 class LadderAlerts:
     """Micro-batch form: the newest quote per bucket and the last alert per ladder are carried in small
-    tables, one version per batch, so a replayed batch reads the same state and overwrites its output."""
+    tables, one version per batch, so a replayed batch reads the same state and overwrites its output.
+
+    Within a batch quotes count in the order of their time.  Late ones, older than what an earlier batch brought
+    of their ladder, cannot change the past: a quote not newer than the newest known of its bucket is left out,
+    any other counts from the newest time known of the ladder, and alerts that it raises bear that time."""
 
     def __init__(self, spark: SparkSession, root: str, ladder: str, bucket: str, ts: str, bid: str, seq: str, *, n_buckets: int,
                  max_age_seconds: float, threshold: float, min_gap_seconds: float = 1.0):
@@ -101,12 +142,23 @@ class LadderAlerts:
     def _state(self, name: str, batch: int, schema) -> DataFrame | None:
         return None if batch == 0 else self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{batch - 1}")
 
+    def _on_time(self, batch: DataFrame, quotes: DataFrame) -> DataFrame:
+        """Late quotes left out or moved to the ladder's newest time."""
+        ladder, bucket, ts, _, seq = self.cols.values()
+        newest = quotes.select(ladder, bucket, F.struct(ts, seq).alias("_newest"))
+        clock = quotes.groupBy(ladder).agg(F.max(ts).alias("_clock"))
+        met = batch.join(newest, [ladder, bucket], "left").join(clock, ladder, "left")
+        fresh = met.filter(F.col("_newest").isNull() | (F.struct(ts, seq) > F.col("_newest")))
+        return stage(fresh.withColumn(ts, F.greatest(ts, "_clock")).select(*self.cols.values()), "on-time")
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         c = self.cols
         spark = batch.sparkSession
         self.spark = spark
         batch = batch.select(*c.values())
         quotes = self._state("quotes", batch_id, batch.schema)
+        if quotes is not None:
+            batch = self._on_time(batch, quotes)
         known = batch if quotes is None else quotes.unionByName(batch)
         found = alert_candidates(known, c["ladder"], c["bucket"], c["ts"], c["bid"], c["seq"], **self.rule)
         if quotes is not None:
@@ -124,23 +176,53 @@ class LadderAlerts:
             "overwrite").parquet(f"{self.root}/last/{batch_id}")
 
 
-def touched_rebuild(history: str, out: str, keys: Sequence[str], build, schema: str):
-    """A batch handler that stores new rows and recomputes only the keys they touch.
+#: How measures of one key are put together, and those of two stored rows.
+_MEASURES = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "max": (F.max, F.max), "min": (F.min, F.min)}
 
-    The input of a batch is overwritten under its id, so a replay does not store rows twice."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{history}/batch={batch_id}")
-        stored = spark.read.schema(schema).parquet(history)
-        touched = spark.read.schema(schema).parquet(f"{history}/batch={batch_id}").select(*keys).distinct()
-        rebuilt = build(stored.join(touched, list(keys), "left_semi")).withColumn("version", F.lit(batch_id))
-        rebuilt.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+class MergeableState:
+    """Measures per key that batches add to: a batch stores one row for each key it has, and reads nothing.
 
-    return handle
+    `measures` maps names to (sum|count|max|min, column).  A batch's rows lie in a folder of its id, so a batch that is
+    repeated replaces them.  Every `compact_every` batches the rows stored so far become one base; what it is made of
+    is deleted when the next base stands, so that the batch that makes a base can be repeated as well."""
 
+    def __init__(self, root: str, keys: Sequence[str], measures: dict[str, tuple[str, Column]], compact_every: int = 16):
+        self.root, self.keys, self.measures, self.every = root.rstrip("/"), list(keys), measures, compact_every
 
-def newest_version(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Current rows of a table rebuilt by key: the highest version of each."""
-    rest = [c for c in df.columns if c not in (*keys, "version")]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_n")).select(*keys, "_n.*")
+    def _stored(self, spark: SparkSession, name: str) -> list[int]:
+        """Numbers of the folders that were written to the end."""
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(place):
+            return []
+        folders = [x.getPath() for x in store.listStatus(place)]
+        done = [p for p in folders if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName()) for p in done)
+
+    def _merged(self, frames: list[DataFrame]) -> DataFrame:
+        both = reduce(DataFrame.unionByName, frames)
+        return both.groupBy(*self.keys).agg(*[_MEASURES[kind][1](name).alias(name) for name, (kind, _) in self.measures.items()])
+
+    def _frames(self, spark: SparkSession, upto: int | None = None) -> list[DataFrame]:
+        """The newest base before batch `upto`, and the rows of the batches after it."""
+        bases = [b for b in self._stored(spark, "base") if upto is None or b < upto]
+        newest = bases[-1] if bases else -1
+        batches = [b for b in self._stored(spark, "batches") if b > newest and (upto is None or b <= upto)]
+        paths = [f"{self.root}/base/{newest}"] * bool(bases) + [f"{self.root}/batches/{b}" for b in batches]
+        return [spark.read.parquet(p) for p in paths]
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.groupBy(*self.keys).agg(*[_MEASURES[kind][0](column).alias(name) for name, (kind, column) in self.measures.items()])
+        rows.write.mode("overwrite").parquet(f"{self.root}/batches/{batch_id}")
+        if (batch_id + 1) % self.every == 0:
+            bases = [b for b in self._stored(spark, "base") if b < batch_id]
+            self._merged(self._frames(spark, batch_id)).write.mode("overwrite").parquet(f"{self.root}/base/{batch_id}")
+            if bases:
+                old = [f"{self.root}/base/{b}" for b in bases[:-1]]
+                release(spark, old + [f"{self.root}/batches/{b}" for b in self._stored(spark, "batches") if b <= bases[-1]])
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The measures of every key over all batches."""
+        return self._merged(self._frames(spark))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,16 @@ def drain_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], check
     df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep streaming state on local disk with checkpointed change logs instead of on the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state on local disk with checkpointed change logs instead of on the heap."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def write_slices(df: DataFrame, path: str, ts: str, bounds: Sequence[str]) -> None:
