@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -411,15 +412,37 @@ def test_similar_pairs_against_brute_force(spark):
     assert {(r["u"], r["v"]) for r in spotsigs.similar_pairs(frame).collect()} == want
 
 
-def test_top_k_against_brute_force(spark):
+def top_by_hand(rows, k):
+    """Every row but the query's own, best first, ties to the smaller key."""
+    kept = [(n, i, [math.floor(1024 * x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and None not in v and all(map(math.isfinite, v))]
+    want = []
+    for n, q, a in kept:
+        if q % 100 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, i, b in kept if m != n)
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:k])]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("group_rows, query_rows", [(topk.GROUP_ROWS, topk.QUERY_ROWS), (200, 3)])
+def test_top_k_against_brute_force(spark, group_rows, query_rows):
     rnd = np.random.default_rng(8)
     vectors = [[float(x) for x in rnd.normal(size=40)] for _ in range(1_300)]
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(2_000, vectors[3]), (2_001, None), (2_002, [1.0, None]), (2_003, [float("nan")] * 40), (2_100, [0.5]), (0, vectors[0])]
-    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=10).collect()
-    kept = {i: np.pad(np.floor(np.array(v) * 1024).astype(int), (0, 40 - len(v))) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()}
-    want = [(q, n + 1, i, int(s)) for q in kept if q % 100 == 0 for n, (s, i) in enumerate(sorted(((kept[q] @ v, i) for i, v in kept.items() if i != q), key=lambda x: (-x[0], x[1]))[:10])]
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
-    assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect() == []
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(2_000, vectors[3]), (2_001, None), (2_002, [1.0, None]), (2_003, [float("nan")] * 40), (2_100, [0.5]), (0, vectors[0]), (None, vectors[1])]
+    rows += [(7, [9.0] * 40), (7, vectors[7]), (2_200, []), (2_300, [0.25] * 700)] + [(9, [1.0] * 40)] * 30
+    extra = {c: F.lit(1) for c in ("id", "number", "asks", "group", "lot", "asked", "score", "rank", "block")}
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(extra).repartition(5)
+    got = topk.exact_top_k(frame, F.col("vec_id") % 100 == 0, k=10, group_rows=group_rows, query_rows=query_rows)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == top_by_hand(rows, 10)
+
+
+def test_top_k_of_few_and_large_rows(spark):
+    find = lambda rows, k=10: sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=k).collect())
+    # Rows that repeat a key are candidates each.
+    assert find([(0, [1.0, 0.0]), (7, [5.0, 0.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0])]) == [(0, 1, 7, 5_242_880), (0, 2, 8, 2_097_152), (0, 3, 7, 1_048_576)]
+    # Sums beyond what doubles hold exactly.
+    large = [(i, [1e5 + i, 3.0, 2e5 - i, float(i)] * 8) for i in range(300)]
+    assert find(large, 5) == top_by_hand(large, 5)
+    assert find([(0, [1.0])]) == [] and find([]) == []
 
 
 def test_mixture(spark, docs, none):

@@ -59,12 +59,12 @@ OP2 = "SELECT doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban
 OP7 = _spans(list(_SECRETS), _SECRETS, 3, ["assign", "access", "hex"], ", sha256(text) AS blob")
 
 OP8 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS c FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * r.c[i]))::BIGINT AS score
-      FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
+s AS (SELECT q.n, q.vec_id AS query_id, r.vec_id AS vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.c), len(r.c)) + 1), lambda i: q.c[i] * r.c[i])), 0)::BIGINT AS score
+      FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.n <> r.n)
+SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) <= 10"""
 
 
 def _share_out(children: str, parent: str, name: str, weight: str) -> str:

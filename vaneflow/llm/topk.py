@@ -1,24 +1,25 @@
 """Exact top-k by inner product: columnar branch and bound.
 
-Rows are packed into blocks that hold their components in vertical layout, dimension by dimension.  A block
-of queries meets each block of rows once.  Products are accumulated over one slice of dimensions after the
-other; what the remaining dimensions can still add is bounded by the product of the remaining lengths
-(Cauchy-Schwarz), and rows that cannot reach the k-th best any more are dropped from the block in between."""
+Rows are dealt by their number into groups of bounded size, and every group goes to one task, once; the
+queries, a small part of the table, are sent to the groups in blocks.  A group keeps its components in vertical
+layout, dimension by dimension, longest rows first, and meets one block of queries after the other.  Products are
+accumulated over one slice of dimensions after the other; what the remaining dimensions can still add is bounded by
+the product of the remaining lengths (Cauchy-Schwarz), and rows that cannot reach the k-th best score that the
+query has found in its group so far are dropped in between, whole stretches of rows by their longest one."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
 
-BLOCK_ROWS = 512
-QUERY_ROWS = 128
+#: Rows that a task holds, and the fewest worth a task; rows that a query meets at once; queries sent together.
+GROUP_ROWS, LEAST_ROWS, STRETCH_ROWS, QUERY_ROWS = 65_536, 2_048, 2_048, 128
 SLICE = 16
 #: Products of components within this range are summed exactly in double precision (up to 2^53).
 EXACT = float(1 << 53)
@@ -30,92 +31,149 @@ def whole_components(vector: Column, scale: int = 1024) -> Column:
     return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def _vertical(vectors: list[np.ndarray]) -> np.ndarray:
+def _narrowest(largest: int) -> np.dtype:
+    """The smallest whole type that holds components up to this size."""
+    return next(np.dtype(t) for t in ("<i2", "<i4", "<i8") if largest <= np.iinfo(t).max)
+
+
+def _packed(rows: DataFrame, kind: np.dtype, *names: str) -> DataFrame:
+    """`names` and each vector as bytes of the narrowest type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(batch.num_columns - 1)
+            flat, at = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind), np.append(0, np.cumsum(vectors.value_lengths().to_numpy(zero_copy_only=False)))
+            packed = [flat[s:e].tobytes() for s, e in zip(at.tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=[*names, "vector"])
+
+    schema = ", ".join(f"{n} {dict(rows.dtypes)[n]}" for n in names) + ", vector binary"
+    return rows.select(*names, "vector").mapInArrow(run, schema)
+
+
+def _matrix(vectors: list[bytes], kind: np.dtype, dims: int, exact: bool) -> np.ndarray:
     """Dimensions by rows; shorter vectors end in zeros."""
-    dims = max((len(v) for v in vectors), default=0)
-    out = np.zeros((dims, len(vectors)), dtype=np.int64)
+    out = np.zeros((len(vectors), dims), dtype=np.float64 if exact else np.int64)
     for i, v in enumerate(vectors):
-        out[: len(v), i] = v
-    return out
-
-
-def _blocks(rows: DataFrame, count: int, salt: int) -> DataFrame:
-    """(block, size, ids, parts): the rows dealt into blocks by id, one row for each id, in vertical layout."""
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(order=[tuple(v) for v in group["vector"]]).sort_values(["id", "order"], kind="stable").drop_duplicates("id")
-        matrix = _vertical(list(group["vector"]))
-        return pd.DataFrame({"block": [int(group["block"].iloc[0])], "size": [len(group)], "ids": [group["id"].to_numpy(dtype="<i8").tobytes()], "parts": [matrix.astype("<i8").tobytes()]})
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(count)).cast("long"))
-    return dealt.groupBy("block").applyInPandas(pack, "block long, size long, ids binary, parts binary")
-
-
-def _matrix(size: int, parts: bytes, exact: bool) -> np.ndarray:
-    flat = np.frombuffer(parts, dtype="<i8")
-    return flat.reshape(len(flat) // size if size else 0, size).astype(np.float64 if exact else np.int64)
-
-
-def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, slice_dims: int = SLICE) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of the k best rows of one block for each query, ties to the smaller id.
-
-    q and c are dimensions by rows, of the same number of dimensions."""
-    dims, out = q.shape[0], []
-    bound_type = np.float64
-    q_rest = np.sqrt(np.cumsum((q.astype(bound_type) ** 2)[::-1], axis=0)[::-1]) if dims else np.zeros((1, q.shape[1]))
-    c_rest = np.sqrt(np.cumsum((c.astype(bound_type) ** 2)[::-1], axis=0)[::-1]) if dims else np.zeros((1, c.shape[1]))
-    first = q[:slice_dims].T @ c[:slice_dims]  # all queries over the first slice at once
-    for i in range(q.shape[1]):
-        alive = np.flatnonzero(c_ids != q_ids[i])
-        partial = first[i, alive]
-        done = min(slice_dims, dims)
-        while done < dims:
-            slack = q_rest[done, i] * c_rest[done, alive] * (1 + 1e-9) + 1e-6
-            if len(alive) > k:
-                kth = np.partition(partial - slack, len(alive) - k)[len(alive) - k]  # k rows reach at least this
-                keep = partial + slack >= kth
-                alive, partial = alive[keep], partial[keep]
-            upto = min(done + slice_dims, dims)
-            partial = partial + q[done:upto, i] @ c[done:upto][:, alive]
-            done = upto
-        best = np.lexsort((c_ids[alive], -partial))[:k]
-        out += [(int(q_ids[i]), int(c_ids[alive[b]]), int(partial[b])) for b in best]
-    return out
-
-
-def exact_top_k(table: DataFrame, is_query: Column, *, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
+        row = np.frombuffer(v, dtype=kind)
+        out[i, : len(row)] = row
+    return np.ascontiguousarray(out.T)
+
+
+def _rest(m: np.ndarray) -> np.ndarray:
+    """Length of what each column holds from each dimension on."""
+    return np.sqrt(np.cumsum((m.astype(np.float64) ** 2)[::-1], axis=0)[::-1]) if len(m) else np.zeros((1, m.shape[1]))
+
+
+class Group:
+    """The rows of one group, longest first; `search` gives the k best for each query of a block."""
+
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, matrix: np.ndarray, slice_dims: int = SLICE, stretch: int = STRETCH_ROWS):
+        rest = _rest(matrix)
+        order = np.argsort(-rest[0], kind="stable")
+        self.numbers, self.ids, self.rows, self.rest = numbers[order], ids[order], matrix[:, order], rest[:, order]
+        self.slice_dims, self.stretch = slice_dims, stretch
+
+    def search(self, q: np.ndarray, q_numbers: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the query, ids, scores): its k best rows but itself; ties go to the smaller id."""
+        q_rest, n = _rest(q), q.shape[1]
+        found = [(np.zeros(0, dtype=self.ids.dtype), np.zeros(0, dtype=self.rows.dtype))] * n
+        least = np.full(n, -np.inf)  # a row below it is not among the k best
+        for s in range(0, len(self.ids), self.stretch):
+            rows, rest = self.rows[:, s : s + self.stretch], self.rest[:, s : s + self.stretch]
+            ids, numbers = self.ids[s : s + self.stretch], self.numbers[s : s + self.stretch]
+            most = q_rest[0] * rest[0, 0] * (1 + 1e-9) + 1e-6  # the longest row comes first
+            first = q[: self.slice_dims].T @ rows[: self.slice_dims]
+            for i in np.flatnonzero(most >= least).tolist():
+                alive = np.flatnonzero(numbers != q_numbers[i])
+                best = self._best(q[:, i], q_rest[:, i], first[i], rows, rest, alive, k, least[i])
+                all_ids, scores = np.append(found[i][0], ids[best[0]]), np.append(found[i][1], best[1])
+                top = np.lexsort((all_ids, -scores))[:k]
+                found[i] = all_ids[top], scores[top]
+                if len(top) == k:
+                    kth = scores[top[-1]]
+                    # Whole numbers beyond 2^53 are compared as doubles: a little less is certain not to be too much.
+                    least[i] = kth if self.rows.dtype == np.float64 else float(kth) - abs(float(kth)) * 1e-15 - 1
+        for i, (ids, scores) in enumerate(found):
+            yield i, ids, scores
+
+    def _best(self, q, q_rest, first, rows, rest, alive, k, least) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the rows that reach `least`, or of more than the k best."""
+        dims, partial = len(q), first[alive]
+        done = min(self.slice_dims, dims)
+        while done < dims and len(alive):
+            slack = q_rest[done] * rest[done, alive] * (1 + 1e-9) + 1e-6
+            if len(alive) > k:  # k rows reach at least this
+                least = max(least, np.partition(partial - slack, len(alive) - k)[len(alive) - k])
+            keep = partial + slack >= least
+            alive, partial = alive[keep], partial[keep]
+            upto = min(done + self.slice_dims, dims)
+            partial, done = partial + q[done:upto] @ rows[done:upto][:, alive], upto
+        keep = partial >= least
+        return alive[keep], partial[keep]
+
+
+def exact_top_k(
+    table: DataFrame, is_query: Column, *, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest inner product for each row that `is_query`.
 
     Components count as floor(scale * x).  Vectors that are null or hold null or non-finite components take
     no part, nor do rows with a null key; empty vectors score 0, and of vectors of different lengths the
-    missing components count as 0.  A key that is repeated counts once, with its least vector, so a query
-    meets every other key.  Ties go to the smaller key; fewer than k other rows give all of them."""
-    rows = table.select(F.col(key).alias("id"), whole_components(F.col(vector), scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = stage(rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()), "vectors")
+    missing components count as 0.  Each row counts by itself: rows that repeat a key are candidates each, also
+    for one another, and a query that repeats its key has its own k rows.  Ties go to the smaller key; fewer than
+    k other rows give all of them."""
+    spark = table.sparkSession
+    rows = table.select(F.col(key).cast("long").alias("id"), whole_components(F.col(vector), scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = stage(rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).withColumn("number", F.monotonically_increasing_id()), "vectors")
     n, asked, largest, dims = rows.agg(
         F.count(F.lit(1)), F.count_if("asks"), F.max(F.greatest(F.abs(F.array_max("vector")), F.abs(F.array_min("vector")))), F.max(F.size("vector"))
     ).first()
-    exact = float(largest or 0) ** 2 * (dims or 0) < EXACT
-    row_blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    packed = stage(_blocks(rows.select("id", "vector"), row_blocks, 1), "row-blocks")
-    queries = _blocks(rows.filter("asks").select("id", "vector"), query_blocks, 2)
-    # Each block of queries is spread over slots, so that its meetings are not one key.
-    slots = max(1, -(-row_blocks // 8))
-    spread = queries.select(F.col("block").alias("q"), F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    asked_for = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("q"), F.pmod("block", F.lit(slots)).cast("int").alias("slot"))
-    meetings = asked_for.join(spread, ["q", "slot"]).select("size", "ids", "parts", "q_size", "q_ids", "q_parts")
+    largest, dims = int(largest or 0), int(dims or 0)
+    kind, exact = _narrowest(largest), float(largest) ** 2 * dims < EXACT
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(-(-n // group_rows), min(parallel, -(-n // LEAST_ROWS)), 1)
+    lots = max(1, -(-asked // query_rows))
+    lot = F.pmod(F.xxhash64("number", F.lit(2)), F.lit(lots)).cast("int")
+    packed = _packed(rows, kind, "number", "id", "asks")
+    own = packed.select(F.pmod(F.xxhash64("number", F.lit(1)), F.lit(groups)).cast("int").alias("group"), F.lit(-1).alias("lot"), "number", "id", "vector")
+    # Queries go to every group, behind its rows and in lots that fit together.
+    sent = packed.filter("asks").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("group", lot.alias("lot"), "number", "id", "vector")
+    dealt = own.unionByName(sent).repartitionById(groups, F.col("group")).sortWithinPartitions("group", "lot", "number")
+    columns = ["asked", "query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, at = None, [], None
+
+        def ended() -> list[pa.RecordBatch]:
+            nonlocal group
+            numbers, ids = np.array([x[0] for x in held], dtype=np.int64), np.array([x[1] for x in held], dtype=np.int64)
+            matrix = _matrix([x[2] for x in held], kind, dims, exact)
+            if at == -1:
+                group = Group(numbers, ids, matrix)
+                return []
+            if group is None:  # no row was dealt to this group
+                return []
+            out = []
+            for i, near, scores in group.search(matrix, numbers, k):
+                out.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(near), numbers[i]), np.full(len(near), ids[i]), near, scores.astype(np.int64))], names=columns))
+            return [pa.Table.from_batches(out).combine_chunks().to_batches()[0]] if sum(map(len, out)) else []
+
         for batch in batches:
-            for r in batch.to_pylist():
-                c, q = _matrix(r["size"], r["parts"], exact), _matrix(r["q_size"], r["q_parts"], exact)
-                d = max(c.shape[0], q.shape[0])
-                c, q = (np.vstack([x, np.zeros((d - x.shape[0], x.shape[1]), dtype=x.dtype)]) for x in (c, q))
-                found = search_block(q, np.frombuffer(r["q_ids"], dtype="<i8"), c, np.frombuffer(r["ids"], dtype="<i8"), k)
-                columns = list(zip(*found, strict=True)) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
-
-    best = meetings.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            lots_here = batch.column("lot").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(lots_here)) + 1).tolist(), len(lots_here)]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                if at is not None and lots_here[s] != at:
+                    yield from ended()
+                    held = []
+                at = int(lots_here[s])
+                part = batch.slice(s, e - s)
+                held += zip(part.column("number").to_pylist(), part.column("id").to_pylist(), part.column("vector").to_pylist())
+        if held:
+            yield from ended()
+
+    best = dealt.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select(F.col("query_id").cast(table.schema[key].dataType).alias("query_id"), "rank", F.col("vec_id").cast(table.schema[key].dataType).alias("vec_id"), "score")
