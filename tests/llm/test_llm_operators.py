@@ -287,12 +287,24 @@ def test_base_spans_of_random_texts(spark, digest, kinds, bits):
             assert got[i][f"n_{kind}"] == want.count(kind + ":")
 
 
+def test_paths_of_a_hot_blob_get_its_findings(spark):
+    hot, other = "the token=abcdefgh1 is in every copy", "nothing here"
+    rows = [(i, hot) for i in range(900)] + [(1_000 + i, other) for i in range(700)] + [(2_000 + i, f"secret: value{i}") for i in range(300)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(got) == 1_900 and {got[i] for i in range(900)} == {"assign:4:19"} and {got[1_000 + i] for i in range(700)} == {""}
+    assert all(got[2_000 + i] == f"assign:0:{len(f'secret: value{i}')}" for i in range(300))
+
+
 def test_pii_scores_and_masks(spark, docs):
     rows = [(1, "pay by card 4111111111111111", 28), (2, "IBAN DE89370400440532013000 and DE88370400440532013000", 0), (3, None, None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     found = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame).collect()}
     assert [(s["kind"], s["score"]) for s in found[1]] == [("card", 0.9)]
     assert [s["start"] for s in found[2] if s["kind"] == "iban"] == [5]
+    # A number in three parts is nothing without words that say what it is.
+    numbers = spark.createDataFrame([(1, "SSN: 123-45-6789", 0), (2, "part no 123-45-6789", 0), (3, "ssn 9123-45-6789, 123-45-67890", 0)], frame.schema)
+    assert {r["doc_id"]: (r["spans"], r["scores"], r["n_ssn"]) for r in pii.pii_digest(numbers).collect()} == {1: ("ssn:5:16", "0.7", 1), 2: ("", "", 0), 3: ("", "", 0)}
+    assert [r["text"] for r in pii.mask_pii(numbers).orderBy("doc_id").collect()] == ["SSN: [SSN]", "part no 123-45-6789", "ssn 9123-45-6789, 123-45-67890"]
     masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.mask_pii(frame).collect()}
     assert masked == {1: ("pay by card [CARD]", 18), 2: ("IBAN [IBAN] and DE88370400440532013000", 38), 3: (None, None)}
     assert pii.mask_pii(docs).columns == docs.columns
@@ -387,6 +399,50 @@ def test_spot_signatures(spark, docs):
     assert {r["fingerprint"] for r in hostile if r["doc_id"] in (3, 4, 5)} == {""}
 
 
+def test_ranges_do_not_change_the_neighbours(spark):
+    """Small ranges, repeated keys and rows without one: each row meets the next one of the whole order."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice([i, i, 40, None]), " ".join(rnd.choice(["the", "of", "alpha", "beta", "gamma", "delta"]) for _ in range(rnd.randint(0, 40)))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("part", "guest", "id", "hash", "head", "host")}).repartition(4)
+    order = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy(F.desc_nulls_last("doc_id"), F.desc("h")).collect()]
+    want = sorted((str(k), hashlib.sha256(spotsigs.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
+    for size in (2_000, 20_000, spotsigs.RANGE_BYTES):
+        got = spotsigs.fingerprint_documents(frame, range_bytes=size).collect()
+        assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == want
+
+
+def by_hand_spots(text):
+    """The rule of the anchors, word by word: chains of the next two content words behind each anchor."""
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    hashed = {w: int(next(iter(spotsigs.hash_words([w.encode()], spotsigs.letter_words())[0]))) for w in set(words)}
+    common = set(spotsigs.ANCHORS)
+    chain = lambda i: [w for w in words[i + 1 :] if w not in common][: spotsigs.CHAIN]
+    for anchors in ([i for i, w in enumerate(words) if w in common or int(spotsigs.mix(np.array([hashed[w]], dtype=np.uint64))[0]) % spotsigs.ANCHOR_EVERY == 0], range(len(words))):
+        found = {(words[i], *chain(i)) for i in anchors if len(chain(i)) == spotsigs.CHAIN}
+        if found:
+            return found
+    return {tuple(words)} if words else set()
+
+
+def test_fingerprints_and_pairs_by_hand(spark):
+    rnd, rows = random.Random(21), []
+    for i in range(120):
+        words = [rnd.choice(["the", "of", "and", "House", "river", "stone", "über", "walks", "green", "x1"]) for _ in range(rnd.randint(0, 30))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, ", ".join([*words, rnd.choice(["end", ""])]))]
+    sets = {i: by_hand_spots(t) for i, t in rows}
+    got = {r["doc_id"]: r["fingerprint"] for r in spotsigs.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(got[i]) == 8 * len(sets[i]) for i in sets)
+    same = {}
+    for i in sets:
+        assert same.setdefault(frozenset(sets[i]), got[i]) == got[i]
+    pairs = {(r["u"], r["v"]) for r in spotsigs.similar_pairs(spotsigs.spot_sets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(frozenset(sets[i]), i)
+    classes = {v: set(k) for k, v in least.items() if k}
+    assert pairs == {(a, b) for a in classes for b in classes if a < b and len(classes[a] & classes[b]) / len(classes[a] | classes[b]) >= 0.8}
+
+
 def test_one_anchor_rule_at_every_length(spark):
     rnd, rows = random.Random(12), []
     for n in range(57, 63):

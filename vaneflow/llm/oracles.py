@@ -14,17 +14,26 @@ def _places(name: str, kind: int, pattern: str) -> str:
     return _PLACES.replace("CREATE_NAME", name).replace("KIND", str(kind)).replace("PATTERN", quoted)
 
 
-def _spans(kinds: list[str], parts: dict[str, tuple[str, str]], base: int, counts: list[str], table_columns: str = "") -> str:
+def _scored(kinds: list[str]) -> str:
+    """Score of a span (row, kind, s) of `a`: the prior of its kind, halfway to 1 if one of the kind's words is near before it."""
+    before = "lower(substr(text, (greatest(0, s - 40) + 1)::BIGINT, (s - greatest(0, s - 40))::BIGINT))"
+    near = lambda k: "(" + " OR ".join(f"contains({before}, '{w}')" for w in _NEAR[k]) + ")"
+    cases = " ".join(f"WHEN {i} THEN CASE WHEN {near(k)} THEN round({_PRIOR[k]}::DOUBLE + (1 - {_PRIOR[k]}::DOUBLE) * 0.5, 6) ELSE {_PRIOR[k]}::DOUBLE END" for i, k in enumerate(kinds))
+    return f"a AS (SELECT * FROM (SELECT b.*, CASE kind {cases} END AS score FROM a0 b JOIN d USING (row)) WHERE kind < 4 OR score >= 0.5)"
+
+
+def _spans(kinds: list[str], parts: dict[str, tuple[str, str]], base: int, counts: list[str], table_columns: str = "", scores: bool = False) -> str:
     """Counts, digest and list from one part (pattern, validity over `m`) for each kind."""
     ctes = ["d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents)"]
     ctes += [_places(f"p_{k}", i, parts[k][0]) for i, k in enumerate(kinds)]
     union = " UNION ALL ".join(f"SELECT row, kind, span.s AS s, span.s + length(span.m) AS e, span.m AS m FROM p_{k} WHERE {parts[k][1].replace('$m', 'span.m')}" for k in kinds)
     names = "[" + ", ".join(f"'{k}'" for k in kinds) + "]"
-    ctes.append(f"a AS ({union})")
+    ctes += [f"a0 AS ({union})", _scored(kinds)] if scores else [f"a AS ({union})"]
+    more = ", string_agg(score::VARCHAR, ',' ORDER BY s, kind, e) AS sc" if scores else ""
     ctes.append(
         f"g AS (SELECT row, {', '.join(f'count(*) FILTER (kind = {kinds.index(k)}) AS n_{k}' for k in counts)}, "
         f"string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (kind < {base}) AS b, "
-        f"string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS every FROM a GROUP BY row)"
+        f"string_agg({names}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS every{more} FROM a GROUP BY row)"
     )
     columns = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in counts)
     return f"WITH {', '.join(ctes)} SELECT doc_id, {columns}, sha256(coalesce(b, '')) AS base_sha256, coalesce(every, '') AS spans{table_columns} FROM d LEFT JOIN g USING (row)"
@@ -46,7 +55,12 @@ _PII = {
     "card": (r"[0-9](?:[ -]?[0-9])+", _LUHN),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
     "iban": (r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", _MOD97),
+    # Without look-around in SQL the digits and hyphens around are matched too; only three parts of these sizes count.
+    "ssn": (r"[0-9-]*[0-9]{3}-[0-9]{2}-[0-9]{4}[0-9-]*", "regexp_full_match($m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"),
 }
+_PRIOR = {"email": "0.9", "ip": "0.6", "card": "0.8", "phone": "0.7", "iban": "0.95", "ssn": "0.4"}
+_NEAR = {"email": ["mail", "contact", "@"], "ip": ["ip", "address", "host", "server"], "card": ["card", "credit", "visa", "payment"],
+         "phone": ["phone", "call", "tel", "mobile"], "iban": ["iban", "bank", "account"], "ssn": ["ssn", "social security", "tax id"]}
 _SECRETS = {
     "assign": (r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]+", r"length(regexp_extract($m, '^(?i:password|passwd|secret|token|api_?key)[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6"),
     "access": (r"AKIA[A-Z0-9]+", "length($m) >= 20"),
@@ -55,7 +69,7 @@ _SECRETS = {
     "webtoken": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
 }
 
-OP2 = "SELECT doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban FROM (" + _spans(list(_PII), _PII, 4, list(_PII)) + ")"
+OP2 = "SELECT doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, n_ssn, scores FROM (" + _spans(list(_PII), _PII, 4, list(_PII), ", coalesce(sc, '') AS scores", scores=True) + ")"
 OP7 = _spans(list(_SECRETS), _SECRETS, 3, ["assign", "access", "hex"], ", sha256(text) AS blob")
 
 OP8 = """

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .spans import SPAN, span_list, spans_where
 
 KINDS = ["assign", "access", "hex", "pem", "webtoken"]
@@ -22,6 +23,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
 WEBTOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 
+#: A blob in more than one of so many paths is hot; there are at most as many. Tasks that share the paths of one.
+HOT_SHARE, SALTS = 1_000, 64
 #: The least length of what is assigned.
 ASSIGNED = 6
 
@@ -87,10 +90,23 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame, *, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """path, blob and spans of every version: findings (blob, spans), old and new, joined back to all paths."""
+    """path, blob and spans of every version: findings (blob, spans), old and new, joined back to all paths.
+
+    The paths of a hot blob, one that more than a thousandth of all have, are spread by a salt, and the findings of
+    these blobs, a thousand at most, go to every salt."""
     hit = findings.filter(F.size("spans") > 0)
     merged = hit.select("blob", F.explode("spans").alias("s")).groupBy("blob").agg(F.collect_set("s").alias("spans"))  # of one text
-    return blobs(versions, path, text).join(merged, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    paths = blobs(versions, path, text)
+    counted = stage(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
+    total = versions.select(path).count()
+    hot = F.broadcast(counted.filter(F.col("n") * HOT_SHARE > total).select(F.col("blob").alias("hot_blob")))  # at most HOT_SHARE rows
+    salted = paths.join(hot, F.col("blob") == F.col("hot_blob"), "left")
+    salt = F.when(F.col("hot_blob").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = salted.withColumn("salt", salt).drop("hot_blob")
+    every = F.when(F.col("hot_blob").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = merged.join(hot, F.col("blob") == F.col("hot_blob"), "left").withColumn("salt", F.explode(every)).drop("hot_blob")
+    met = salted.join(dealt, ["blob", "salt"], "left")
+    return met.select(path, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def secret_digest(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, *, path: str = "doc_id", text: str = "text") -> DataFrame:

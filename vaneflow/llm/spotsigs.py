@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import depth_cells
+from ..session import stage
 from .wordhash import chunks, hash_words, letter_words, mix
 
 #: Common words of four languages, the anchors.
@@ -95,36 +97,35 @@ def length_partition(size: int, least: float = SIMILAR) -> int:
     return 1 + int(math.log(size) / -math.log(least) + 1e-9) if size else 0
 
 
-def _dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """part, guest, id, text: rows in ranges of descending key; each range ends in a guest, the first row of the next.
+def _dealt(docs: DataFrame, key: str, text: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """key, part, guest, text: rows in ranges of descending key; each range ends in a guest, the first row of the next.
 
-    The cuts are quantiles of the key, and the guests of the few range heads are all that is added."""
+    Ranges are equi-depth cells of (key, hash of the text), cut by counts; what they are and where their heads
+    go stays in small tables, a row for each range, that are joined on.  Rows of one key, or of none, are cut as well."""
     least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("id"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_BYTES))
-    cuts = docs.select(F.percentile_approx(F.col(key).cast("long"), [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("q")).first()["q"] if ranges > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    part = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: F.col("id") < c)) if cuts else F.lit(0)
-    own = rows.withColumn("part", part)
-    heads = own.groupBy("part").agg(F.max("id").alias("id")).collect()  # one row for each range
-    order = sorted((r["part"], r["id"]) for r in heads)
-    # The head of a range visits the range before it; that of the first visits the last.
-    hosts = {head: order[i - 1][0] for i, (_, head) in enumerate(order)}
-    guest = own.filter(F.col("id").isin(list(hosts))) if hosts else own.filter(F.lit(False))
-    host = F.create_map(*[F.lit(x) for h in hosts.items() for x in h])[F.col("id")] if hosts else F.lit(0)
-    number = {p: i for i, (p, _) in enumerate(order)}
-    dense = F.create_map(*[F.lit(x) for h in number.items() for x in h])[F.col("part")] if number else F.lit(0)
-    both = own.withColumn("guest", F.lit(False)).unionByName(guest.withColumn("part", host.cast("int")).withColumn("guest", F.lit(True))).withColumn("part", dense)
-    return both.repartitionById(max(1, len(order)), F.col("part")).sortWithinPartitions("part", "guest", F.desc("id"), "text")
-
-
-def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(least)).alias("id"), F.xxhash64(body).alias("hash"), F.col(key).alias("key"), body.alias("text"))
+    total, n = rows.agg(F.sum(F.octet_length("text") + 64), F.count(F.lit(1))).first()
+    depth = max(1, (n or 1) * range_bytes // max(1, total or 1))
+    own = depth_cells(rows, [], ["id", "hash"], depth, "part").withColumn("part", F.col("part").cast("int"))
+    heads = stage(own.groupBy("part").agg(F.max(F.struct("id", "hash")).alias("head")), "heads")
+    # Keys descend while the numbers of ranges ascend: the head of a range is due in the range above, that of the highest in the lowest.
+    along = Window.orderBy("part")
+    hosts = heads.select("head.*", F.coalesce(F.lead("part").over(along), F.min("part").over(Window.partitionBy())).alias("host"))
+    hosts = stage(hosts.withColumnRenamed("id", "head_id").withColumnRenamed("hash", "head_hash"), "hosts")
+    guests = own.join(hosts, (own["id"] == hosts["head_id"]) & (own["hash"] == hosts["head_hash"])).dropDuplicates(["head_id", "head_hash"])
+    guests = guests.select("id", "hash", "key", "text", F.col("host").alias("part"), F.lit(True).alias("guest"))
+    both = own.select("id", "hash", "key", "text", "part", F.lit(False).alias("guest")).unionByName(guests)
+    parts = (heads.agg(F.max("part")).first()[0] or 0) + 1
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.desc("id"), F.desc("hash"))
+
+
+def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness.
 
     Returns `key`, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and the
     length partition of the text's set.  The next document is the one of the next smaller key, and after
-    the smallest the largest; rows of one key follow by their text, rows without a key come last.  The one
+    the smallest the largest; rows of one key follow by a hash of their text, rows without a key come last.  The one
     row of a table is its own next.  Null texts count as empty; an empty set of spots has the empty
     fingerprint and is like another empty one (1) and unlike others (0).  Rows stay one to one; other
     columns are not read; no rows give no rows."""
@@ -161,7 +162,7 @@ def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "
                 names=names,
             )
 
-    return _dealt(docs, key, text).select("key", "part", "guest", "text").mapInArrow(run, schema)
+    return _dealt(docs, key, text, range_bytes).select("key", "part", "guest", "text").mapInArrow(run, schema)
 
 
 def spot_sets(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
