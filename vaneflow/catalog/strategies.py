@@ -318,6 +318,40 @@ def _(t):
         {"gain_x": F.lit(gain[0]), "gain_z": F.lit(gain[1])})
 
 
+@query("regress_stump", _LINE + """,
+v AS (SELECT g, train, y, floor(x / 5) AS f1, CASE WHEN x % 7 > 0 THEN z END AS z FROM s),
+r AS (SELECT g, train, y, f1, coalesce(z, (SELECT quantile_disc(z, 0.5) FROM v WHERE train)) AS f2 FROM v),
+c AS (SELECT 'x' AS f, f1 AS a, count(*) AS n, sum(y) AS sy FROM r WHERE train GROUP BY f1 UNION ALL SELECT 'z', f2, count(*), sum(y) FROM r WHERE train GROUP BY f2),
+k AS (SELECT f, a, lead(a) OVER (PARTITION BY f ORDER BY a) AS b, sum(n) OVER (PARTITION BY f ORDER BY a) AS nl, sum(sy) OVER (PARTITION BY f ORDER BY a) AS sl, sum(n) OVER (PARTITION BY f) AS nt, sum(sy) OVER (PARTITION BY f) AS st FROM c),
+b AS (SELECT f, (a + b) / 2 AS thr, sl / nl AS lo, (st - sl) / (nt - nl) AS hi FROM k WHERE b IS NOT NULL ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC LIMIT 1)
+SELECT g, count(*) AS n, any_value(f) AS feature, round(any_value(thr), 4) AS threshold, round(avg(abs(CASE WHEN CASE f WHEN 'x' THEN f1 ELSE f2 END <= thr THEN lo ELSE hi END - y)), 6) AS mae FROM r CROSS JOIN b WHERE NOT train GROUP BY g""")
+def _(t):
+    # One round of depth one: a single split, over features of few values, so that all midpoints are candidates.
+    rows = regression_rows(t).withColumns({"z": F.when(F.col("x") % 7 > 0, F.col("z")), "x": F.floor(F.col("x") / 5).cast("double")})
+    fit = models.boosted_regression(rows.filter("train"), ["x", "z"], "y", rounds=1, depth=1)
+    split = fit.stages[-1].trees[0]._call_java("rootNode").split()
+    test = fit.transform(rows.filter("NOT train"))
+    return test.groupBy("g").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs(F.col("pred") - F.col("y"))), "mae")).withColumns(
+        {"feature": F.lit(["x", "z"][split.featureIndex()]), "threshold": F.round(F.lit(float(split.threshold())), 4)})
+
+
+@query("classify_logistic", """
+WITH RECURSIVE d AS (SELECT documents.doc_id, ln(1 + n_chars) AS x, quality::DOUBLE AS y FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL),
+w AS (SELECT stddev_samp(x) AS sd FROM d WHERE doc_id % 4 > 0), z AS (SELECT x / sd AS z, y FROM d CROSS JOIN w WHERE doc_id % 4 > 0),
+r AS (SELECT 0 AS i, 0::DOUBLE AS a, 0::DOUBLE AS b UNION ALL
+ SELECT i + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+  SELECT i, a, b, avg(p - y) AS g0, avg((p - y) * z) + 0.01 * b AS g1, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * z) AS h01, avg(p * (1 - p) * z * z) + 0.01 AS h11
+  FROM (SELECT i, a, b, z, y, 1 / (1 + exp(-(a + b * z))) AS p FROM r CROSS JOIN z WHERE i < 30) GROUP BY i, a, b)),
+f AS (SELECT a, b / sd AS b FROM r CROSS JOIN w WHERE i = 30)
+SELECT y::INT AS label, count(*) AS n, count(*) FILTER (WHERE (a + b * x > 0) = (y = 1)) AS hits, round(avg(1 / (1 + exp(-(a + b * x)))), 2) AS mean_p FROM d CROSS JOIN f WHERE doc_id % 4 = 0 GROUP BY 1""")
+def _(t):
+    d = t.documents.select("doc_id", F.log(1.0 + F.col("n_chars")).alias("x")).join(t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id").dropna()
+    fit = models.logistic_classifier(d.filter("doc_id % 4 > 0"), ["x"], "label")
+    scored = fit.transform(models.assemble(d.filter("doc_id % 4 = 0"), ["x"])).withColumn("p", models.class_probability())
+    return scored.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("p") > 0.5) == (F.col("label") == 1)).alias("hits"), F.round(F.avg("p"), 2).alias("mean_p"))
+
+
 @query("classify_sign")
 def _(t):
     d = t.documents.select("doc_id", F.col("n_chars").cast("double").alias("n"), F.size(F.split("text", r"\s+")).cast("double").alias("words"),

@@ -93,10 +93,14 @@ def boosted_regression(train: DataFrame, features: Sequence[str], target: str, r
     ]).fit(train)
 
 
+def logistic_classifier(train: DataFrame, features: Sequence[str], label: str):
+    return LogisticRegression(labelCol=label, maxIter=50, regParam=0.01).fit(assemble(train, features))
+
+
 def sign_classifiers(train: DataFrame, features: Sequence[str], label: str, rounds: int = 5, seed: int = 7) -> dict:
     rows = assemble(train, features)
     return {
-        "logistic": LogisticRegression(labelCol=label, maxIter=50, regParam=0.01).fit(rows),
+        "logistic": logistic_classifier(train, features, label),
         "boosted": GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=3, seed=seed).fit(rows),
     }
 
