@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "asof_backward", "asof_multi_anchor", "resample_ffill", "sessionize_gaps", "ladder_shape", "book_walk", "participant_pnl",
-    "parameter_sweep", "dq_bounds", "join_full_outer_diff",
+    "parameter_sweep", "feature_matrix", "dq_bounds", "join_full_outer_diff",
 )
 
 
