@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, numerator: int = 80, denomin
     # A hub has met all members of its buckets; what is left are the others, where they lie apart.
     rest = members.join(hubs.select("band", F.col("hub.v").alias("v")), ["band", "v"], "left_anti").select("band", "v", "n")
     left = stage(_split(rest.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))), "open")
-    if not left.isEmpty():
+    if not left.isEmpty():  # mostly hubs have settled all: nothing is planned for the second meeting then
         near = left.join(hubs.select("band", F.col("hub.v").alias("hub")), "band").select("hub", "v", "root").distinct()
         near = near.join(roots.select(F.col("v").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
         more = _meet_in_differences(near, sets, numerator, denominator).distinct().join(likely, ["u", "v"], "left_anti")
