@@ -303,6 +303,28 @@ def test_thinning_equals_a_replay(spark, fan):
     assert sorted((r.ladder, r.seq) for r in got.collect()) == sorted(want)
 
 
+def test_thinning_does_not_slow_down_where_many_times_lie_within_the_gap(spark):
+    """40,000 candidates of one ladder, 2,000 to a gap: the work of a cell follows its rows, not their square, and candidates are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rnd = random.Random(3)
+    ms = sorted(rnd.randrange(20_000) for _ in range(40_000))
+    rows = spark.createDataFrame([("l", dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=m), i) for i, m in enumerate(ms)], "ladder STRING, ts TIMESTAMP, seq LONG")
+    want, last = [], None
+    for i, m in enumerate(ms):
+        if last is None or m - last >= 1_000:
+            want.append(i)
+            last = m
+    got = book.thin(rows.mapInPandas(counted, rows.schema), "ladder", "ts", "seq", 1.0)
+    assert sorted(r.seq for r in got.collect()) == want
+    assert made.value == 40_000
+
+
 def test_late_quotes_follow_the_rule(spark):
     """Quotes that arrive a batch or two late: left out where a newer one of their bucket is known, else counted from the ladder's clock."""
     rnd = random.Random(4)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.pricing import best_ask, best_bid, level_count, mid, spread
 from ..operators.ordered import CELL, RANGE, cut, depth_cells, previous, running
@@ -58,70 +61,126 @@ def alert_candidates(
     marks = F.filter(F.array(
         quote, F.when(goes_stale, mark(old, 1)), F.when(goes_stale & F.col("_next_ts").isNotNull(), mark(F.unix_micros("_next_ts"), -1))), lambda m: m.isNotNull())
     steps = stage(chain.select(ladder, F.inline(marks)).withColumn("_at", F.timestamp_micros("u")), "steps")
-    along = ["u", "rank", "s"]
+    along = ["_at", "rank", "s"]  # a time, so that cells are counted by the hour first
     summed = running(depth_cells(steps, [ladder], along), [ladder], along, F.col(CELL), sum_bid=("sum", F.col("d")), seen=("sum", F.col("first")), stale_now=("sum", F.col("stale")))
     ready = (F.col("rank") == 1) & (F.col("seen") >= n_buckets) & (F.col("stale_now") == 0) & (F.col("sum_bid") >= threshold - 1e-9)
     return summed.filter(ready).select(ladder, F.col("_at").alias(ts), F.col("s").alias(seq), "sum_bid")
 
 
-#: Children of a node of the thinning tree.
-FAN = 256
+#: Children of a node of the thinning tree; a cell has the square of that in times.
+FAN = 128
 #: A time before all others.
 NEVER = -(1 << 62)
 
 
-def _after(steps: Column, last: Column, gap: int) -> Column:
-    """The last kept time after `steps` (entry, exit), given the one before: the first entry that is due leads to its exit."""
-    due = F.get(F.filter(steps, lambda m: m["e"] >= last + gap), F.lit(0))
-    return F.coalesce(due["x"], last)
+def _entries(times: np.ndarray, gap: int) -> np.ndarray:
+    """Those of the sorted times that may be the first one kept, whatever was kept before the first of them.
 
+    That lies before the first time, so the first one due is within the gap from there, or the next one."""
+    return times[: np.searchsorted(times, times[0] + gap) + 1]
 
-def _contracted(children: Column, gap: int) -> Column:
-    """Steps of the children, in their order, as steps from entry to exit of the whole.
 
-    Whatever was kept before lies before the first time, so the first row that is due is one within the gap
-    from there, or the next one: only from those an exit is needed."""
-    times = F.array_sort(F.array_distinct(F.transform(F.flatten(children), lambda m: m["e"])))
-    border = F.get(times, F.lit(0)) + gap
-    near = F.concat(F.filter(times, lambda e: e < border), F.slice(F.filter(times, lambda e: e >= border), 1, 1))
-    return F.transform(near, lambda e: F.struct(e.alias("e"), F.aggregate(children, e - gap, lambda last, steps: _after(steps, last, gap)).alias("x")))
+def _exits(times: np.ndarray, gap: int) -> np.ndarray:
+    """The last time kept on the path from each of the sorted distinct times; paths double in length each round."""
+    after = np.searchsorted(times, times + gap)
+    leads = np.where(after < len(times), after, np.arange(len(times)))
+    while (leads[leads] != leads).any():
+        leads = leads[leads]
+    return times[leads]
 
 
-def _before_each(children: Column, entering: Column, gap: int) -> Column:
+def _after(last: np.ndarray, entries: np.ndarray, exits: np.ndarray, gap: int) -> np.ndarray:
+    """The last kept time behind a cell or node, given the one before it: the first entry that is due leads to its exit."""
+    due = np.searchsorted(entries, last + gap)
+    return np.where(due < len(entries), exits[np.minimum(due, len(entries) - 1)], last)
+
+
+def _table(key: tuple, *columns: Sequence) -> pd.DataFrame:
+    """Columns by position beside the ladder of a group, which keeps its type whatever it is."""
+    held = [pd.Series([key[0]] * len(columns[0]), dtype=object), *map(pd.Series, columns)]
+    return pd.DataFrame(dict(enumerate(held)))
+
+
+def _contract_cells(gap: int):
+    def contract(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["_u"].to_numpy())
+        entries = _entries(times, gap)
+        return _table(key, [key[1]], [entries], [_exits(times, gap)[: len(entries)]])
+
+    return contract
+
+
+def _contract_nodes(gap: int):
+    """Steps of the children, in their order, as steps from entry to exit of the whole."""
+
+    def contract(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        children = pdf.sort_values("_id")
+        entries = _entries(np.unique(np.concatenate(children["_e"].to_list())), gap)
+        last = entries - gap
+        for e, x in zip(children["_e"], children["_x"]):
+            last = _after(last, e, x, gap)
+        return _table(key, [key[1]], [entries], [last])
+
+    return contract
+
+
+def _before_each(gap: int):
     """The last kept time before each child, from the one before the first."""
-    start = F.struct(entering.alias("last"), F.array().cast("array<bigint>").alias("seen"))
-    walked = F.aggregate(children, start, lambda s, steps: F.struct(_after(steps, s["last"], gap).alias("last"), F.concat(s["seen"], F.array(s["last"])).alias("seen")))
-    return walked["seen"]
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        children = pdf.sort_values("_id")
+        last, before = children["_in"].to_numpy()[:1], []
+        for e, x in zip(children["_e"], children["_x"]):
+            before.append(last[0])
+            last = _after(last, e, x, gap)
+        return _table(key, children["_id"].to_numpy(), before)
+
+    return walk
+
+
+def _kept_times(gap: int):
+    def follow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["_u"].to_numpy())
+        at, after, kept = int(np.searchsorted(times, pdf["_in"].iloc[0] + gap)), np.searchsorted(times, times + gap).tolist(), []
+        while at < len(times):
+            kept.append(at)
+            at = after[at]
+        return _table(key, times[np.array(kept, dtype=int)])
+
+    return follow
 
 
 def thin(candidates: DataFrame, ladder: str, ts: str, seq: str, min_gap_seconds: float, fan: int = FAN) -> DataFrame:
-    """Keep a row only if the last kept one of its ladder is at least the gap older.
+    """Keep a row only if the last kept one of its ladder is at least the gap older; of one time, the least row.
 
-    Each row leads to its first successor that is the gap or more later, so what is kept is one path.  Rows lie in cells
-    of about `fan`; in a cell the path from every row that may be entered is followed to its exit, and only
-    these entries and exits go on, to nodes of `fan` cells, and so on to one node of each ladder.  Then the
-    last kept time goes down again to every cell.  No task holds more than a node, however dense a ladder is."""
+    Each time leads to its first successor that is the gap or more later, so what is kept is one path.  Distinct times
+    lie in cells of about `fan` squared; in a cell the path from every time that may be entered is followed to its
+    exit by binary searches, and only these entries and exits go on, to nodes of `fan` cells, and so on to one
+    node of each ladder.  Then the last kept time goes down again to every cell.  A cell costs as much whether its
+    rows are dense or sparse, and a node holds the entries of its children, which lie within one gap of their first."""
     gap = int(min_gap_seconds * 1e6)
-    rows = depth_cells(candidates.withColumn("_u", F.unix_micros(ts)), [ladder], [ts, seq], fan, "_id")
-    row = F.struct(F.col("_u"), F.col(seq).alias("_seq"), F.struct(*candidates.columns).alias("_row"))
-    cells = stage(rows.groupBy(ladder, "_id").agg(F.sort_array(F.collect_list(row)).alias("_rows")), "cells")
-    single = F.transform("_rows", lambda r: F.array(F.struct(r["_u"].alias("e"), r["_u"].alias("x"))))
-    nodes = stage(cells.select(ladder, "_id", _contracted(single, gap).alias("_steps")), "nodes")
+    rows = stage(candidates.filter(F.col(ladder).isNotNull() & F.col(ts).isNotNull()), "candidates")
+    if gap <= 0:
+        return rows
+    key, long = StructField(ladder, rows.schema[ladder].dataType), LongType()
+    steps = StructType([key, StructField("_id", long), StructField("_e", ArrayType(long)), StructField("_x", ArrayType(long))])
+    times = depth_cells(rows.select(ladder, ts).distinct(), [ladder], [ts], fan * fan, "_id")
+    times = stage(times.select(ladder, "_id", F.unix_micros(ts).alias("_u")), "times")
+    nodes = stage(times.groupBy(ladder, "_id").applyInPandas(_contract_cells(gap), steps), "nodes")
     levels = []
     while (nodes.agg(F.max("_id")).first()[0] or 0) > 0:
-        inside = F.sort_array(F.collect_list(F.struct("_id", "_steps")))
-        grouped = nodes.groupBy(ladder, F.floor(F.col("_id") / fan).cast("long").alias("_parent")).agg(inside.alias("_children"))
-        levels.append(stage(grouped.select(ladder, "_parent", F.col("_children._id").alias("_ids"), F.col("_children._steps").alias("_maps")), "levels"))
-        nodes = stage(levels[-1].select(ladder, F.col("_parent").alias("_id"), _contracted(F.col("_maps"), gap).alias("_steps")), "nodes")
+        levels.append(nodes.withColumn("_parent", F.floor(F.col("_id") / fan).cast("long")))
+        nodes = stage(levels[-1].groupBy(ladder, "_parent").applyInPandas(_contract_nodes(gap), steps), "nodes")
     entering = nodes.select(ladder, "_id", F.lit(NEVER).cast("long").alias("_in"))
     for level in reversed(levels):
         met = level.join(entering.withColumnRenamed("_id", "_parent"), [ladder, "_parent"])
-        before = F.arrays_zip(F.col("_ids").alias("_id"), _before_each(F.col("_maps"), F.col("_in"), gap).alias("_in"))
-        entering = met.select(ladder, F.inline(before))
-    met = cells.join(entering, [ladder, "_id"])
-    kept = met.select("_rows", _before_each(single, F.col("_in"), gap).alias("_last"))
-    kept = kept.select(F.inline(F.arrays_zip("_rows", "_last"))).filter(F.col("_rows._u") >= F.col("_last") + gap)
-    return kept.select("_rows._row.*")
+        entering = met.groupBy(ladder, "_parent").applyInPandas(_before_each(gap), StructType([key, StructField("_id", long), StructField("_in", long)]))
+        entering = stage(entering, "entering")
+    met = times.join(entering, [ladder, "_id"])
+    kept = met.groupBy(ladder, "_id").applyInPandas(_kept_times(gap), StructType([key, StructField("_u", long)]))
+    at_kept = rows.withColumn("_u", F.unix_micros(ts)).join(kept, [ladder, "_u"])
+    least = F.min(F.struct(F.col(seq).alias("_seq"), F.struct(*candidates.columns).alias("_row")))
+    return at_kept.groupBy(ladder, "_u").agg(least.alias("_least")).select("_least._row.*")
 
 
 class LadderAlerts:
