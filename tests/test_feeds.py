@@ -1,12 +1,14 @@
 """Readers on documents in the shape that the feeds write, and on values that cannot be typed."""
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from vaneflow.functions import parsing
-from vaneflow.sources import readers
+from vaneflow.session import scratch_path
+from vaneflow.sources import readers, sinks
 from vaneflow.streaming.book import route_messages
 
 
@@ -56,3 +58,17 @@ def test_rewritten_parsers(spark):
     assert [str(r[0]) for r in spark.createDataFrame(slugs, "s string").select(parsing.slug_date("s")).collect()] == ["2026-04-01", "2025-05-31", "None", "None"]
     questions = [("Will the highest temperature in New York be 50-51°F on May 1?",), ("Will the high temperature in D.C. exceed 60?",), ("Rain?",)]
     assert [r[0] for r in spark.createDataFrame(questions, "q string").select(parsing.city_from_question("q")).collect()] == ["New York City", "D.C", ""]
+
+
+def test_documents_become_one_file_each_in_few_folders(spark):
+    """Each row is a file of its name, written again without a trace, and read back with the slug of the file."""
+    path = scratch_path(spark, "documents")
+    made = json.dumps({"Y1": [{"makerAssetId": "0", "takerAssetId": "Y1", "makerAmountFilled": "5", "takerAmountFilled": "10", "timestamp": "7"}]})
+    rows = spark.createDataFrame([(f"{i % 2}/{i % 3}", f"m-{i}", made) for i in range(60)], "folder STRING, slug STRING, value STRING")
+    assert sinks.write_documents(rows, path, "folder", "slug", "value") == 60
+    assert sinks.write_documents(rows.filter("slug = 'm-7'"), path, "folder", "slug", "value") == 1
+    files = [p for p in pathlib.Path(path.removeprefix("file://")).rglob("*") if p.is_file()]
+    assert sorted(p.name for p in files) == sorted(f"m-{i}.json" for i in range(60)) and len({p.parent for p in files}) == 6
+    assert sorted(r.slug for r in readers.read_fill_documents(spark, path).collect()) == sorted(f"m-{i}" for i in range(60))
+    empty = scratch_path(spark, "documents")
+    assert sinks.write_documents(rows.filter("false"), empty, "folder", "slug", "value") == 0 and readers.read_fill_documents(spark, empty).count() == 0

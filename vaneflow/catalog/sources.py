@@ -113,7 +113,9 @@ def _(t):
     per_token = placed.groupBy("slug", "piece", token.alias("token")).agg(F.collect_list(event).alias("events"))
     documents = per_token.groupBy("slug", "piece").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("token", "events")))).alias("value"))
     path = t.scratch("fills")
-    documents.write.partitionBy("slug", "piece").text(path)
+    # Files bear the slug, so folders need not: a few hundred for each piece however many markets there are.
+    folder = F.concat_ws("/", F.col("piece"), F.substring(F.md5("slug"), 1, 2))
+    sinks.write_documents(documents.withColumn("folder", folder), path, "folder", "slug", "value")
     k = F.col("s_suppkey")
     markets = t.supplier.select(F.concat(F.lit("m-"), k).alias("slug"), k.cast("string").alias("condition_id"), F.concat(F.lit("Y"), k).alias("yes_token_id"), F.concat(F.lit("N"), k).alias("no_token_id"))
     fills = readers.type_fills(readers.read_fill_documents(t.spark, path), markets)

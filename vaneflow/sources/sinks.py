@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,32 @@ def year_month(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({"year": F.year(ts), "month": F.month(ts)})
 
 
+def write_documents(df: DataFrame, path: str, folder: str, name: str, value: str) -> int:
+    """One file per row, `path`/folder/name.json, as feeds write their documents; returns how many.
+
+    Spark's writers make a folder for each value that names a file, and several calls of the store for each folder;
+    here tasks write with their own file system library, so `path` must be a place that it can open (local or mounted
+    paths, HDFS, object stores).  A repeated task writes the same names; files appear under them when whole."""
+    uri = re.sub(r"^file:/+", "file:///", path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = FileSystem.from_uri(uri)
+        attempt, made = TaskContext.get().taskAttemptId(), set()
+        for batch in batches:
+            for place, title, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if place not in made:
+                    store.create_dir(f"{root}/{place}", recursive=True)
+                    made.add(place)
+                with store.open_output_stream(f"{root}/{place}/.{title}-{attempt}") as out:
+                    out.write(text.encode())
+                store.move(f"{root}/{place}/.{title}-{attempt}", f"{root}/{place}/{title}.json")
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    store, root = FileSystem.from_uri(uri)
+    store.create_dir(root, recursive=True)  # also where there are no rows
+    return df.select(folder, name, value).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 #: Rows that one file of a sink is to hold.
 FILE_ROWS = 1_000_000
 
