@@ -13,6 +13,7 @@ from vaneflow.operators.ordered import (
     CELL, RANGE, cut, depth_cells, neighbours, previous, running, shift, time_cell, value_cell,
 )
 from vaneflow.operators.quantiles import exact_quantiles
+from vaneflow.operators.series import bursts
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -214,3 +215,20 @@ def test_exact_quantiles(spark, data):
         assert upper[k] == sorted(v)[len(v) // 2]
     single = spark.createDataFrame([(5.0,)], "v DOUBLE")
     assert exact_quantiles(single, [], "v", {"m": 0.5}).first().m == 5.0
+
+
+def test_bursts_do_not_work_out_their_rows_for_each_count(spark):
+    """Openings and members are stored once: the input is read a few times, not once more for each level of cells."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("a", i, at(i)) for i in range(8)] + [("a", 8, at(500)), ("b", 9, at(3)), (None, 10, at(1)), (None, 11, at(1)), (None, 12, at(1))]
+    df = spark.createDataFrame(rows, "k STRING, id LONG, ts TIMESTAMP").mapInPandas(counted, "k STRING, id LONG, ts TIMESTAMP")
+    got = bursts(df, ["k"], "id", "ts", 10, 3).select("k", "n", "start_ts", "end_ts").collect()
+    assert [tuple(r) for r in got] == [("a", 8, at(0), at(7))]
+    assert made.value <= 13 * len(rows)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .asof import window_lookup
 from .ordered import RANGE, cut, neighbours, previous, running
 
@@ -69,8 +72,11 @@ def bursts(df, keys, row_id: str, ts: str, window_seconds: float, min_legs: int,
 
     A row opens a burst when the window that starts at it holds enough rows; every row of that window
     is a member.  Members separated by more than the window form separate clusters."""
+    df = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))  # rows without a key are in no burst
     ahead = window_lookup(df, df, keys, row_id, ts, ts, 0, window_seconds, _ahead=("count", F.lit(1)))
-    flagged = df.join(ahead, row_id).withColumn("_open", (F.col("_ahead") >= min_legs).cast("int"))
-    behind = window_lookup(df, flagged, keys, row_id, ts, ts, -window_seconds, 0, _member=("max", F.col("_open")))
-    members = df.join(behind.filter("_member = 1").select(row_id), row_id, "left_semi")
+    flagged = df.select(*keys, row_id, ts).join(ahead, row_id).withColumn("_open", F.when(F.col("_ahead") >= min_legs, 1))
+    # Staged, as cells are counted before they are filled; a member has an opening row behind it, so counts do.
+    flagged = stage(flagged, "flagged")
+    behind = window_lookup(df, flagged, keys, row_id, ts, ts, -window_seconds, 0, _opened=("count", F.col("_open")))
+    members = stage(df.join(behind.filter("_opened > 0").select(row_id), row_id, "left_semi"), "members")
     return sessionize(members, keys, ts, [row_id], window_seconds, *aggs)
