@@ -5,6 +5,7 @@ import math
 import random
 from pathlib import Path
 
+import __spark_entry__
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from vaneflow.operators.resample import resample_ffill
 from vaneflow.plans import models, stats
 from vaneflow.plans.backtest import first_consensus_hour
 from vaneflow.plans.forecasts import gridded_peak, latest_run_max, run_maxima
-from vaneflow.session import scratch_path
+from vaneflow.session import SCHEMAS, scratch_path
 from vaneflow.sources import sinks
 from vaneflow.sources.readers import nearest_grid_point
 from vaneflow.streaming import book
@@ -325,6 +326,17 @@ def test_thinning_does_not_slow_down_where_many_times_lie_within_the_gap(spark):
     assert made.value == 40_000
 
 
+def test_sign_models_read_the_texts_once(spark, tmp_path):
+    """Both fits and the scores work on stored statistics; the result no longer reads the documents."""
+    docs = [(i, " ".join(["w", "x" * (i % 5 + 1), str(i)] * (i % 7 + 1)), "en", "web", 10 * (i % 7 + 1)) for i in range(200)]
+    spark.createDataFrame(docs, SCHEMAS["documents"]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 7 > 3), 0) for i in range(200)], SCHEMAS["labels"]).write.parquet(f"{tmp_path}/labels.parquet")
+    out = __spark_entry__.queries()["classify_sign"](spark, str(tmp_path))
+    assert not [f for f in out.inputFiles() if "documents.parquet" in f or "labels.parquet" in f]
+    rows = out.collect()
+    assert {r.model for r in rows} == {"logistic", "boosted"} and all(r.accuracy > 0.9 for r in rows if r.model == "boosted")
+
+
 def test_late_quotes_follow_the_rule(spark):
     """Quotes that arrive a batch or two late: left out where a newer one of their bucket is known, else counted from the ladder's clock."""
     rnd = random.Random(4)

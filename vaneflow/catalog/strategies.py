@@ -358,8 +358,15 @@ def _(t):
                            F.size(F.array_distinct(F.split("text", r"\s+"))).cast("double").alias("kinds")).join(
         t.labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
     train = F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0
-    fits = models.sign_classifiers(d.filter(train), ["n", "words", "kinds"], "label")
-    scored = models.assemble(d.filter(~train), ["n", "words", "kinds"])
+    # The fits and the scores work on these few numbers, the texts are read once.  Kept while fitting, not written, as the
+    # candidate splits of large inputs are sampled partition by partition.
+    d = d.persist()
+    try:
+        fits = models.sign_classifiers(d.filter(train), ["n", "words", "kinds"], "label")
+        held = stage(d.filter(~train), "held-out")
+    finally:
+        d.unpersist()
+    scored = models.assemble(held, ["n", "words", "kinds"])
     for name, fit in fits.items():
         scored = fit.transform(scored).withColumn(name, models.class_probability()).drop("rawPrediction", "probability", "prediction")
     scored = stats.unpivot_models(scored, ["label"], {n: n for n in fits}, value="p")
